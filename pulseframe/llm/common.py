@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -215,3 +217,71 @@ def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Texts]:
         j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1))
         yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slice(i, j))
         i = j
+
+
+class HashSet:
+    """Membership of 64-bit hashes in a fixed set: a bit table first, then binary search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(np.asarray(keys, np.uint64))
+        self.shift = np.uint64(64 - max(12, int(np.ceil(np.log2(16 * len(self.keys) + 1)))))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` that hold a key, and which key (its place in ``keys``)."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[(hashes >> self.shift).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
+        same = self.keys[key] == hashes[at]
+        return at[same], key[same]
+
+
+def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[Texts], list[pa.Array]]]) -> DataFrame:
+    """Add columns that Python computes from the texts, a chunk of rows at a time.
+
+    ``fields`` is their DDL; ``make`` runs once per task and returns a function from a chunk to one
+    array per field. Only the columns in ``carry`` stay; new columns replace those of their names.
+    """
+    added = StructType.fromDDL(fields)
+    kept = [c for c in carry if c not in added.fieldNames()]
+    schema = StructType([df.schema[c] for c in kept] + added.fields)
+    names = schema.fieldNames()
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for chunk in chunks(batch.column("_text")):
+                own = [batch.column(c).slice(chunk.rows.start, chunk.n) for c in kept]
+                new = [a.cast(types.field(f.name).type) for a, f in zip(compute(chunk), added.fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *new], names=names)
+
+    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def count_hashes(df: DataFrame, text: str, make: Callable[[], Callable[[Texts], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """Sum what a function counts in each chunk: (hashes, counts) -> columns hash, n.
+
+    Each task sums its own chunks first and emits a hash once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = make()
+        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for chunk in chunks(batch.column("_text")):
+                h, n = count(chunk)
+                keys, back = np.unique(np.concatenate([keys, h]), return_inverse=True)
+                sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["hash", "n"])
+
+    return df.select(F.col(text).alias("_text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from .common import LOWER as _LOWER
+from .common import UPPER as _UPPER
+from .common import WORD_PATTERN as _WORD
+from .licenses import TEMPLATES
+
 OP5 = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -60,6 +65,61 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM e
 """
 
+OP1 = r"""
+WITH items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '@U', '@L'), '@W') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '@U', '@L'), '@W') AS w FROM documents
+), places AS (
+  SELECT rid, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), found AS (
+  SELECT p.rid, p.i, p.n, x.item_id FROM places p JOIN windows x ON x.n = p.n AND x.win = array_to_string(p.w[p.i:p.i + p.n - 1], ' ')
+), hit AS (
+  SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM found) GROUP BY rid
+), listed AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN listed USING (rid)
+""".replace("@U", _UPPER).replace("@L", _LOWER).replace("@W", _WORD)
+
+OP9 = r"""
+WITH templates(label, t) AS (VALUES @T),
+tw AS (
+  SELECT row_number() OVER () AS tid, label, list_distinct(regexp_extract_all(lower(t), '@W')) AS ws FROM templates
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '@U', '@L') AS t FROM documents
+), words AS (SELECT rid, doc_id, t, regexp_extract_all(t, '@W') AS w FROM docs),
+phrases(p, label) AS (VALUES (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+base AS (
+  SELECT rid, label, i - 1 AS place
+  FROM (SELECT rid, w, p, label, unnest(range(1, len(w) - len(p) + 2)) AS i FROM words, phrases WHERE len(w) >= len(p))
+  WHERE w[i:i + len(p) - 1] = p
+), blocks AS (
+  SELECT rid, regexp_extract_all(b, '@W') AS w
+  FROM (SELECT rid, unnest(regexp_split_to_array(t, '\n|[.!?;][ \t\n\r]')) AS b FROM words)
+), met AS (
+  SELECT rid, label, len(list_intersect(ws, w))::DOUBLE / len(ws) AS c
+  FROM blocks, tw WHERE len(w) > 0 AND 20 * len(list_intersect(ws, w)) >= 17 * len(ws)
+), b AS (
+  SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid
+), m AS (SELECT rid, max(c) AS c FROM met GROUP BY rid),
+l AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM met) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0) END::DOUBLE AS score
+FROM words LEFT JOIN b USING (rid) LEFT JOIN m USING (rid) LEFT JOIN l USING (rid)
+""".replace("@U", _UPPER).replace("@L", _LOWER).replace("@W", _WORD).replace("@T", ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES))
+
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op10_sharding": OP10}
+    return {"op1_decontamination": OP1, "op9_license_scan": OP9, "op5_quality_rules": OP5, "op10_sharding": OP10}
