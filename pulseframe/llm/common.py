@@ -93,7 +93,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, label
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _is_word = np.zeros(256, bool)
 _is_word[ord("0") : ord("9") + 1] = _is_word[ord("a") : ord("z") + 1] = _is_word[ord("A") : ord("Z") + 1] = True
 _is_word[128:] = True
@@ -209,7 +209,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[Texts]:
+def chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[Texts]:
     """Cut a string column into runs of rows of about ``size`` bytes (one text at least)."""
     data, offsets = utf8(column)
     i, n = 0, len(offsets) - 1
