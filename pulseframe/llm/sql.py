@@ -120,6 +120,23 @@ FROM words LEFT JOIN b USING (rid) LEFT JOIN m USING (rid) LEFT JOIN l USING (ri
 """.replace("@U", _UPPER).replace("@L", _LOWER).replace("@W", _WORD).replace("@T", ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES))
 
 
+OP7 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, length(regexp_replace(text, '(\\*(?:<</?(?:SYS|ROLE)>>|\[/?INST\]|</?s>))', '\\\1', 'g')) AS n,
+         length(regexp_replace(role, '(\\*(?:<</?(?:SYS|ROLE)>>|\[/?INST\]|</?s>))', '\\\1', 'g')) AS r
+  FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 26 + r END)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op9_license_scan": OP9, "op5_quality_rules": OP5, "op10_sharding": OP10}
+    return {"op1_decontamination": OP1, "op9_license_scan": OP9, "op5_quality_rules": OP5, "op7_chat_formatting": OP7, "op10_sharding": OP10}
