@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def sample_ids(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
+    """About ``rows`` rows per value of ``group``, chosen by a hash of the key: (key, group) only.
+
+    The result is bounded by ``rows`` times the number of values, so it may be broadcast. Rows with
+    a null key or group are left out.
+    """
+    known = df.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull())
+    share = known.groupBy(group).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return known.join(F.broadcast(share), group).where(place < F.col("_share")).select(key, group)
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall in no fold."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
@@ -174,12 +187,41 @@ class Texts:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: slice):
         self.data, self.rows, self.n = data, rows, len(offsets) - 1
         self.offsets = offsets
-        self.begin, self.end, self.hashes = hash_words(data, offsets[:-1])
-        #: word_at[i]:word_at[i + 1] are the words of text i
-        self.word_at = np.searchsorted(self.begin, offsets)
-        self.n_words = np.diff(self.word_at)
+
+    @cached_property
+    def _found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return hash_words(self.data, self.offsets[:-1])
 
     @property
+    def begin(self) -> np.ndarray:
+        return self._found[0]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self._found[1]
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self._found[2]
+
+    @cached_property
+    def word_at(self) -> np.ndarray:
+        """word_at[i]:word_at[i + 1] are the words of text i."""
+        return np.searchsorted(self.begin, self.offsets)
+
+    @cached_property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.word_at)
+
+    @cached_property
+    def code_points(self) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' code points end to end, and the n + 1 places where texts begin and end."""
+        points = np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        leads = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=leads[1:])
+        return points, leads[self.offsets]
+
+    @cached_property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.n_words)
 
@@ -244,7 +286,7 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[Texts], list[pa.Array]]]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[Texts], list[pa.Array]]], size: int = 1 << 18) -> DataFrame:
     """Add columns that Python computes from the texts, a chunk of rows at a time.
 
     ``fields`` is their DDL; ``make`` runs once per task and returns a function from a chunk to one
@@ -259,7 +301,7 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for chunk in chunks(batch.column("_text")):
+            for chunk in chunks(batch.column("_text"), size):
                 own = [batch.column(c).slice(chunk.rows.start, chunk.n) for c in kept]
                 new = [a.cast(types.field(f.name).type) for a, f in zip(compute(chunk), added.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own, *new], names=names)
