@@ -17,13 +17,13 @@ carried, so their names cannot clash.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -34,16 +34,16 @@ from .common import numbered, stored
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 # The normalizer and word pattern of the tokenizer whose words may be remembered.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _LETTER = r"a-z\xdf-\xf6\xf8-\xff"
-_SIMPLE_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+").findall
+_SIMPLE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+").findall
 #: Texts of these characters alone are in normal form, and their letters are those of _LETTER.
-_NOT_SIMPLE = regex.compile(r"[^\x20-\x7e\t\n\r\xc0-\xff]").search
+_NOT_SIMPLE = re.compile(r"[^\x20-\x7e\t\n\r\xc0-\xff]").search
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -75,6 +75,22 @@ class Encoder:
         )
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
+        suffix = spec.get("model", {}).get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of single words: encoded as one spaced text, and cut where a token ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._plain(words)
+        data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -86,7 +102,7 @@ class Encoder:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         new = list({w for ws in split if ws for w in ws} - self.words.keys())
-        self.words.update(zip(new, self._plain(new), strict=True))
+        self.words.update(zip(new, self._each(new), strict=True))
         get = self.words.__getitem__
         rest = [i for i, ws in enumerate(split) if ws is None]
         out = [b"" if ws is None else b"".join(map(get, ws)) for ws in split]
