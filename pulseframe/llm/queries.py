@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, packing, quality, rules, sharding
+from . import chat, decontam, langid, licenses, packing, quality, rules, sharding, toxicity
 from .common import crc_fold
 
 
@@ -53,6 +53,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -95,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op7_chat_formatting": op7_chat_formatting,
         "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
