@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, packing, quality, rules, sharding, toxicity
+from . import chat, decontam, jaccard, langid, licenses, packing, quality, rules, sharding, toxicity
 from .common import crc_fold
 
 
@@ -79,6 +79,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     named, met = F.transform("phrases", lambda p: p["label"]), F.transform("blocks", lambda b: b["label"])
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_toxicity": op6_toxicity,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
     }
