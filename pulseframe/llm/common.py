@@ -60,7 +60,7 @@ def sample_ids(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
     known = df.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull())
     share = known.groupBy(group).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(F.broadcast(share), group).where(place < F.col("_share")).select(key, group)
+    return known.join(share, group).where(place < F.col("_share")).select(key, group)
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

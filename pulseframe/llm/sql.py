@@ -61,7 +61,7 @@ d AS (
   SELECT doc_id, size, text_crc32, list_min(draws[1:24]).shard::INTEGER AS shard, list_min(draws).shard::INTEGER AS grown_shard FROM d
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
 FROM e
 """
 
@@ -130,9 +130,9 @@ WITH rows AS (
   FROM rows
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(n + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 26 + r END)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
