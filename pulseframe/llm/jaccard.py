@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-5
-#: Bounds of a block, and of what small groups are packed into.
+#: Bounds of a block, and of what small groups are packed into. Groups under 16 blocks get smaller ones.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 #: Most bits of the table of candidates.
 MOST_BITS = 1 << 26
@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     wanted = stored(nodes.select("node", "s1", "s2", "copies", "n", "signature").join(groups, "node"), "wanted")
 
     size = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") * 8 + 4 * HASHES).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    block_rows = F.greatest(F.lit(BLOCK_ROWS // 4), F.least(F.lit(BLOCK_ROWS), F.col("rows") / 16))
+    blocks = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     size = stored(size.select("root", blocks.alias("blocks"), "bytes"), "group-sizes")
     small = size.where("blocks = 1").agg(F.sum("bytes")).first()[0] or 0
     packs = max(4 * shuffle_partitions(spark), -(-int(small) // BLOCK_BYTES))
