@@ -75,10 +75,9 @@ def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str,
     s = samples.withColumns({"_at": F.col(ts), "_kind": F.lit(1), "_row": F.struct("*")})
     both = s.select(*keys, "_at", "_kind", "_row").unionByName(a, allowMissingColumns=True)
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    # at one instant the anchor comes first, so that it is 'from it on' by way of 'before'
-    order = part.orderBy("_at", "_kind")
-    before = F.last("_anchor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_anchor", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # running frames in both directions: a frame to the end of the partition would be redone for every row
+    so_far = lambda *order: F.last("_anchor", ignorenulls=True).over(part.orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0))
+    before, after = so_far("_at"), so_far(F.desc("_at"))
     near = both.select("_row", "_at", "_kind", before.alias("_b"), after.alias("_a")).where("_kind = 1")
     db, da = F.col("_at") - F.col("_b.t"), F.col("_a.t") - F.col("_at")
     pick = F.when(db.isNotNull() & (da.isNull() | (db <= da)), F.col("_b")).otherwise(F.col("_a"))

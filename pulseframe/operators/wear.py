@@ -41,8 +41,8 @@ def local_cadence(samples: DataFrame, keys: Sequence[str] = (), ts: str = "ts")
     known = samples.withColumn("_gap", F.when(gap <= LONGEST_GAP, gap))
     middle = F.expr(f"percentile(_gap, 0.5) OVER (PARTITION BY {', '.join(keys) or '0'} ORDER BY {ts} ROWS BETWEEN {CADENCE_ROWS} PRECEDING AND {CADENCE_ROWS} FOLLOWING)")
     out = known.withColumn("_median", middle)
-    later = F.first("_median", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    earlier = F.last("_median", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    last_known = lambda order: F.last("_median", ignorenulls=True).over(_by(keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    later, earlier = last_known(F.desc(ts)), last_known(ts)
     return out.withColumn("cadence", F.coalesce(later, earlier, F.lit(NO_CADENCE))).drop("_gap", "_median")
 
 
