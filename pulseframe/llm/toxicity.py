@@ -8,7 +8,8 @@ interpolated with the learned word list. The restored words are then scored like
 
 The word list is learned from labelled rows, of which one per group of near copies counts. Features
 are whole words and word beginnings of 4 to 9 bytes, held once, twice or three times; those that
-toxic rows favour by a significant log-likelihood ratio stay. A text's score is the precision of the
+toxic rows favour by a significant log-likelihood ratio stay, less those that clean rows hold too and
+that add little to better ones. A text's score is the precision of the
 most telling feature it holds.
 
 The list is fitted on at most about :data:`TRAIN_ROWS` labelled rows per label (a documented bound);
@@ -23,6 +24,7 @@ an empty table gives an empty result. Columns named like a result column are rep
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -190,16 +192,23 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return find
 
     held = map_texts(own.where("_label = 1"), text, [key], "f array<struct<feature:long,base:long,times:int,length:int,name:string>>", finder)
-    out, covered = WordList(), 0
     named: dict[int, tuple[int, int, int, str]] = {}
-    for r in held.select("f").toLocalIterator():
-        covered += bool(r["f"])
+    rows_of: dict[int, set[int]] = defaultdict(set)
+    for i, r in enumerate(held.select("f").toLocalIterator()):
         for x in r["f"]:
-            named[x["feature"] % (1 << 64)] = (x["base"] % (1 << 64), x["times"], x["length"], x["name"])
-    for h, (plain, times, length, name) in sorted(named.items()):
-        a, b = chosen_features[h]
-        out.entries.setdefault(plain, []).append((times, _odds(a, toxic, b, clean, totals), length, name))
-    out.rest = min(_odds(toxic - covered, toxic, clean, clean, totals), 0.5)
+            feature = x["feature"] % (1 << 64)
+            named[feature] = (x["base"] % (1 << 64), x["times"], x["length"], x["name"])
+            rows_of[feature].add(i)
+    out, covered = WordList(), set()
+    precision = {h: _odds(chosen_features[h][0], toxic, chosen_features[h][1], clean, totals) for h in named}
+    for h in sorted(named, key=lambda h: (chosen_features[h][1] > 0, -precision[h], named[h])):
+        # one that clean rows hold too must earn its place among the rows that better ones leave
+        if chosen_features[h][1] and len(rows_of[h] - covered) < max(3, 4 * chosen_features[h][1]):
+            continue
+        plain, times, length, name = named[h]
+        out.entries.setdefault(plain, []).append((times, precision[h], length, name))
+        covered |= rows_of[h]
+    out.rest = min(_odds(toxic - len(covered), toxic, clean, clean, totals), 0.5)
     return out
 
 
