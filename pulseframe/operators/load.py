@@ -30,9 +30,11 @@ def hrmax_by_date(days: DataFrame, workouts: DataFrame, keys: Sequence[str] = ()
     if person.hr_max:
         return days.select(*keys, "date", F.lit(float(person.hr_max)).alias("hr_max"), F.lit("config").alias("hr_max_basis"))
     predicted = days.select(*keys, "date").distinct().withColumn("_age", 220.0 - age_on(F.col("date"), person.age, str(person.age_as_of)))
-    # only a month's three largest can be among the three largest of a window that holds the month
     known = workouts.where(F.col(peak).isNotNull()).select(*keys, local_date(F.col("start_ts")).alias("_day"), F.col(peak).alias("_peak"))
-    joined = predicted.join(known, list(keys)) if keys else predicted.join(known, F.lit(True))
+    # a look-back of that many days touches its own stretch of the calendar and the one before
+    stretch = lambda c: F.floor(F.unix_date(c) / s.hrmax_lookback_days)
+    placed = known.withColumn("_s", F.explode(F.array(stretch("_day"), stretch("_day") + 1)))
+    joined = predicted.withColumn("_s", stretch("date")).join(placed, [*keys, "_s"])
     inside = joined.where((F.col("_day") <= F.col("date")) & (F.col("_day") > F.date_sub("date", s.hrmax_lookback_days)) & (F.col("_peak") <= F.col("_age") + s.hrmax_artifact_margin))
     top = inside.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "date").orderBy(F.desc("_peak")))).where("_n <= 3")
     middle = top.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n"), F.expr("percentile(_peak, 0.5)").alias("_seen"))

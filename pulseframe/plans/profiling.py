@@ -136,3 +136,118 @@ def missing_nights(nights: DataFrame, sessions: DataFrame, zone: str, keys: Sequ
     gaps = calendar(nights, keys).join(nights.select(*keys, "date"), [*keys, "date"], "left_anti")
     ends = sessions.select(*keys, local_date(F.col("end_ts"), zone_offset(F.col("end_ts"), zone)).alias("date")).groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n"))
     return gaps.join(ends, [*keys, "date"], "left").select(*keys, "date", F.coalesce("_n", F.lit(0)).alias("records"))
+
+
+# --- exports of unknown layout ---------------------------------------------------------------------
+
+PROBE_ROWS = 5000
+KEY_NAMES, VALUE_NAMES = ("key", "type", "name"), ("value", "data", "json", "content")
+DEVICE_NAMES = ("sid", "did", "device_id", "deviceid", "device")
+HR_RANGE = (30, 230)
+
+
+def detect_roles(df: DataFrame, rows: int = PROBE_ROWS) -> dict[str, str | None]:
+    """Which columns hold time, key, JSON value and device, from a probe of the first rows.
+
+    One aggregate over the probe tells, per column, how many values are JSON and how many look
+    like instants.
+    """
+    lower = {c.lower(): c for c in df.columns}
+    text = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    json = {c: F.count_if(t.rlike(r"^\s*[\[{]") & F.try_parse_json(t).isNotNull()) for c, t in text.items()}
+    unit = {c: F.count_if(epoch_unit(F.try_to_number(t, F.lit("9999999999999999999"))).isNotNull()) for c, t in text.items()}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        aggs += [json[c].alias(f"j{i}"), unit[c].alias(f"u{i}"), F.count(text[c]).alias(f"k{i}")]
+    found = df.limit(rows).agg(*aggs).first()
+    n = max(found["n"], 1)
+    share = {c: found[f"j{i}"] / n for i, c in enumerate(df.columns)}
+    epoch = {c: found[f"u{i}"] / max(found[f"k{i}"], 1) for i, c in enumerate(df.columns)}
+    value = next((lower[v] for v in VALUE_NAMES if v in lower and share[lower[v]] > 0.3), None)
+    if value is None and share:
+        best = max(share, key=share.get)
+        value = best if share[best] > 0.5 else None
+    times = [c for c in df.columns if role(c) == "time" and epoch[c] > 0.9]
+    order = {c: (0 if c.lower() in ("time", "timestamp") else 1 if "update" not in c.lower() else 2, c) for c in times}
+    return {
+        "time": min(times, key=order.get, default=None),
+        "key": next((lower[k] for k in KEY_NAMES if k in lower), None),
+        "value": value,
+        "device": next((c for c in df.columns if c.lower() in DEVICE_NAMES), None),
+    }
+
+
+def key_profile(df: DataFrame, key: str, ts: str, device: str, value: str | None = None) -> DataFrame:
+    """Per key: rows, texts that are no JSON, devices, first and last instant, median step within a device, repeated instants, rows by year."""
+    bad = F.count_if(F.col(value).isNotNull() & F.try_parse_json(value).isNull()) if value else F.lit(0).cast("long")
+    w = Window.partitionBy(key, device).orderBy(ts)
+    step = df.withColumn("_step", F.col(ts) - F.lag(ts).over(w))
+    sums = step.groupBy(F.col(key).alias("key")).agg(
+        F.count(F.lit(1)).alias("rows"), bad.alias("bad_json"), F.count_distinct(device).alias("devices"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
+        F.expr("percentile(CASE WHEN _step > 0 THEN _step END, 0.5)").alias("median_step"), F.count_if(F.col("_step") == 0).alias("repeated"),
+    )
+    years = df.groupBy(F.col(key).alias("key"), F.year(F.timestamp_seconds(ts)).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    listed = years.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y", "n"))), lambda s: F.concat(s["y"].cast("string"), F.lit(":"), s["n"].cast("string"))), ",").alias("by_year"))
+    return sums.join(listed, "key")
+
+
+def top_steps(df: DataFrame, ts: str, n: int = 5) -> DataFrame:
+    """The commonest steps between consecutive distinct instants; equals by step."""
+    w = Window.partitionBy(F.lit(0)).orderBy(ts)
+    steps = df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("step", F.col(ts) - F.lag(ts).over(w)).where("step IS NOT NULL")
+    return value_counts(steps, "step", n)
+
+
+def hr_sanity(df: DataFrame, bpm: str, keys: Sequence[str]) -> DataFrame:
+    """Per key: rows, share of rates in the plausible range, extremes and exclusive percentiles of those."""
+    ok = F.col(bpm).between(*HR_RANGE)
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("valid"), F.min(F.when(ok, F.col(bpm))).alias("least"), F.max(F.when(ok, F.col(bpm))).alias("most"))
+    return sums.join(quantiles(df.where(ok), bpm, keys, (0.01, 0.05, 0.5, 0.95, 0.99)), list(keys), "left")
+
+
+def hrv_verdict(names: Sequence[str]) -> str:
+    """Whether any column or key is named like beat-to-beat intervals."""
+    found = sorted(n for n in names if role(n) == "hrv")
+    return f"candidates for heart-rate variability: {', '.join(found)}" if found else "no beat-to-beat data by name"
+
+
+def first_and_last(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
+    """Some rows from both ends of an order."""
+    front = df.orderBy(*order).limit(n).withColumn("end", F.lit("first"))
+    return front.unionByName(df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("end", F.lit("last")))
+
+
+# The middles of zones 1 to 5 as shares of the maximal heart rate.
+ZONE_MIDDLES = (0.55, 0.65, 0.75, 0.85, 0.95)
+
+
+def implied_hr_max(workouts: DataFrame) -> DataFrame:
+    """The maximal heart rate that device zones imply: mean rate over the zones' mean middle, where zones cover 90 % of the time.
+
+    A spread under 5 % says that the device's zones are shares of one maximal rate.
+    """
+    zones = [F.col(f"zone{i}_s") for i in range(1, 6)]
+    total = sum(zones[1:], zones[0])
+    share = sum((z * m for z, m in zip(zones[1:], ZONE_MIDDLES[1:], strict=True)), zones[0] * ZONE_MIDDLES[0]) / total
+    ok = workouts.where((total > 0) & (total >= 0.9 * (F.col("end_ts") - F.col("start_ts"))) & F.col("avg_hr").isNotNull()).withColumn("_max", F.col("avg_hr") / share)
+    out = ok.agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(_max, 0.5)").alias("hr_max"), F.try_divide(F.stddev_pop("_max"), F.avg("_max")).alias("cv"))
+    return out.withColumn("consistent", (F.col("n") >= 5) & (F.col("cv") < 0.05))
+
+
+def night_table(nights: DataFrame, sessions: DataFrame, device_rhr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per night: own time asleep and resting rate beside what the device reports for the sessions inside it and for the date."""
+    from ..operators.intervals import contained
+
+    spans = nights.select(*keys, "source", "date", F.col("onset_ts").alias("start_ts"), F.col("wake_ts").alias("end_ts"))
+    inside = contained(sessions.select(*keys, "source", "start_ts", "end_ts", "dev_duration_min", "dev_min_hr"), spans, [*keys, "source"])
+    device = inside.groupBy(*keys, "source", F.col("outer_date").alias("date")).agg(F.sum("dev_duration_min").alias("device_tst"), F.min("dev_min_hr").alias("device_sleep_min_hr"))
+    daily = device_rhr.groupBy(*keys, "date").agg(F.avg("value").alias("device_rhr"))
+    out = nights.select(*keys, "source", "date", "tst_min", "rhr").join(device, [*keys, "source", "date"], "left").join(daily, [*keys, "date"], "left")
+    return out.withColumn("tst_difference", F.col("tst_min") - F.col("device_tst"))
+
+
+def regularity_report(wide: DataFrame, days: int = 14) -> DataFrame:
+    """Wear and regularity of the last days, with the reason where there is no index."""
+    from .serving import last_days
+
+    return last_days(wide.select("date", "day_wear", "reg_n", "sri_pairs", "sri", "sri_reason"), days)

@@ -11,7 +11,7 @@ _IN = ", ".join(f"'{m}'" for m in _METRICS)
 _WIDE = f"SELECT date, {', '.join(f'max({p}) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m.replace(chr(46), chr(95))}_{p}' for m in _METRICS for p in ('value', 'status', 'reason'))} FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY date"
 _PERIOD = "FROM (@B(workout_metrics)) WHERE date BETWEEN '2024-01-05' AND '2024-01-20'"
 
-DATES: dict[str, list[str]] = {"covered_minutes": ["date"], "baseline_band": ["date"]}
+DATES: dict[str, list[str]] = {"night_table": ["date"], "missing_nights": ["date"], "covered_minutes": ["date"], "baseline_band": ["date"]}
 SQL: dict[str, str] = {
     "serve_range": """SELECT min(date) AS first, max(date) AS last, coalesce(max(date) FILTER (metric = 'recovery.score' AND status = 'ok'), max(date)) AS shown FROM (@B(long))""",
     "serve_day": "SELECT metric, value, status, reason FROM (@B(long)) WHERE date = '2024-01-15'",
@@ -113,3 +113,48 @@ sw AS (
 SQL["dst_naive_devices"] = f"WITH {_RECORDS} SELECT device_id, naive, changed, switches FROM verdict"
 SQL["dst_corrected"] = f"""
 WITH {_RECORDS} SELECT device_id, start_ts, n, (tz_offset_min + CASE WHEN naive AND summer AND tz_offset_min IN (0, 60) THEN 60 ELSE 0 END)::INTEGER AS tz_offset_min FROM r JOIN verdict USING (device_id)"""
+
+SQL["key_profile"] = """
+WITH e AS (SELECT event_type, floor(epoch(ts))::BIGINT AS t, user_id % 3 AS device, props FROM events),
+s AS (SELECT *, t - lag(t) OVER (PARTITION BY event_type, device ORDER BY t) AS step FROM e),
+y AS (SELECT event_type, string_agg(y || ':' || n, ',' ORDER BY y) AS by_year FROM (SELECT event_type, year(to_timestamp(t)) AS y, count(*) AS n FROM e GROUP BY ALL) GROUP BY 1)
+SELECT event_type AS key, count(*) AS rows, count(*) FILTER (NOT json_valid(props)) AS bad_json, count(DISTINCT device) AS devices, min(t) AS first_ts, max(t) AS last_ts,
+       median(step) FILTER (step > 0) AS median_step, count(*) FILTER (step = 0) AS repeated, any_value(by_year) AS by_year FROM s JOIN y USING (event_type) GROUP BY 1"""
+SQL["top_steps"] = """
+WITH t AS (SELECT DISTINCT ts FROM (@B(hr))), s AS (SELECT ts - lag(ts) OVER (ORDER BY ts) AS step FROM t)
+SELECT step::VARCHAR AS value, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 5"""
+_PS = ((0.01, 1), (0.05, 5), (0.5, 50), (0.95, 95), (0.99, 99))
+SQL["hr_sanity"] = f"""
+WITH v AS (
+  SELECT person, count(*) AS rows, count(*) FILTER (bpm BETWEEN 30 AND 230) AS valid, min(bpm) FILTER (bpm BETWEEN 30 AND 230) AS least, max(bpm) FILTER (bpm BETWEEN 30 AND 230) AS most,
+         list(bpm::DOUBLE ORDER BY bpm) FILTER (bpm BETWEEN 30 AND 230) AS v FROM (@B(hr)) GROUP BY person
+), p AS (SELECT *, {", ".join(f"greatest(1, least(valid - 1, floor((valid + 1) * {q}::DOUBLE)))::INTEGER AS k{k}" for q, k in _PS)} FROM v)
+SELECT person, rows, valid, least, most, {", ".join(f"round(v[k{k}] + (v[k{k} + 1] - v[k{k}]) * ((valid + 1) * {q}::DOUBLE - k{k}), 6) AS q{k}" for q, k in _PS)} FROM p"""
+SQL["first_and_last"] = """
+SELECT * FROM (SELECT o_orderkey, o_orderstatus, 'first' AS "end" FROM orders ORDER BY o_orderkey LIMIT 4)
+UNION ALL SELECT * FROM (SELECT o_orderkey, o_orderstatus, 'last' AS "end" FROM orders ORDER BY o_orderkey DESC LIMIT 4)"""
+SQL["implied_hr_max"] = """
+WITH w AS (SELECT *, (end_ts - start_ts)::DOUBLE AS z1 FROM (@B(workouts))), t AS (SELECT *, z1 + zone2_s + zone3_s + zone4_s + zone5_s AS total FROM w),
+m AS (SELECT avg_hr / ((z1 * 0.55::DOUBLE + zone2_s * 0.65::DOUBLE + zone3_s * 0.75::DOUBLE + zone4_s * 0.85::DOUBLE + zone5_s * 0.95::DOUBLE) / total) AS x FROM t
+      WHERE total > 0 AND total >= 0.9 * (end_ts - start_ts) AND avg_hr IS NOT NULL)
+SELECT count(*) AS n, round(median(x), 6) AS hr_max, round(stddev_pop(x) / avg(x), 6) AS cv, count(*) >= 5 AND stddev_pop(x) / avg(x) < 0.05 AS consistent FROM m"""
+_RECONCILED = """
+s AS (
+  SELECT person, source, start_ts, max(end_ts) AS end_ts, floor((max(end_ts) - start_ts) / 60.0)::DOUBLE AS dev_duration_min, (40 + start_ts % 30)::DOUBLE AS dev_min_hr
+  FROM (@B(sessions)) GROUP BY person, source, start_ts
+), nights AS (
+  SELECT person, source, DATE '1970-01-01' + ((end_ts + 3600) // 86400)::INTEGER AS date, start_ts AS onset_ts, end_ts AS wake_ts, (end_ts - start_ts) / 60.0::DOUBLE AS tst_min,
+         (45 + end_ts % 20)::DOUBLE AS rhr FROM s WHERE end_ts - start_ts >= 18000
+  QUALIFY row_number() OVER (PARTITION BY person, (end_ts + 3600) // 86400 ORDER BY start_ts) = 1
+)"""
+SQL["night_table"] = f"""
+WITH {_RECONCILED}, dev AS (
+  SELECT n.person, n.source, n.date, sum(dev_duration_min) AS device_tst, min(dev_min_hr) AS device_sleep_min_hr
+  FROM nights n JOIN s ON s.person = n.person AND s.source = n.source AND s.start_ts >= n.onset_ts AND s.end_ts <= n.wake_ts GROUP BY ALL
+)
+SELECT person, source, date, round(tst_min, 6) AS tst_min, rhr, device_tst, device_sleep_min_hr, rhr + 3 AS device_rhr, round(tst_min - device_tst, 6) AS tst_difference
+FROM nights LEFT JOIN dev USING (person, source, date)"""
+SQL["missing_nights"] = f"""
+WITH {_RECONCILED}, span AS (SELECT person, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM nights GROUP BY person),
+ends AS (SELECT person, (to_timestamp(end_ts) AT TIME ZONE 'Europe/Berlin')::DATE AS date, count(*) AS n FROM s GROUP BY ALL)
+SELECT person, date, coalesce(n, 0) AS records FROM span LEFT JOIN ends USING (person, date) WHERE NOT EXISTS (SELECT 1 FROM nights x WHERE x.person = span.person AND x.date = span.date)"""

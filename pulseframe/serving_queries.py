@@ -179,3 +179,56 @@ def two_level_max(spark, d):
 @query
 def methods_by_year(spark, d):
     return PR.by_year_and_method(bind(spark, d, "workout_metrics"))
+
+
+@query
+def key_profile(spark, d):
+    e = table(spark, d, "events").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 3).alias("device"), "props")
+    return PR.key_profile(e, "event_type", "t", "device", "props")
+
+
+@query
+def top_steps(spark, d):
+    return PR.top_steps(bind(spark, d, "hr"), "ts", 5)
+
+
+@query
+def hr_sanity(spark, d):
+    return rounded(PR.hr_sanity(bind(spark, d, "hr"), "bpm", ["person"]))
+
+
+@query
+def first_and_last(spark, d):
+    return PR.first_and_last(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 4)
+
+
+@query
+def implied_hr_max(spark, d):
+    w = bind(spark, d, "workouts").withColumn("zone1_s", F.col("end_ts") - F.col("start_ts"))
+    return rounded(PR.implied_hr_max(w))
+
+
+@query
+def night_table(spark, d):
+    return rounded(PR.night_table(*_reconciled(spark, d), ["person"]))
+
+
+@query
+def missing_nights(spark, d):
+    nights, sessions, _ = _reconciled(spark, d)
+    return PR.missing_nights(nights, sessions, "Europe/Berlin", ["person"])
+
+
+def _reconciled(spark, d):
+    """Long sessions as nights, all sessions with device totals, and a daily device rate."""
+    s = bind(spark, d, "sessions").groupBy("person", "source", "start_ts").agg(F.max("end_ts").alias("end_ts"))
+    s = s.withColumns({"dev_duration_min": F.floor((F.col("end_ts") - F.col("start_ts")) / 60).cast("double"), "dev_min_hr": (F.lit(40) + F.col("start_ts") % 30).cast("double")})
+    day = clock.local_date(F.col("end_ts"), 60)
+    long = s.where("end_ts - start_ts >= 18000").withColumn("date", day)
+    one = long.groupBy("person", "date").agg(F.min_by(F.struct("source", "start_ts", "end_ts"), "start_ts").alias("n")).select("person", "date", "n.*")
+    nights = one.select(
+        "person", "source", "date", F.col("start_ts").alias("onset_ts"), F.col("end_ts").alias("wake_ts"),
+        ((F.col("end_ts") - F.col("start_ts")) / 60).alias("tst_min"), (F.lit(45) + F.col("end_ts") % 20).cast("double").alias("rhr"),
+    )
+    rates = nights.select("person", "date", (F.col("rhr") + 3).alias("value"))
+    return nights, s, rates
