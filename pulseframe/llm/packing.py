@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -75,6 +76,7 @@ class Encoder:
         )
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         suffix = spec.get("model", {}).get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -85,7 +87,7 @@ class Encoder:
         """Ids of single words: encoded as one spaced text, and cut where a token ends a word."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
             return self._plain(words)
@@ -93,7 +95,18 @@ class Encoder:
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words. ASCII words stand for themselves at byte level and go to the model alone."""
+        tokenize = self.model.tokenize
+        rest = []
+        for w in words:
+            if w.isascii():
+                self.words[w] = array("I", [t.id for t in tokenize(w)]).tobytes()
+            else:
+                rest.append(w)
+        self.words.update(zip(rest, self._each(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -101,8 +114,7 @@ class Encoder:
         split = [None if _NOT_SIMPLE(t) or any(s in t for s in self.special) else _SIMPLE_WORDS(t.lower()) for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        new = list({w for ws in split if ws for w in ws} - self.words.keys())
-        self.words.update(zip(new, self._each(new), strict=True))
+        self._learn(list(set().union(*(ws for ws in split if ws)) - self.words.keys()))
         get = self.words.__getitem__
         rest = [i for i, ws in enumerate(split) if ws is None]
         out = [b"" if ws is None else b"".join(map(get, ws)) for ws in split]
