@@ -20,6 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Most values of a group whose sampling shares are broadcast.
+MOST_GROUPS = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,7 +60,9 @@ def sample_ids(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
     a null key or group are left out.
     """
     known = df.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull())
-    share = known.groupBy(group).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share"))
+    share = stored(known.groupBy(group).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share")), "shares")
+    if share.count() <= MOST_GROUPS:  # else the rows meet their shares by a shuffle
+        share = F.broadcast(share)
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return known.join(share, group).where(place < F.col("_share")).select(key, group)
 
