@@ -22,10 +22,10 @@ def _by(keys: Sequence[str]):
 
 
 def hrmax_by_date(days: DataFrame, workouts: DataFrame, keys: Sequence[str] = (), person: Person = Person(), s: Strain = Strain(), peak: str = "max_hr") -> DataFrame:
-    """Maximal heart rate per date: configured, or predicted by age, or the third-highest workout peak's neighbour.
+    """Maximal heart rate per date: configured, else the larger of what age predicts and what was observed.
 
-    The observed value is the median of the three highest peaks of the last two years, without
-    those too far above the prediction; the larger of both counts. Workouts count by UTC day.
+    Observed is the median of the three highest workout peaks of the look-back, without those too
+    far above the prediction. Workouts count by UTC day.
     """
     if person.hr_max:
         return days.select(*keys, "date", F.lit(float(person.hr_max)).alias("hr_max"), F.lit("config").alias("hr_max_basis"))
