@@ -16,6 +16,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _SPACES = r"[\x20\x09-\x0D]+"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _NOT_SYMBOL = r"[^#*$%&|<>]+"
@@ -113,6 +115,14 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return measured.withColumn("failed", bits)
 
 
+def stored_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: filters by policy then read bits, and measure no text again.
+
+    A filter on an unwritten ledger would be pushed down to the texts, with the measurements that it needs.
+    """
+    return stored(ledger(docs, key, text), "ledger")
+
+
 def apply_policy(entries: DataFrame, policy: str | Iterable[str], name: str = "kept") -> DataFrame:
     """Add a boolean: no rule of the policy failed."""
     return entries.withColumn(name, F.col("failed").bitwiseAND(F.lit(mask(policy))) == 0)

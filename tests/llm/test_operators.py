@@ -290,7 +290,7 @@ def test_disguised_words_are_restored(spark):
 
 
 def test_ablation(spark, docs):
-    entries = rules.ledger(docs).cache()
+    entries = rules.stored_ledger(docs)
     rows = entries.collect()
     m = rules.mask("v2")
     names = list(rules.rules())
