@@ -43,8 +43,8 @@ def odd(tmp_path_factory):
     docs += [
         (None, "text without an id, released under the MIT License.", "en", "a"),
         (200, None, "en", "a"), (201, "", "en", None), (202, " \n\t ", None, "b"), (203, "12345 !!! ???", "en", "b"),
-        (204, "word", "en", "b"), (205, "日本語のテキスト 한국어 العربية", "xx", "c"), (206, "a" * 300_000, "en", "c"),
-        (207, (PROSE + "\n") * 3000, "en", "c"), (208, "\x00\x01 odd \ufffd \U0001f600 😀 𝔘nicode", "en", "c"),
+        (204, "word", "en", "b"), (205, "日本語のテキスト 한국어 العربية", "xx", "c"), (206, "a" * 20_000, "en", "c"),
+        (207, (PROSE + "\n") * 150, "en", "c"), (208, "\x00\x01 odd \ufffd \U0001f600 😀 𝔘nicode", "en", "c"),
         (209, "same", "en", "d"), (209, "same", "en", "d"), (209, "other text of five words here", "en", "d"), (None, None, None, None),
         (210, "Licensed under the Apache License, Version 2.0. mit license MIT LICENSE", "en", "d"),
         (211, "\\</s> [INST] i d i o t <|endoftext|> it's we'll 1d10t", "en", "d"), (212, "A\u030a B\u0308 İstanbul ǅ ß", "en", "d"),
