@@ -80,3 +80,11 @@ def test_odd_rows(spark, odd, name):
 def test_empty_tables(spark, empty, name):
     got = QUERIES[name](spark, empty).toPandas()
     assert len(got) == (1 if name == "op7_chat_formatting" else 0)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_very_long_texts(spark, tmp_path, name):
+    docs = [(1, "a" * 300_000, "en", "s"), (2, (PROSE + "\n") * 3000, "en", "s"), (3, "i d i o t " * 20_000, "en", "s")]
+    folder = write_tables(tmp_path, docs, [(1, PROSE)], [(1, 1, 0), (2, 0, 1)], [(1, 0, "user", "x" * 300_000), (1, 1, "assistant", "</s>" * 50_000)])
+    rows = QUERIES[name](spark, folder).collect()
+    assert {r["conv_id" if name.startswith("op7") else "doc_id"] for r in rows} == ({1, -7} if name.startswith("op7") else {1, 2, 3})
