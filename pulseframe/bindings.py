@@ -52,7 +52,7 @@ BINDINGS = {
              CAST(CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN NULL ELSE sum(CAST(floor(value) AS BIGINT)) END AS DOUBLE) AS value,
              CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN 'insufficient_data' ELSE 'ok' END AS status,
              CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN concat('gap ', CAST(count(*) % 2 AS VARCHAR(20))) ELSE NULL END AS reason
-      FROM events WHERE user_id < 20 GROUP BY CAST(ts AS DATE), event_type""",
+      FROM events GROUP BY CAST(ts AS DATE), event_type""",
     "workout_metrics": """
       SELECT CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS date, @E(ts) AS start_ts, @E(ts) + (20 + event_id % 70) * 60 AS end_ts, concat('sport_', CAST(user_id % 7 AS VARCHAR(20))) AS sport,
              CASE event_id % 3 WHEN 0 THEN 'hr_ours' WHEN 1 THEN 'device_zones' ELSE 'detected' END AS method, CAST(20 + event_id % 70 AS DOUBLE) AS duration_min,
