@@ -16,3 +16,8 @@ def test_long_covers_all_events(spark):
     want = [(r["date"], float(r["s"]) if r["s"] % 7 else None) for r in days.collect()]
     got = sorted(((r["date"], r["value"]) for r in bind(spark, FOLDER, "long").collect()), key=str)
     assert got == sorted(want, key=str)
+
+
+def test_workouts_cover_all_purchases(spark):
+    n = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'purchase'").count()
+    assert bind(spark, FOLDER, "workouts").count() == n
