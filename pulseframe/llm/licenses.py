@@ -1,7 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is what lies between line breaks and sentence ends. A template is in a block where at
-least 85 % of its distinct words are. Template words are counted over all documents and ordered
+A block is what lies between lines without words and sentence ends; the lines of a hard-wrapped
+notice are one block. A template is in a block where at least 85 % of its distinct words are. Template words are counted over all documents and ordered
 from rare to frequent; a block that meets the threshold must hold one of the first
 ``n - ceil(0.85 n) + 1`` of them (prefix filter) and as many words as the threshold asks (length
 filter); while the overlap is counted in that order, a pair is dropped as soon as the words that
@@ -64,14 +64,19 @@ def needed(n: int) -> int:
 
 
 def block_starts(chunk: Texts) -> np.ndarray:
-    """For each word the number of its block: blocks end at line breaks, sentence ends and texts."""
-    data = chunk.data
+    """For each word the number of its block: blocks end at lines without words, sentence ends and texts."""
+    data, begin = chunk.data, chunk.begin
+    if not len(begin):
+        return np.zeros(0, np.int64)
     space = (data == 32) | (data == 10) | (data == 9) | (data == 13)
     stop = (data == 46) | (data == 33) | (data == 63) | (data == 59)
-    ends = data == 10
-    ends[:-1] |= stop[:-1] & space[1:]
-    number = np.cumsum(ends, dtype=np.int64)[chunk.begin]
-    return number + chunk.doc  # a text begins a new block
+    ends = np.zeros(len(data), bool)
+    ends[:-1] = stop[:-1] & space[1:]
+    stops, breaks = (np.cumsum(x, dtype=np.int64)[begin] for x in (ends, data == 10))
+    new = np.zeros(len(begin), np.int64)
+    # one line break between two words wraps a line, two leave a line without words
+    new[1:] = (np.diff(stops) > 0) | (np.diff(breaks) > 1)
+    return np.cumsum(new) + chunk.doc  # a text begins a new block
 
 
 def scan(
