@@ -21,3 +21,7 @@ def test_long_covers_all_events(spark):
 def test_workouts_cover_all_purchases(spark):
     n = spark.read.parquet(f"{FOLDER}/events.parquet").where("event_type = 'purchase'").count()
     assert bind(spark, FOLDER, "workouts").count() == n
+
+
+def test_every_session_has_its_segments(spark):
+    assert bind(spark, FOLDER, "segments").count() == 5 * bind(spark, FOLDER, "sessions").count()
