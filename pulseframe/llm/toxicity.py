@@ -1,7 +1,7 @@
 """Toxicity scores of texts restored through a noisy channel.
 
-Disguised words are found first: tokens with digits or signs in the place of letters, letters
-written apart, and letters repeated three times or more. Each is a lattice: a sign may stand for
+Disguised words are found first: tokens with digits or signs in the place of letters, at any place
+and next to each other too, letters or signs written apart, and letters repeated three times or more. Each is a lattice: a sign may stand for
 several letters, a separator for none, a repeated letter for itself or none. A Viterbi search finds
 the likeliest letters under a character trigram model, which is counted over all documents and
 interpolated with the learned word list. The restored words are then scored like plain ones.
@@ -24,8 +24,9 @@ an empty table gives an empty result. Columns named like a result column are rep
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,17 +49,10 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 SEPARATORS = " .-_*"
 #: Costs (negative logarithms): a sign read as a letter, and a repeated letter left out or kept.
 SIGN_COST, DROP_COST, KEEP_COST = 0.5, 0.3, 1.0
-#: Tokens of more characters are not words in disguise.
+#: Tokens of more characters are searched in overlapping parts.
 LONGEST = 32
 _RUN = 64
 
-_is_letter = np.zeros(256, bool)
-_is_letter[ord("a") : ord("z") + 1] = _is_letter[ord("A") : ord("Z") + 1] = True
-_is_letter[128:] = True
-_is_sign = np.zeros(256, bool)
-_is_sign[[ord(c) for c in SIGNS]] = True
-_is_separator = np.zeros(256, bool)
-_is_separator[[ord(c) for c in SEPARATORS]] = True
 # letters of the character model: 0 for what is no letter, a-z, and one for all others
 _model_letter = np.zeros(256, np.int64)
 _model_letter[ord("a") : ord("z") + 1] = _model_letter[ord("A") : ord("Z") + 1] = np.arange(1, 27)
@@ -308,65 +302,94 @@ class CharacterModel:
         return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
 
 
-_TOKEN_EDGE = re.compile(r"^[^\w@$!|+*]+|[^\w@$|+]+$|([@$!|+*%#&])\1+$")
-_IN_TOKEN = re.compile(r"^[^\W\d_]*(?:[0134578@$!|+*._-]|[^\W\d_])*$")
-
-
-def disguised(chunk: Texts) -> list[tuple[int, int, int, str]]:
-    """(text, first byte, end, token) of what may be words in disguise."""
-    data, n = chunk.data, len(chunk.data)
-    if n < 4:
-        return []
-    letter, sign = _is_letter[data], _is_sign[data]
-    low = np.where((data >= 65) & (data <= 90), data + 32, data)
-    marks = np.zeros(n, bool)
-    # a sign right before a letter, after a letter or at the start of a token
-    space = (data == 32) | (data == 10) | (data == 9) | (data == 13)
-    marks[1:-1] = sign[1:-1] & letter[2:] & (letter[:-2] | space[:-2])
-    marks[0] = sign[0] & letter[1]
-    marks[2:] |= letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (data[2:] < 128)
-    starts = chunk.offsets
-    edges = np.concatenate([[-1], np.flatnonzero(space), [n]])
-    out, seen = [], set()
-    for at in np.flatnonzero(marks).tolist():
-        i = int(np.searchsorted(edges, at))
-        d = int(np.searchsorted(starts, at, "right")) - 1
-        lo, hi = max(int(edges[i - 1]) + 1, int(starts[d])), min(int(edges[i]), int(starts[d + 1]))
-        if hi - lo < 3 or hi - lo > 2 * LONGEST or (lo, hi) in seen:
-            continue
-        seen.add((lo, hi))
-        token = bytes(data[lo:hi]).decode("utf-8", "ignore")
-        token = _TOKEN_EDGE.sub("", _TOKEN_EDGE.sub("", token))
-        if 3 <= len(token) <= LONGEST and _IN_TOKEN.match(token) and any(c.isalpha() for c in token):
-            out.append((d, lo, hi, token))
-    # letters written apart: at least three single letters with one separator between
-    gap = _is_separator[data]
-    apart = np.zeros(n, bool)
-    if n >= 5:
-        triple = letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:] & (data[:-4] < 128) & (data[2:-2] < 128)
-        free = np.ones(n - 4, bool)
-        free[1:] = ~letter[: n - 5]
-        apart[: n - 4] = triple
-        first = np.flatnonzero(triple & free)
-    else:
-        first = np.zeros(0, np.int64)
-    last = -1
-    for at in first.tolist():
-        if at < last:
-            continue
-        d = int(np.searchsorted(starts, at, "right")) - 1
-        end = int(starts[d + 1])
-        hi = at
-        while hi + 2 < end and gap[hi + 1] and letter[hi + 2] and not (hi + 3 < end and letter[hi + 3]):
-            hi += 2
-        last = hi + 1
-        if hi - at < 4:
+_INNER = "._-"
+_EDGE_SIGNS = re.compile(r"^[@$!|+*._-]+|[@$!|+*._-]+$")
+_SOME_SIGN = re.compile(f"[{re.escape(''.join(SIGNS))}]")
+_LONG_REPEAT = re.compile(r"(.)\1{3,}", re.S)
+
+
+def _table(test: Callable[[str], bool]) -> np.ndarray:
+    """By code point up to 0xFFFF; the last place stands for all beyond."""
+    return np.array([test(chr(i)) for i in range(1 << 16)] + [True])
+
+
+_letter_point = _table(lambda c: ("a" <= c <= "z" or "A" <= c <= "Z") if c < "\x80" else unicodedata.category(c)[0] in "LM")
+_sign_point, _separator_point, _inner_point = (np.isin(np.arange((1 << 16) + 1), [ord(c) for c in of]) for of in (SIGNS, SEPARATORS, _INNER))
+
+
+def _token_forms(run: str) -> Iterator[tuple[bool, str]]:
+    """What a run of letters, signs and inner separators may be as a word: whole or in part, with and without the signs at its edges.
+
+    Long repeats count as three; what is still longer than a word goes out in overlapping parts, to be searched inside.
+    """
+    run = _LONG_REPEAT.sub(r"\1\1\1", run).strip(_INNER)
+    parts = [p for p in re.split(r"[._-]+", run) if p]
+    seen = set()
+    for part in [run, *parts] if len(parts) > 1 else [run]:
+        for form in (part, _EDGE_SIGNS.sub("", part)):
+            if form in seen or len(form) < 3 or not any(c.isalpha() for c in form):
+                continue
+            seen.add(form)
+            if not (_SOME_SIGN.search(form) or _DRAWN_OUT.search(form.lower())):
+                continue
+            if len(form) <= LONGEST:
+                yield False, form
+            else:
+                for lo in range(0, len(form) - LONGEST // 2, LONGEST // 2):
+                    yield True, form[lo : lo + LONGEST]
+
+
+def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
+    """(text, whether words may lie anywhere inside, token) of what may be words in disguise."""
+    points, bounds = chunk.code_points
+    n = len(points)
+    if n < 3:
+        return
+    text = points.astype("<u4").tobytes().decode("utf-32-le", "replace")
+    at = np.minimum(points, 1 << 16)
+    letter, sign, separator = _letter_point[at], _sign_point[at], _separator_point[at]
+    first = np.zeros(n + 1, bool)  # where texts begin
+    first[bounds] = True
+    low = np.where((points >= 65) & (points <= 90), points + 32, points)
+    drawn = np.zeros(n, bool)
+    drawn[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    letters, signs, drawns, separators = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, sign, drawn, separator))
+
+    body = letter | sign | _inner_point[at]
+    opens, closes = body.copy(), body.copy()
+    opens[1:] &= ~body[:-1] | first[1:n]
+    closes[:-1] &= ~body[1:] | first[1:n]
+    lo, hi = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    some = (hi - lo >= 3) & (letters[hi] > letters[lo]) & ((signs[hi] > signs[lo]) | (drawns[hi] > drawns[lo]))
+    lo, hi = lo[some], hi[some]
+    for d, i, j in zip((np.searchsorted(bounds, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
+        for inside, token in _token_forms(text[i:j]):
+            yield d, inside, token
+
+    # written apart: at least three single letters or signs with nothing but separators between
+    single = (letter | sign) & ~separator
+    alone = single.copy()
+    alone[1:] &= ~single[:-1] | first[1:n]
+    alone[:-1] &= ~single[1:] | first[1:n]
+    at = np.flatnonzero(alone)
+    if len(at) < 3:
+        return
+    doc = np.searchsorted(bounds, at, "right") - 1
+    gap = np.diff(at) - 1
+    linked = (gap > 0) & (separators[at[1:]] - separators[at[:-1] + 1] == gap) & (doc[1:] == doc[:-1])
+    cuts = np.concatenate([[0], np.flatnonzero(~linked) + 1, [len(at)]])
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if j - i < 3 or letters[at[j - 1] + 1] == letters[at[i]]:
             continue
-        for lo in range(at, hi + 1, 2 * (_RUN - 16)):  # long runs in overlapping parts
-            out.append((d, lo, min(lo + 2 * _RUN, last), bytes(data[lo : min(lo + 2 * _RUN, last)]).decode("utf-8", "ignore")))
-            if lo + 2 * _RUN >= last:
+        places = at[i:j].tolist()
+        token = text[places[0]]
+        for a, b in zip(places, places[1:], strict=False):
+            between = text[a + 1 : b]
+            token += ("*" if "*" in between else (between.strip() or " ")[0]) + text[b]
+        for k in range(0, len(token), 2 * (_RUN - 16)):  # long runs in overlapping parts
+            yield int(doc[i]), True, token[k : k + 2 * _RUN]
+            if k + 2 * _RUN >= len(token):
                 break
-    return out
 
 
 _DRAWN_OUT = re.compile(r"(.)\1\1")
@@ -401,24 +424,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
         listed = words.texts()
         decoder = CharacterModel(sent.value.counts, [t for t, _, _ in listed])
         compact = [(t, _once(t), whole, p) for t, whole, p in listed]
-        memory: dict[str, tuple[str, list[tuple[str, float]]]] = {}
+        memory: dict[tuple[bool, str], tuple[str, list[tuple[str, float]]]] = {}
 
-        def restore(token: str) -> tuple[str, list[tuple[str, float]]]:
-            got = memory.get(token)
+        def restore(inside: bool, token: str) -> tuple[str, list[tuple[str, float]]]:
+            got = memory.get((inside, token))
             if got is None:
                 if len(memory) > 50_000:
                     memory.clear()
                 word = decoder.decode(token)
-                apart = len(token) > 4 and token[1] in SEPARATORS and token[3] in SEPARATORS
                 # where letters were drawn out, how often a letter stood is not known
                 forms = [(word, 0)] + [(_once(word), 1)] * bool(_DRAWN_OUT.search(token))
                 hits = []
                 for *texts, whole, p in compact if word != token.lower() else ():
                     for form, i in forms:
-                        if texts[i] in form if apart else texts[i] == form if whole else form.startswith(texts[i]):
+                        if texts[i] in form if inside else texts[i] == form if whole else form.startswith(texts[i]):
                             hits.append((texts[0], p))
                             break
-                got = memory[token] = (word, hits)
+                got = memory[inside, token] = (word, hits)
             return got
 
         def score_chunk(chunk: Texts):
@@ -435,8 +457,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
                         if times >= least:
                             found[d].add(t)
                             best[d] = max(best[d], p)
-            for d, _, _, token in disguised(chunk) if listed else ():
-                word, hits = restore(token)
+            for d, inside, token in disguised(chunk) if listed else ():
+                word, hits = restore(inside, token)
                 if hits:
                     restored[d].append({"token": token, "word": word})
                 for t, p in hits:
