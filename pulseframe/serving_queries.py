@@ -93,7 +93,7 @@ def durations(spark, d):
 
 @query
 def column_profile(spark, d):
-    return PR.column_stats(table(spark, d, "customer")).drop("distinct_about")
+    return PR.column_stats(table(spark, d, "customer")).drop("distinct")
 
 
 @query
