@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import epoch_unit
-from ..operators.series import average_rank, exclusive_quantile
+from ..operators.series import average_rank
 
 # What names of columns say about them.
 ROLES = {
@@ -73,9 +73,22 @@ def covered_minutes(df: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFra
 
 
 def quantiles(df: DataFrame, column: str, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Quantiles by the exclusive method, per key."""
-    sorted_ = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(column).cast("double"))).alias("_v"))
-    return sorted_.select(*keys, *[exclusive_quantile(F.col("_v"), p).alias(f"q{round(p * 100)}") for p in points])
+    """Quantiles by the exclusive method, per key.
+
+    Equal values are counted first; running counts find the two neighbours of each quantile, so no
+    row holds a key's values. The distinct values of one key are sorted in one task.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    running = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    n, least = F.col("_n"), lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
+    place = lambda p: (n + 1) * F.lit(float(p))
+    lower = lambda p: F.greatest(F.lit(1), F.least(n - 1, F.floor(place(p))))
+    name = lambda p: f"q{round(p * 100)}"
+    neighbours = running.join(total, same or F.lit(True)).groupBy(*keys, "_n").agg(*[least(lower(p) + i).alias(f"_{name(p)}_{i}") for p in points for i in (0, 1)])
+    at = lambda p, i: F.col(f"_{name(p)}_{i}")
+    return neighbours.select(*keys, *[F.when(n > 1, at(p, 0) + (at(p, 1) - at(p, 0)) * (place(p) - lower(p))).alias(name(p)) for p in points])
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
@@ -197,10 +210,20 @@ def key_profile(df: DataFrame, key: str, ts: str, device: str, value: str | None
 
 
 def top_steps(df: DataFrame, ts: str, n: int = 5) -> DataFrame:
-    """The commonest steps between consecutive distinct instants; equals by step."""
-    w = Window.partitionBy(F.lit(0)).orderBy(ts)
-    steps = df.select(ts).where(F.col(ts).isNotNull()).distinct().withColumn("step", F.col(ts) - F.lag(ts).over(w)).where("step IS NOT NULL")
-    return value_counts(steps, "step", n)
+    """The commonest steps between consecutive distinct instants; equals by step.
+
+    Instants are cut into ranges at their quantiles; steps are taken within each range, and one more
+    across each border from the ranges' ends.
+    """
+    times = df.select(F.col(ts).alias("_t")).where(F.col(ts).isNotNull()).distinct()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = times.agg(F.percentile_approx("_t", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts or []))])
+    ranged = times.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col("_t"))))
+    inside = ranged.select((F.col("_t") - F.lag("_t").over(Window.partitionBy("_range").orderBy("_t"))).alias("step"))
+    ends = ranged.groupBy("_range").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"))  # a row per range
+    across = ends.select((F.col("_a") - F.lag("_b").over(Window.partitionBy(F.lit(0)).orderBy("_range"))).alias("step"))
+    return value_counts(inside.unionByName(across).where("step IS NOT NULL"), "step", n)
 
 
 def hr_sanity(df: DataFrame, bpm: str, keys: Sequence[str]) -> DataFrame:
