@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +30,46 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_noted: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for paths in _noted[-1:]:
+        paths.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove intermediate tables that :func:`stored` wrote and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "stored_path", None):
+            remove_folder(t.sparkSession, path)
+
+
+def finished(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The table that ``make`` returns, written and read back; what was stored on the way to it is removed."""
+    _noted.append([])
+    try:
+        out = make()
+        written = stored(out, label)
+    finally:
+        on_the_way = _noted.pop()
+    for path in on_the_way:
+        if path != written.stored_path:
+            remove_folder(written.sparkSession, path)
+    for paths in _noted[-1:]:
+        paths.append(written.stored_path)
+    return written
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
