@@ -8,8 +8,13 @@ exactly the turns it was made of.
 
 All of it is built-in functions on the JVM.
 
+The JSON parser takes no string over 20 million characters and no record over 16 MiB. A conversation
+of more than :data:`LONG` characters is therefore not put through it: its turns go on as they are.
+They are the turns that its record would give, as layouts lose nothing, so the output does not
+depend on the length.
+
 Nulls, ties, repeats: null roles and texts are empty; a record whose layout no mapping knows, or
-that is no JSON, keeps null turns and null output; an empty list of turns gives an empty text.
+that the parser refuses, keeps null turns and null output; an empty list of turns gives an empty text.
 Turns of equal number go by role, then text; repeated records are formatted each for itself.
 Columns of the input named like a result column are replaced.
 """
@@ -23,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role:string,text:string>>"
+#: Conversations of more characters (roles and texts) keep their turns beside the record.
+LONG = 1 << 20
 
 # The strings that mark turns.
 CONTROL = r"(?:<</?(?:SYS|ROLE)>>|\[/?INST\]|</?s>)"
@@ -98,8 +105,11 @@ def fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(field_paths(record).cast("binary"), 256), 1, 16)
 
 
-def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Add ``fingerprint``, ``layout`` and ``turns`` to JSON records."""
+def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, given: str | None = None) -> DataFrame:
+    """Add ``fingerprint``, ``layout`` and ``turns`` to JSON records.
+
+    ``given`` names a column of turns that stand as they are where it is not null.
+    """
     parsed = records.withColumn("_v", F.try_parse_json(record))
     marked = parsed.withColumn("fingerprint", fingerprint(F.col("_v")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
@@ -107,6 +117,8 @@ def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[
         mine = F.col("fingerprint") == m.fingerprint
         layout = F.when(mine, F.lit(m.name)).otherwise(layout)
         turns = F.when(mine, m.turns(F.col("_v"))).otherwise(turns)
+    if given:
+        turns = F.coalesce(F.col(given).cast(_TURNS), turns)
     return marked.withColumns({"layout": layout, "turns": turns}).drop("_v")
 
 
@@ -175,23 +187,28 @@ def loss_text(formatted: Column, mask: Column) -> Column:
 
 
 def records_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rows by turn -> one JSON record per conversation, in the layout that suits its roles.
+    """Rows by turn -> one JSON ``record`` per conversation, in the layout that suits its roles.
 
+    A conversation of more than :data:`LONG` characters has a null record and ``long_turns`` instead.
     A conversation is one record of the output, so its rows come together; it is the unit that
     grows with its own length only.
     """
     own = F.struct(F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    grouped = rows.groupBy(conversation).agg(F.sort_array(F.collect_list(own)).alias("_m"))
-    roles = F.array_join(F.transform("_m", lambda m: m["role"]), ",")
+    size = F.sum(F.char_length("_o.role").cast("long") + F.char_length("_o.content"))
+    grouped = rows.select(conversation, own.alias("_o")).groupBy(conversation).agg(F.sort_array(F.collect_list("_o")).alias("_m"), size.alias("_chars"))
+    roles = F.transform("_m", lambda m: m["role"])
+    are = lambda *names: roles == F.array(*[F.lit(n) for n in names])
     at = lambda i: F.get("_m", F.lit(i))["content"]
     messages = lambda c: F.transform(c, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(at(0).alias("instruction"), at(1).alias("input"), at(2).alias("output"))))
+        F.when(are("user", "assistant"), F.to_json(F.struct(at(0).alias("prompt"), at(1).alias("response"))))
+        .when(are("system", "user", "assistant"), F.to_json(F.struct(at(0).alias("instruction"), at(1).alias("input"), at(2).alias("output"))))
         .when(
-            (F.get("_m", F.lit(0))["role"] == "system") & (F.size("_m") > 1),
+            (F.get(roles, F.lit(0)) == "system") & (F.size("_m") > 1),
             F.to_json(F.struct(at(0).alias("system"), messages(F.slice("_m", F.lit(2), F.size("_m"))).alias("messages"))),
         )
         .otherwise(F.to_json(F.struct(messages(F.col("_m")).alias("messages"))))
     )
-    return grouped.select(conversation, record.alias("record"))
+    long = F.col("_chars") > LONG
+    turns = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
+    return grouped.select(conversation, F.when(~long, record).alias("record"), F.when(long, turns).alias("long_turns"))

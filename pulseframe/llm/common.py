@@ -7,8 +7,6 @@ every byte of a non-ASCII character is 0x80 or more, so words can be found byte
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property
 
@@ -19,52 +17,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..store import discard, finished, stored  # noqa: F401  used by the operators
+
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Most values of a group whose sampling shares are broadcast.
-MOST_GROUPS = 10_000
+#: Bounds of training samples: the most groups learned, and about the most rows of all groups together.
+MOST_GROUPS, MOST_ROWS = 10_000, 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder serves a single-machine (``local``) session; any other
-    master needs the setting.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def sample_ids(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
-    """About ``rows`` rows per value of ``group``, chosen by a hash of the key: (key, group) only.
+def training_rows(docs: DataFrame, labels: DataFrame, key: str, group: str, text: str, rows: int) -> DataFrame:
+    """Labelled texts to learn from: (key, group, text), about ``rows`` of each value of ``group``.
 
-    The result is bounded by ``rows`` times the number of values, so it may be broadcast. Rows with
-    a null key or group are left out.
+    ``labels`` holds (key, group), or is ``docs`` itself. Which ids are taken depends on a hash of
+    the id; of rows that repeat an id the least text trains, once. Rows with a null id, group or text
+    are left out, and groups beyond the :data:`MOST_GROUPS` most frequent ones (ties by value). All
+    groups together have about :data:`MOST_ROWS` rows at most, whatever the tables hold.
     """
-    known = df.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull())
-    share = stored(known.groupBy(group).agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("_share")), "shares")
-    if share.count() <= MOST_GROUPS:  # else the rows meet their shares by a shuffle
-        share = F.broadcast(share)
+    known = labels.select(key, group).where(F.col(key).isNotNull() & F.col(group).isNotNull())
+    sizes = known.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), group).limit(MOST_GROUPS)
+    found = sizes.collect()  # at most MOST_GROUPS rows
+    each = min(rows, MOST_ROWS / max(len(found), 1))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r[group], each / r["_n"]) for r in found], f"`{group}` {sizes.schema[group].dataType.simpleString()}, _share double"))
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.join(share, group).where(place < F.col("_share")).select(key, group)
+    chosen = F.broadcast(known.join(share, group).where(place < F.col("_share")).select(key, group).distinct())
+    own = docs.select(key, group, text).join(chosen, [key, group], "left_semi") if labels is docs else docs.select(key, text).join(chosen, key)
+    return own.where(F.col(text).isNotNull()).groupBy(key, group).agg(F.min(text).alias(text))
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

@@ -1,11 +1,16 @@
-"""Connected components of edge tables by alternating large-star and small-star steps."""
+"""Connected components of edge tables by alternating large-star and small-star steps.
+
+Nulls, ties, repeats: an edge with a null end and an edge from a node to itself join nothing and are
+left out; repeated edges count once; a node without edges is not in the result; an empty table gives
+an empty result. Other columns are not carried.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,10 +37,13 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     now = stored(_small_star(edges.where("u <> v")), label)
     state = None
     while True:
-        now = stored(_small_star(_large_star(now)), label)
+        last, now = now, stored(_small_star(_large_star(now)), label)
+        discard(last)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if new == state:
             break
         state = new
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), label)
+    discard(now)
+    return out

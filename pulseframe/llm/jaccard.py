@@ -1,23 +1,34 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of five-word shingles (a shorter text is one shingle). Texts of equal sets are
-copies: they form one node, and are never paired. Nodes that share a band of MinHash values fall in
-one candidate group. In a group, MinHash values are compared 16 at a time; a pair is dropped once
-the posterior probability that its Jaccard similarity reaches the threshold falls below the
-tolerance, given how many values agree (a uniform prior makes that a binomial tail). Pairs that
-survive are verified on their whole shingle sets.
-
-Groups are cut into blocks of bounded rows and bytes, and each pair of blocks is one unit of work:
-it returns how many links each node has and a spanning forest of them, never the pairs. So a group
-of many near copies costs comparisons, but no task, row count or driver memory grows with its
-square. Nodes that no candidate reaches are dropped before shingles are gathered; a bit table of
-bounded size tells which texts to shingle again.
-
-The chance to miss a pair at the threshold is about 4e-6 by banding and 1e-5 by pruning.
+Texts are sets of five-word shingles (a shorter text is one shingle), which stand as 64-bit hashes:
+"equal" and "verified exactly" below are said of the hashed shingles, and sets are told apart by 128
+bits. Texts of equal sets are copies: they form one node, and are never paired.
+
+Candidates come from the buckets of nodes that share a band of MinHash values, bucket by bucket: the
+values are compared 16 at a time, and a pair is dropped once the posterior probability that its
+Jaccard similarity reaches the threshold falls below the tolerance, given how many values agree (a
+uniform prior makes that a binomial tail). Here the low bytes of the values do, which never show less
+agreement. Buckets return only the links that join their nodes, so that no pair is emitted; a node
+that is already joined is not compared again.
+
+Nodes so joined are a group. In a group all pairs are pruned by the whole values, and survivors are
+verified on their whole shingle sets. Large groups are cut into blocks of bounded rows and bytes,
+each pair of blocks is one unit of work, and a unit returns how many links each node has and a
+spanning forest of them. Counting every link of a group of n different near copies takes a number
+of comparisons that grows with the square of n, and each node goes to every block of its own group
+(n nodes make n times n / :data:`BLOCK_ROWS` rows); other nodes are not touched by that. No task,
+output or driver memory grows so.
+
+Nodes that no candidate reaches are dropped before shingles are gathered; a bit table of bounded
+size tells which texts to shingle again.
+
+The chance to miss a pair at the threshold is about 4e-6 by banding and 1e-5 by pruning. Pairs below
+the threshold are no links, whatever share of their words they have in common.
 
 Nulls, ties, repeats: a text without words (null, empty) links to nothing and is its own class;
 rows that repeat an id or a text are rows of their own; the class id is the least id in the class,
-null if all are null; an empty table gives an empty result. Other columns are not carried.
+null if all are null; an empty table gives an empty result. Other columns are not carried by
+:func:`near_duplicates`; :func:`keep_one` returns rows as they came, whatever their columns' names.
 """
 
 from __future__ import annotations
@@ -30,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, hash_runs, map_texts, mix, shuffle_partitions, stored
+from .common import Texts, discard, hash_runs, map_texts, mix, shuffle_partitions, stored
 from .graph import components
 
 SHINGLE = 5
@@ -39,7 +50,11 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-5
-#: Bounds of a block, and of what small groups are packed into. Groups under 16 blocks get smaller ones.
+#: Rows of a block of a large bucket.
+BUCKET_ROWS = 1024
+#: Buckets of so many rows are compared by distance in one sweep, larger ones one by one.
+SWEPT = 12
+#: Bounds of a block of a group, and of what small groups are packed into. Groups under 16 blocks get smaller ones.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 #: Most bits of the table of candidates.
 MOST_BITS = 1 << 26
@@ -94,7 +109,7 @@ def _masked(values: np.ndarray, has: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: key, ``s1`` and ``s2`` (the set's fingerprint), ``n`` shingles and ``signature``."""
+    """Per row: key, ``text_hash``, ``s1`` and ``s2`` (the set's fingerprint), ``n`` shingles, ``signature`` and ``sketch`` (the low bytes of its values)."""
 
     def make():
         def sign(chunk: Texts):
@@ -102,17 +117,20 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
             n = np.diff(at)
             has = n > 0
             one, two = _set_keys(h, at)
-            values = iter(signatures(h, at))
+            made = signatures(h, at)
+            values, low = iter(made), iter(made.astype(np.uint8))
             return [
                 _masked(one, has, pa.int64()),
                 _masked(two, has, pa.int64()),
                 pa.array(n.astype(np.int64)),
                 pa.array([next(values).tobytes() if x else None for x in has], pa.binary()),
+                pa.array([next(low).tobytes() if x else None for x in has], pa.binary()),
             ]
 
         return sign
 
-    return map_texts(docs, text, [key], "s1 long, s2 long, n long, signature binary", make)
+    hashed = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("text_hash"))
+    return map_texts(hashed, text, [key, "text_hash"], "s1 long, s2 long, n long, signature binary, sketch binary", make)
 
 
 @cache
@@ -235,15 +253,90 @@ def _linked_unit(table: pa.Table) -> pa.Table:
     return out.append_column("whole", pa.array([table.column("whole")[0].as_py()] * out.num_rows, pa.bool_()))
 
 
+def _surviving(values: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows x, y those that pruning leaves."""
+    kept = []
+    for lo in range(0, len(x), 1 << 16):
+        a, b = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+        count = np.zeros(len(a), np.int16)
+        for i, least in enumerate(least_matches()):
+            part = slice(STEP * i, STEP * (i + 1))
+            count += (values[a, part] == values[b, part]).sum(axis=1, dtype=np.int16)
+            keep = count >= least
+            a, b, count = a[keep], b[keep], count[keep]
+        kept.append((a, b))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(k[i] for k in kept)]) for i in (0, 1))
+
+
+def _joined(values: np.ndarray) -> np.ndarray:
+    """For each row the first row of those that surviving pairs join it with.
+
+    Rows in reach of a seed are found step by step; rows found already are not compared again.
+    """
+    root = np.arange(len(values))
+    rest = np.arange(len(values))
+    while len(rest):
+        seed, rest = rest[0], rest[1:]
+        reached = np.array([seed])
+        while len(reached) and len(rest):
+            new = []
+            for lo in range(0, len(reached), 256):
+                _, hit = pruned_pairs(values[reached[lo : lo + 256]], values[rest])
+                mask = np.zeros(len(rest), bool)
+                mask[hit] = True
+                new.append(rest[mask])
+                rest = rest[~mask]
+            reached = np.concatenate(new)
+            root[reached] = seed
+    return root
+
+
+def _bucket_links(table: pa.Table) -> pa.Table:
+    """One unit of buckets -> links (u, v) that join the nodes of each as its surviving pairs do."""
+    bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
+    order = np.lexsort((node, bucket))
+    bucket, node = bucket[order], node[order]
+    values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)[order]
+    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+    size = np.repeat(np.diff(cuts), np.diff(cuts))
+    found = []
+    for apart in range(1, SWEPT):
+        x = np.flatnonzero((bucket[apart:] == bucket[:-apart]) & (size[apart:] <= SWEPT))
+        x, y = _surviving(values, x, x + apart)
+        found.append((node[x], node[y]))
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        if hi - lo > SWEPT:
+            root = _joined(values[lo:hi])
+            other = np.flatnonzero(root != np.arange(hi - lo))
+            found.append((node[lo + root[other]], node[lo + other]))
+    return pa.table({"u": pa.array(np.concatenate([f[0] for f in found])), "v": pa.array(np.concatenate([f[1] for f in found]))})
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root): candidate groups of nodes that share bands, directly or through others."""
+    """(node, root): groups of nodes that pruning joins, pair by pair or through others."""
+    spark = nodes.sparkSession
     width = 4 * ROWS
     bands = nodes.select(
         "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * width + 1, F.lit(width)))).alias("band", "values")
     ).select("node", F.xxhash64("band", "values").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").drop("w")
-    edges = bands.join(shared, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    return stored(components(edges, "candidates"), "candidate-groups")
+    shared = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-bands")
+    small = shared.where(F.col("members") <= BUCKET_ROWS).agg(F.sum("members")).first()[0] or 0
+    packs = max(4 * shuffle_partitions(spark), -(-int(small) // (16 * BUCKET_ROWS)))
+    members = bands.join(shared, "bucket").join(nodes.select("node", "sketch"), "node")
+    # a bucket of several blocks: every pair of blocks is a unit, which holds the rows of both
+    blocks = F.ceil(F.col("members") / BUCKET_ROWS).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit("bucket")), F.col("blocks")).cast("int"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    paired = placed.withColumn("other", F.explode(others))
+    block = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    units = paired.select(
+        F.when(F.col("blocks") == 1, F.pmod(F.col("bucket"), F.lit(packs))).otherwise(block).alias("unit"),
+        F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(block).alias("bucket"), "node", "sketch",
+    )
+    edges = units.groupBy("unit").applyInArrow(_bucket_links, "u long, v long").distinct()
+    out = components(edges, "candidate-groups")
+    discard(shared)
+    return out
 
 
 def _shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -284,13 +377,12 @@ def _shingled(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFr
     return made.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: its key, ``class_id``, ``n_links`` (other rows at the threshold, copies included),
-    ``n_text_links`` (other texts) and ``class_rows`` (rows of its class)."""
+def _classified(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, text_hash, s1, s2, n) and, by s1 and s2, what is found of each set: its class and links."""
     spark = docs.sparkSession
     rows = stored(signed(docs, key, text), "signed")
     grouped = rows.where("n > 0").groupBy("s1", "s2").agg(
-        F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("signature").alias("signature")
+        F.min(key).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
     )
     nodes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     groups = _candidates(nodes)
@@ -318,15 +410,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = links.where("whole").select("node", "root")
     parts = links.where("NOT whole AND node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    if not parts.isEmpty():
-        roots = roots.unionByName(components(parts, "classes"))
+    classes = None if parts.isEmpty() else components(parts, "classes")
+    if classes is not None:
+        roots = roots.unionByName(classes)
     placed_nodes = nodes.select("node", "s1", "s2", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
     placed_nodes = stored(placed_nodes.withColumn("root", F.coalesce("root", "node")), "placed")
+    discard(nodes, groups, wanted, size, links, *([] if classes is None else [classes]))
     classes = placed_nodes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"))
     found = placed_nodes.join(classes, "root").select(
-        "s1", "s2", "class_id", "class_rows",
+        "s1", "s2", "root", "class_id", "class_rows",
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0).cast("long")).alias("n_text_links"),
     )
+    return rows.drop("signature", "sketch"), found
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: its key, ``class_id``, ``n_links`` (other rows at the threshold, copies included),
+    ``n_text_links`` (other texts) and ``class_rows`` (rows of its class)."""
+    rows, found = _classified(docs, key, text)
     worded = rows.where("n > 0").select(key, "s1", "s2").join(found, ["s1", "s2"]).select(key, "class_id", "n_links", "n_text_links", "class_rows")
     zero = F.lit(0).cast("long")
     alone = rows.where("n = 0").select(key, F.col(key).alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), F.lit(1).cast("long").alias("class_rows"))
@@ -334,15 +435,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that have an earlier (lesser) one in their class.
+    """The documents without those that have an earlier one in their class.
 
-    Rows that repeat a kept id and text are copies too: one stays.
+    Earlier is the lesser id (nulls last), then the lesser hash of the text; of rows that repeat both
+    one stays. Rows without words stay.
     """
-    found = near_duplicates(docs, key, text)
-    kept = found.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_key")).distinct()
-    joined = docs.join(kept, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-    repeated = found.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key"))
-    if repeated.isEmpty():
-        return joined
-    own = F.struct(F.col(key), F.xxhash64(text))
-    return joined.withColumn("_own", own).dropDuplicates(["_own"]).drop("_own")
+    rows, found = _classified(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
+    worded = rows.where("n > 0").join(found.select("s1", "s2", "root"), ["s1", "s2"])
+    each = worded.groupBy("root", "_key", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    own = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("text_hash").alias("hash"), "rows")
+    first = stored(each.groupBy("root").agg(F.min(own).alias("w")).select("w.key", "w.hash", "w.rows"), "first-of-class")
+    silent = rows.where("n = 0").select(F.col("_key").alias("key"), F.col("text_hash").alias("hash"), F.lit(1).cast("long").alias("rows")).distinct()
+    packed = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    met = packed.join(first.unionByName(silent), F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")))
+    out = met.where("rows = 1").select("_row")
+    if not first.where("rows > 1").isEmpty():
+        out = out.unionByName(met.where("rows > 1").groupBy("_key", "_hash").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")

@@ -8,12 +8,13 @@ has the largest cosine with it.
 Letters are what Unicode calls alphabetic, in lower case; runs of anything else are one boundary,
 which is a letter of its own. Letters beyond a-z share a fixed number of vectors by hash.
 
-Prototypes are fitted on about :data:`TRAIN_ROWS` labelled rows per language (a documented bound);
-every text is scored whole.
+Prototypes are fitted on about :data:`TRAIN_ROWS` labelled rows of each of the
+:data:`~pulseframe.llm.common.MOST_GROUPS` most frequent languages (documented bounds, so that dirty
+language values cannot grow the model without end); every text is scored whole.
 
 Nulls, ties, repeats: a null text, or one without letters, is ``und`` with score 0; rows with a
 null language or id do not train; equal cosines go to the language that comes first by name;
-repeated rows train and are scored each for itself; without any training row all is ``und``; an
+a repeated id and language trains once; repeated rows are scored each for itself; without any training row all is ``und``; an
 empty table gives an empty result. Columns named like a result column are replaced.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, chunks, crc_fold, map_texts, sample_ids
+from .common import Texts, chunks, crc_fold, map_texts, training_rows
 
 DIMENSIONS = 512
 TRAIN_ROWS = 2000
@@ -102,8 +103,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     Each task bundles its own texts; Spark adds the bundles up, and one vector per language comes
     to the driver.
     """
-    chosen = sample_ids(docs, key, lang, rows).distinct()
-    train = docs.select(key, lang, text).join(F.broadcast(chosen), [key, lang], "left_semi")
+    train = training_rows(docs, docs, key, lang, text, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
 A block is what lies between lines without words and sentence ends; the lines of a hard-wrapped
-notice are one block. A template is in a block where at least 85 % of its distinct words are. Template words are counted over all documents and ordered
+notice are one block. Templates are the telling sentences of licenses, and callers may give others.
+A template is in a block where at least 85 % of its distinct words are. Template words are counted over all documents and ordered
 from rare to frequent; a block that meets the threshold must hold one of the first
 ``n - ceil(0.85 n) + 1`` of them (prefix filter) and as many words as the threshold asks (length
 filter); while the overlap is counted in that order, a pair is dropped as soon as the words that
@@ -33,8 +34,21 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("apache", "You may not use this file except in compliance with the License"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),

@@ -9,8 +9,8 @@ cosine products, and the nearest vote with their similarity as weight.
 
 Nulls, ties, repeats: a null or empty text has no terms, a zero vector, and the labelled rows'
 mean as score; of equally near neighbours the earlier by id vote; conflicting labels of one id
-train with the larger; repeated rows are scored each for itself; without labelled rows every score
-is 0.5; an empty table gives an empty result. Columns named like a result column are replaced.
+train with the larger; a repeated id trains once; repeated rows are scored each for itself; without
+labelled rows every score is 0.5; an empty table gives an empty result. Columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, map_texts, sample_ids
+from .common import Texts, map_texts, training_rows
 
 TERMS = 4096
 RANK = 48
@@ -107,9 +107,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on about ``rows`` labelled rows per label; their terms, not their texts, come to the driver."""
-    one = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
-    chosen = sample_ids(one, key, "_label", rows)
-    own = docs.select(key, text).join(F.broadcast(chosen), key)
+    one = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_label"))
+    own = training_rows(docs, one, key, "_label", text, rows)
 
     def make():
         def collect(chunk: Texts):

@@ -68,7 +68,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"),
     )
-    turns = chat.canonical_turns(chat.records_of(rows.unionByName(more)))
+    turns = chat.canonical_turns(chat.records_of(rows.unionByName(more)), given="long_turns")
     read = chat.read_back(chat.format_turns(turns).select("conv_id", "formatted", "loss_mask"))
     whole = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = read.withColumn("_loss", chat.loss_text(F.col("formatted"), F.col("loss_mask")))

@@ -102,7 +102,7 @@ base AS (
   WHERE w[i:i + len(p) - 1] = p
 ), blocks AS (
   SELECT rid, regexp_extract_all(b, '@W') AS w
-  FROM (SELECT rid, unnest(regexp_split_to_array(t, '\n|[.!?;][ \t\n\r]')) AS b FROM words)
+  FROM (SELECT rid, unnest(regexp_split_to_array(t, '\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n|[.!?;][ \t\n\r]')) AS b FROM words)
 ), met AS (
   SELECT rid, label, len(list_intersect(ws, w))::DOUBLE / len(ws) AS c
   FROM blocks, tw WHERE len(w) > 0 AND 20 * len(list_intersect(ws, w)) >= 17 * len(ws)

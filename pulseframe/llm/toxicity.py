@@ -1,18 +1,22 @@
 """Toxicity scores of texts restored through a noisy channel.
 
 Disguised words are found first: tokens with digits or signs in the place of letters, at any place
-and next to each other too, letters or signs written apart, and letters repeated three times or more. Each is a lattice: a sign may stand for
-several letters, a separator for none, a repeated letter for itself or none. A Viterbi search finds
+and next to each other too, letters or signs written apart (by blanks, line breaks, marks), and
+letters repeated three times or more. Each is a lattice: a sign may stand for several letters, an
+accented letter for its base, a separator for none, a repeated letter for itself or none. A Viterbi search finds
 the likeliest letters under a character trigram model, which is counted over all documents and
-interpolated with the learned word list. The restored words are then scored like plain ones.
+interpolated with the learned word list. Restored words stand in the text beside the plain ones:
+what a restored word holds and its disguise did not adds to the counts that features ask for.
 
 The word list is learned from labelled rows, of which one per group of near copies counts. Features
 are whole words and word beginnings of 4 to 9 bytes, held once, twice or three times; those that
 toxic rows favour by a significant log-likelihood ratio stay, less those that clean rows hold too and
-that add little to better ones. A text's score is the precision of the
-most telling feature it holds.
+that add little to better ones. A text's score is the precision of the most telling feature it holds.
+Features of few rows may be chance, and long texts hold much by chance: they tell only in texts where
+listed words are dense.
 
-The list is fitted on at most about :data:`TRAIN_ROWS` labelled rows per label (a documented bound);
+The list is fitted on at most about :data:`TRAIN_ROWS` labelled rows per label (a documented bound,
+which holds when ids repeat: an id trains once);
 the character model and the scores cover all rows and whole texts.
 
 Nulls, ties, repeats: a null or empty text holds no feature and gets the rate of toxic rows without
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashSet, Texts, _byte_value, count_hashes, map_texts, mix, sample_ids, stored
+from .common import WORD_PATTERN, HashSet, Texts, _byte_value, count_hashes, discard, map_texts, mix, stored, training_rows
 
 TRAIN_ROWS = 4000
 MIN_RATIO = 20.0
@@ -42,16 +46,19 @@ MIN_PRECISION = 0.9
 LEAST = 5
 TIMES = 3
 PREFIXES = tuple(range(4, 10))
+#: A feature of a lesser share of the toxic rows is rare: it tells only where listed words are one in so many.
+RARE, DENSE = 0.05, 120
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 # What signs may stand for, and what may stand between letters.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
-SEPARATORS = " .-_*"
+SEPARATORS = " .-_*/,\n\r\t"
 #: Costs (negative logarithms): a sign read as a letter, and a repeated letter left out or kept.
 SIGN_COST, DROP_COST, KEEP_COST = 0.5, 0.3, 1.0
-#: Tokens of more characters are searched in overlapping parts.
+#: Tokens of more characters are longer than words are: words are searched anywhere in them.
 LONGEST = 32
-_RUN = 64
+#: Length of the parts in which longer tokens, and runs of letters apart, are searched; each overlaps half of the next.
+PART, PART_OF_RUN = 64, 128
 
 # letters of the character model: 0 for what is no letter, a-z, and one for all others
 _model_letter = np.zeros(256, np.int64)
@@ -110,14 +117,14 @@ def counted(chunk: Texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np
 
 @dataclass
 class WordList:
-    """Learned features: hash -> [(times, precision, length in bytes or 0, text)], and the rate without any."""
+    """Learned features: hash -> [(times, precision, length in bytes or 0, text, rare?)], and the rate without any."""
 
-    entries: dict[int, list[tuple[int, float, int, str]]] = field(default_factory=dict)
+    entries: dict[int, list[tuple[int, float, int, str, bool]]] = field(default_factory=dict)
     rest: float = 0.0
 
-    def texts(self) -> list[tuple[str, bool, float]]:
-        """(text, whole word?, precision) of the features that one occurrence shows."""
-        return [(t, not length, p) for es in self.entries.values() for times, p, length, t in es if times == 1 and t]
+    def texts(self) -> list[tuple[str, bool, int]]:
+        """(text, whole word?, base hash) of what occurrences of features look like."""
+        return sorted({(t, not length, base) for base, es in self.entries.items() for _, _, length, t, _ in es if t})
 
 
 def _one_per_group(own: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,8 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Learn the word list from labelled rows."""
     one = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_label"))
     totals = {r["_label"]: r["count"] for r in one.groupBy("_label").count().collect()}  # two rows
-    chosen = sample_ids(one, key, "_label", rows)
-    own = _one_per_group(docs.select(key, text).join(F.broadcast(chosen), key), key, text)
+    own = _one_per_group(training_rows(docs, one, key, "_label", text, rows), key, text)
 
     def counter():
         def count(chunk: Texts):
@@ -200,9 +206,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if chosen_features[h][1] and len(rows_of[h] - covered) < max(3, 4 * chosen_features[h][1]):
             continue
         plain, times, length, name = named[h]
-        out.entries.setdefault(plain, []).append((times, precision[h], length, name))
+        out.entries.setdefault(plain, []).append((times, precision[h], length, name, chosen_features[h][0] < RARE * toxic))
         covered |= rows_of[h]
     out.rest = min(_odds(toxic - len(covered), toxic, clean, clean, totals), 0.5)
+    discard(own)
     return out
 
 
@@ -268,31 +275,12 @@ class CharacterModel:
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token."""
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for raw in token:
-            c = raw.lower()
-            arcs: list[tuple[str, float]] = []
-            if c.isalpha():
-                again = c == before
-                arcs.append((c, KEEP_COST if again else 0.0))
-                if again:
-                    arcs.append(("", DROP_COST))
-                before = c
-            elif c in SEPARATORS:
-                arcs.append(("", 0.0))
-            for letter in SIGNS.get(c, ""):
-                arcs.append((letter, SIGN_COST + (KEEP_COST if c == before else 0.0)))
-            if c in SIGNS:
-                if c == before:
-                    arcs.append(("", DROP_COST))
-                before = c
-            if not arcs:
-                arcs.append(("", 0.0))
+        for step in arcs(token):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, out) in paths.items():
-                for letter, more in arcs:
+                for letter, more in step:
                     if letter:
-                        z = int(_model_letter[letter.encode()[0]])
+                        z = letter_number(letter)
                         state, total, text = (b, z), cost + more + self.cost[a][b][z], out + letter
                     else:
                         state, total, text = (a, b), cost + more, out
@@ -302,6 +290,33 @@ class CharacterModel:
         return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
 
 
+def letter_number(letter: str) -> int:
+    return int(_model_letter[letter.encode()[0]])
+
+
+def arcs(token: str) -> list[list[tuple[str, float]]]:
+    """The token's lattice: for each character what it may stand for (a letter, or nothing) and at what cost."""
+    out, before = [], ""
+    for raw in token:
+        c = raw.lower()
+        own: list[tuple[str, float]] = []
+        again = KEEP_COST if c == before else 0.0
+        if c.isalpha():
+            own.append((c, again))
+            base = unicodedata.normalize("NFD", c)[0]
+            if c > "\x7f" and "a" <= base <= "z":
+                own.append((base, SIGN_COST + again))
+        elif c in SEPARATORS:
+            own.append(("", 0.0))
+        own += [(letter, SIGN_COST + again) for letter in SIGNS.get(c, "")]
+        if c.isalpha() or c in SIGNS:
+            if again:
+                own.append(("", DROP_COST))
+            before = c
+        out.append(own or [("", 0.0)])
+    return out
+
+
 _INNER = "._-"
 _EDGE_SIGNS = re.compile(r"^[@$!|+*._-]+|[@$!|+*._-]+$")
 _SOME_SIGN = re.compile(f"[{re.escape(''.join(SIGNS))}]")
@@ -335,8 +350,8 @@ def _token_forms(run: str) -> Iterator[tuple[bool, str]]:
             if len(form) <= LONGEST:
                 yield False, form
             else:
-                for lo in range(0, len(form) - LONGEST // 2, LONGEST // 2):
-                    yield True, form[lo : lo + LONGEST]
+                for lo in range(0, max(1, len(form) - PART // 2), PART // 2):
+                    yield True, form[lo : lo + PART]
 
 
 def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
@@ -386,10 +401,8 @@ def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
         for a, b in zip(places, places[1:], strict=False):
             between = text[a + 1 : b]
             token += ("*" if "*" in between else (between.strip() or " ")[0]) + text[b]
-        for k in range(0, len(token), 2 * (_RUN - 16)):  # long runs in overlapping parts
-            yield int(doc[i]), True, token[k : k + 2 * _RUN]
-            if k + 2 * _RUN >= len(token):
-                break
+        for k in range(0, max(1, len(token) - PART_OF_RUN // 2), PART_OF_RUN // 2):
+            yield int(doc[i]), True, token[k : k + PART_OF_RUN]
 
 
 _DRAWN_OUT = re.compile(r"(.)\1\1")
@@ -422,48 +435,56 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
         words = sent.value.words
         known = HashSet(np.array(sorted(words.entries), np.uint64))
         listed = words.texts()
-        decoder = CharacterModel(sent.value.counts, [t for t, _, _ in listed])
-        compact = [(t, _once(t), whole, p) for t, whole, p in listed]
-        memory: dict[tuple[bool, str], tuple[str, list[tuple[str, float]]]] = {}
+        decoder = CharacterModel(sent.value.counts, sorted({t for t, _, _ in listed}))
+        compact = [(t, _once(t), whole, int(np.searchsorted(known.keys, np.uint64(base)))) for t, whole, base in listed]
+        memory: dict[tuple[bool, str], tuple[str, list[int]]] = {}
 
-        def restore(inside: bool, token: str) -> tuple[str, list[tuple[str, float]]]:
+        def restore(inside: bool, token: str) -> tuple[str, list[int]]:
+            """The word behind a token, and which features it holds that the token did not."""
             got = memory.get((inside, token))
             if got is None:
                 if len(memory) > 50_000:
                     memory.clear()
-                word = decoder.decode(token)
+                word, plain = decoder.decode(token), token.lower()
                 # where letters were drawn out, how often a letter stood is not known
                 forms = [(word, 0)] + [(_once(word), 1)] * bool(_DRAWN_OUT.search(token))
-                hits = []
-                for *texts, whole, p in compact if word != token.lower() else ():
-                    for form, i in forms:
-                        if texts[i] in form if inside else texts[i] == form if whole else form.startswith(texts[i]):
-                            hits.append((texts[0], p))
-                            break
-                got = memory[inside, token] = (word, hits)
+                before = re.findall(WORD_PATTERN, plain)
+                hits = set()
+                for *texts, whole, k in compact if word != plain else ():
+                    if any(w == texts[0] if whole else w.startswith(texts[0]) for w in before):
+                        continue
+                    if any(texts[i] in form if inside else texts[i] == form if whole else form.startswith(texts[i]) for form, i in forms):
+                        hits.add(k)
+                got = memory[inside, token] = (word, sorted(hits))
             return got
 
         def score_chunk(chunk: Texts):
-            best = np.full(chunk.n, words.rest)
-            found: list[set[str]] = [set() for _ in range(chunk.n)]
+            held: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))  # text -> feature -> how often
             restored: list[list[dict]] = [[] for _ in range(chunk.n)]
+            listed_word = np.zeros(len(chunk.begin), bool)
             for _, h, of in features(chunk):
                 places, keys = known.find(h)
-                if not len(places):
-                    continue
-                pairs, n = np.unique(np.stack([chunk.doc[of[places]], keys]), axis=1, return_counts=True)
-                for d, k, times in zip(*pairs.tolist(), n.tolist(), strict=True):
-                    for least, p, _, t in words.entries[int(known.keys[k])]:
-                        if times >= least:
-                            found[d].add(t)
-                            best[d] = max(best[d], p)
+                if len(places):
+                    listed_word[of[places]] = True
+                    pairs, n = np.unique(np.stack([chunk.doc[of[places]], keys]), axis=1, return_counts=True)
+                    for d, k, times in zip(*pairs.tolist(), n.tolist(), strict=True):
+                        held[d][k] += times
             for d, inside, token in disguised(chunk) if listed else ():
                 word, hits = restore(inside, token)
                 if hits:
                     restored[d].append({"token": token, "word": word})
-                for t, p in hits:
-                    found[d].add(t)
-                    best[d] = max(best[d], p)
+                for k in hits:
+                    held[d][k] += 1
+            support = np.bincount(chunk.doc[listed_word], minlength=chunk.n) + np.array([len(r) for r in restored])
+            dense = support * DENSE >= chunk.n_words
+            best = np.full(chunk.n, words.rest)
+            found: list[set[str]] = [set() for _ in range(chunk.n)]
+            for d, features_of in held.items():
+                for k, times in features_of.items():
+                    for least, p, _, t, rare in words.entries[int(known.keys[k])]:
+                        if times >= least and (dense[d] or not rare):
+                            found[d].add(t)
+                            best[d] = max(best[d], p)
             return [
                 pa.array(best),
                 pa.array([sorted(f) for f in found], pa.list_(pa.string())),

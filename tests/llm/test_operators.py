@@ -62,7 +62,7 @@ def test_long_text_is_hashed_in_segments(monkeypatch):
 # --- decontamination -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("per_round", [200_000, 7])
+@pytest.mark.parametrize("per_round", [4_000_000, 20])
 def test_decontamination_matches_brute_force(spark, monkeypatch, per_round):
     monkeypatch.setattr(decontam, "ROUND", per_round)
     rng = random.Random(3)
@@ -87,6 +87,13 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, per_round):
         assert (r["n_words"], r["n_hit"], sorted(r["items"])) == (len(w), len(hit), sorted(found))
 
 
+def test_items_with_ids_of_text(spark):
+    items = spark.createDataFrame([("a", "the quick brown fox"), ("b", "the quick brown fox"), (None, "jumps over the")], "item_id string, text string")
+    rows = spark.createDataFrame([(1, "THE quick brown fox jumps over the dog", 3), (2, None, 4)], "doc_id long, text string, hits int")
+    got = {r["doc_id"]: r for r in decontam.find_windows(rows, items).collect()}
+    assert (got[1]["n_hit"], got[1]["items"], got[2]["n_hit"]) == (7, ["a", "b"], 0)
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 
@@ -134,7 +141,7 @@ def test_jaccard_join_matches_brute_force(spark, docs, monkeypatch, block):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(120)] = f"x{rng.randrange(999)}"
         near.append((10_000 + i, " ".join(w)))
-    rows = docs.select("doc_id", "text").where("doc_id < 300").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
     classes, links = brute_classes(shingle_sets(rows.collect()))
     got = {r["doc_id"]: r for r in jaccard.near_duplicates(rows).collect()}
     assert {i: r["class_id"] for i, r in got.items()} == classes
@@ -142,6 +149,30 @@ def test_jaccard_join_matches_brute_force(spark, docs, monkeypatch, block):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(rows).collect()) == sorted(set(classes.values()))
 
 
+def test_chains_make_no_large_groups(spark):
+    rng, w, rows = random.Random(5), [f"c{i}" for i in range(60)], []
+    for i in range(1200):  # each differs a little from the one before: similar, but under the threshold
+        for _ in range(3):
+            w[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = common.stored(jaccard.signed(df, "doc_id", "text").withColumn("node", F.col("doc_id")), "chain")
+    sizes = [r["count"] for r in jaccard._candidates(nodes).groupBy("root").count().collect()]
+    assert sum(n * n for n in sizes) < 12_000 and max(sizes, default=0) < 60  # of 1.4 million
+    classes, links = brute_classes(shingle_sets(df.collect()))
+    got = {r["doc_id"]: r for r in jaccard.near_duplicates(df).collect()}
+    assert {i: r["class_id"] for i, r in got.items()} == classes and {i: r["n_links"] for i, r in got.items() if r["n_links"]} == dict(links)
+
+
+def test_one_of_each_class_stays(spark):
+    a, b, c = "a b c d e f", "b x y z w q", "only here now yes"
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, None), (2, None), (None, b), (None, c), (None, c), (5, "!!")]
+    df = spark.createDataFrame([(i, t, 1, 2, "s") for i, t in rows], "doc_id long, text string, _key int, rows int, _own string")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, a), (1, b), (2, None), (2, None), (None, c), (5, "!!")], key=str)
+
+
 def test_jaccard_bounds():
     least = jaccard.least_matches()
     assert len(least) == jaccard.HASHES // jaccard.STEP and all(a < b for a, b in zip(least, least[1:], strict=False))
@@ -286,6 +317,28 @@ def test_disguised_words_are_restored(spark):
     assert all(got[i]["score"] < 0.5 for i in (300, 301, 302)) and got[200]["restored"][0]["word"] == "idiot"
 
 
+def test_decoding_matches_enumeration():
+    from itertools import product
+
+    rng = random.Random(12)
+    counts = np.array([rng.randrange(60) for _ in range(28**3)])
+    model = toxicity.CharacterModel(counts, ["idiot", "moron", "dämlich"])
+
+    def cost(path):
+        total, a, b = 0.0, 0, 0
+        for letter, more in path:
+            total += more
+            if letter:
+                z = toxicity.letter_number(letter)
+                total, a, b = total + model.cost[a][b][z], b, z
+        return total + model.cost[a][b][0]
+
+    for token in ["1d10t", "m*ron", "i.d.1.o.t", "aaab", "a$$h01e", "ïd1öt", "||l", "0", "d/ä\nm", *["".join(rng.choices("ab10$*.|iö", k=7)) for _ in range(40)]]:
+        paths = [(cost(p), "".join(letter for letter, _ in p)) for p in product(*toxicity.arcs(token))]
+        best = min(paths)[0]
+        assert any(text == model.decode(token) and c == pytest.approx(best, abs=1e-9) for c, text in paths)
+
+
 # --- rules, chat, licenses, shards -----------------------------------------------------------------
 
 
@@ -328,14 +381,81 @@ def test_chat_layouts_and_escapes(spark):
             assert r["loss"] == "".join(t for role, t in turns if role == "assistant")
 
 
+def test_chat_loses_no_conversation(spark):
+    long = "x </s> " * 3_600_000  # 25 million characters, over the parser's limits
+    rows = [
+        (1, 0, "user", long), (1, 1, "assistant", "ok"), (2, 0, "user,assistant", "one turn"), (3, 0, "system,user", "two"), (3, 1, "assistant", "turns"),
+        (4, 0, "user\nassistant", "a"), (5, 0, "user", "u"), (5, 1, "assistant", long),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat.canonical_turns(chat.records_of(df), given="long_turns")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(turns)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask"))).select("conv_id", "read_turns", "loss").collect()}
+    for i in range(1, 6):
+        want = [(role, text) for c, _, role, text in rows if c == i]
+        assert [tuple(t) for t in got[i]["read_turns"]] == want and got[i]["loss"] == "".join(t for role, t in want if role == "assistant")
+
+
+def test_layouts_give_what_rows_give(spark, monkeypatch):
+    df = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+    by_record = chat.canonical_turns(chat.records_of(df), given="long_turns").select("conv_id", "turns").collect()
+    monkeypatch.setattr(chat, "LONG", -1)
+    beside = chat.canonical_turns(chat.records_of(df), given="long_turns").select("conv_id", "turns").collect()
+    assert sorted(by_record) == sorted(beside) and len(by_record) > 50
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text", "concat('l', id) AS lang")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, _label int")
+    got = common.training_rows(docs, labels, "doc_id", "_label", "text", 2000).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(0, "text 0"), (1, "text 1"), (2, "text 1001")]
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(common, "MOST_GROUPS", 7)
+    assert len(langid.fit(docs)[0]) == 7
+    monkey.undo()
+
+
+def test_votes_match_a_plain_loop(spark):
+    from pulseframe.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    (chunk,) = common.chunks(docs.limit(60).toArrow().column("text").combine_chunks(), 1 << 30)
+    vectors = model.project(chunk.n, *quality.terms(chunk))
+    for v, got in zip(vectors, model.vote(vectors), strict=True):
+        near = sorted(((float(np.dot(v.astype(np.float64), w.astype(np.float64))), i) for i, w in enumerate(model.vectors)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 0) ** 8 for c, _ in near]
+        assert got == pytest.approx(sum(w * model.labels[i] for w, (_, i) in zip(weights, near, strict=True)) / sum(weights), abs=2e-3)
+
+
+def test_bundles_match_a_plain_loop():
+    import pyarrow as pa
+
+    texts = ["Hello, wörld 12 x", "a", "Ça va? 日本 ok", "--", "the end the end"]
+    (chunk,) = common.chunks(pa.array(texts))
+    vectors, _ = langid.bundles(chunk)
+    first, second, third = langid._vectors()
+    for text, got in zip(texts, vectors, strict=True):
+        slots = [0]
+        for c in text:
+            slots.append(langid._slot(c) if c.isalpha() else 0)
+        slots.append(0)
+        squeezed = [s for i, s in enumerate(slots) if s or i == 0 or slots[i - 1]]
+        total = np.zeros(langid.DIMENSIONS)
+        for a, b, c in zip(squeezed, squeezed[1:], squeezed[2:], strict=False):
+            if b:
+                total += first[a] * second[b] * third[c]
+        norm = np.linalg.norm(total)
+        assert got == pytest.approx(total / norm if norm else total, abs=1e-4)
+
+
 def test_license_filters_lose_nothing(spark):
     rng = random.Random(4)
     pool = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)}) + ["zeta", "eta", "theta"]
-    texts = [(i, ". ".join(" ".join(rng.sample(pool, rng.randint(1, 20))) for _ in range(4)) + ("\n" + rng.choice(licenses.TEMPLATES)[1] if i % 3 == 0 else "")) for i in range(80)]
+    texts = [(i, ". ".join(" ".join(rng.sample(pool, rng.randint(1, 20))) for _ in range(4)) + (rng.choice(["\n", "\n\n"]) + rng.choice(licenses.TEMPLATES)[1] if i % 3 == 0 else "")) for i in range(80)]
     got = {r["doc_id"]: {b["label"] for b in r["blocks"]} for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     for i, text in texts:
         labels = set()
-        for block in re.split(r"\n|[.!?;][ \t\n\r]", text):
+        for block in re.split(r"\n[^\w\n]*\n|[.!?;][ \t\n\r]", text):
             own = set(words(block))
             labels |= {label for label, t in licenses.TEMPLATES if 20 * len(own & set(words(t))) >= 17 * len(set(words(t)))}
         assert got[i] == labels
