@@ -50,7 +50,7 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-5
-#: Rows of a block of a large bucket.
+#: Rows of a block of a large bucket. Buckets under 16 blocks get smaller ones.
 BUCKET_ROWS = 1024
 #: Buckets of so many rows are compared by distance in one sweep, larger ones one by one.
 SWEPT = 12
@@ -320,11 +320,12 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("signature", i * width + 1, F.lit(width)))).alias("band", "values")
     ).select("node", F.xxhash64("band", "values").alias("bucket"))
     shared = stored(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared-bands")
-    small = shared.where(F.col("members") <= BUCKET_ROWS).agg(F.sum("members")).first()[0] or 0
+    # a bucket of several blocks: every pair of blocks is a unit, which holds the rows of both
+    block_rows = F.greatest(F.lit(BUCKET_ROWS // 4), F.least(F.lit(BUCKET_ROWS), F.col("members") / 16))
+    blocks = F.ceil(F.col("members") / block_rows).cast("int")
+    small = shared.where(blocks == 1).agg(F.sum("members")).first()[0] or 0
     packs = max(4 * shuffle_partitions(spark), -(-int(small) // (16 * BUCKET_ROWS)))
     members = bands.join(shared, "bucket").join(nodes.select("node", "sketch"), "node")
-    # a bucket of several blocks: every pair of blocks is a unit, which holds the rows of both
-    blocks = F.ceil(F.col("members") / BUCKET_ROWS).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit("bucket")), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     paired = placed.withColumn("other", F.explode(others))
