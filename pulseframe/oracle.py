@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bindings import duck
+from .config import default_rules
 
 _ZONE = "Europe/Berlin"
 SQL: dict[str, str] = {}
@@ -469,8 +470,10 @@ SQL["recovery"] = f"""{_RECOVERY} SELECT person, date, round(zr, 6) AS recovery_
 SQL["readiness"] = f"""{_RECOVERY}, r AS (
   SELECT *, CASE WHEN recovery_status <> 'ok' THEN 0 WHEN rhr_z >= 2 AND tst_flag THEN 1 WHEN recovery < 34 THEN 2 WHEN acwr > 1.5 THEN 3 WHEN recovery >= 67 AND acwr < 0.8 THEN 4 ELSE 5 END AS rule FROM rec
 ) SELECT person, date, load_yesterday, rule::INTEGER AS readiness_rule,
-  ['Insufficient data for a recommendation', 'Resting HR well above baseline after a short night: possible illness or high fatigue, rest', 'Recovery day recommended',
-   'Load spike vs your last 4 weeks: keep intensity down', 'Well recovered and under-loaded: room to push', 'Train as planned'][rule + 1] AS readiness FROM r"""
+  [{", ".join(f"'{r['say']}'" for r in default_rules())}][rule + 1] AS readiness,
+  concat_ws(', ', 'recovery.status=' || recovery_status, CASE WHEN rule > 0 THEN 'rhr.z=' || coalesce(printf('%.3f', rhr_z), 'None') END,
+    CASE WHEN rule > 0 AND rhr_z >= 2 THEN 'sleep.flag=' || tst_flag::VARCHAR END, CASE WHEN rule NOT IN (0, 1) THEN 'recovery.score=' || printf('%.3f', recovery) END,
+    CASE WHEN rule > 2 THEN 'acwr.value=' || coalesce(printf('%.3f', acwr), 'None') END) AS readiness_inputs FROM r"""
 SQL["circular_sd"] = f"SELECT person, context, round({_csd('((ts % 86400) // 60)')}, 6) AS csd FROM (@B(hr)) GROUP BY ALL"
 
 # --- changes of tables -----------------------------------------------------------------------------

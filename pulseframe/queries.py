@@ -316,7 +316,7 @@ def recovery(spark, d):
 
 @query
 def readiness(spark, d):
-    return _recovered(spark, d).select("person", "date", "load_yesterday", "readiness_rule", "readiness")
+    return _recovered(spark, d).select("person", "date", "load_yesterday", "readiness_rule", "readiness", "readiness_inputs")
 
 
 @query

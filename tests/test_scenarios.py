@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from pulseframe.config import Config, Readiness, Recovery, Strain, build
 from pulseframe.operators.recovery import readiness, recovery
 from pulseframe.plans.daily import compute_daily, to_long
-from pulseframe.sources.synthetic import Scenario, generate
+from pulseframe.sources.synthetic import Spread, Wearer, event, generate, truth
 
 D = dt.date
 
 
 @pytest.fixture(scope="module")
 def planted(spark):
-    sc = Scenario(
-        nights=35, awake_bouts={D(2026, 3, 5): 30}, short_nights={D(2026, 3, 20): 5}, rhr_delta={D(2026, 3, 25): 8}, missing_nights={D(2026, 3, 10)},
-        naps={D(2026, 3, 6): (dt.time(15), 40)}, workouts={D(2026, 3, 12): (dt.time(17), 90, 150)},
+    sc = Wearer(
+        nights=35,
+        events=(
+            event("awake", D(2026, 3, 5), minutes=30), event("sleep", D(2026, 3, 20), hours=5), event("rate", D(2026, 3, 25), bpm=8), event("no_night", D(2026, 3, 10)),
+            event("nap", D(2026, 3, 6), at=dt.time(15), minutes=40), event("workout", D(2026, 3, 12), at=dt.time(17), minutes=90, bpm=150),
+        ),
     )
     wide, loads = compute_daily(generate(spark, sc))
     return {str(r["date"]): r for r in wide.collect()}, loads.collect(), to_long(wide).toPandas()
@@ -51,7 +54,7 @@ def test_warm_up_illness_and_short_night(planted):
     assert (ill["rhr"], ill["rhr_z"], ill["rhr_flag"]) == (60, 8, True) and not days["2026-03-26"]["rhr_flag"]
     short = days["2026-03-20"]
     assert short["tst_min"] == 300 and short["tst_z"] == (300 - 450) / 20 and short["tst_flag"] and short["recovery_z_sleep"] == -3
-    assert ill["recovery"] < 5 and ill["recovery_band"] == "low" and ill["readiness"] == "Recovery day recommended"
+    assert ill["recovery"] < 5 and ill["recovery_band"] == "low" and ill["readiness"] == "Take it slow and recover today"
 
 
 def test_neutral_recovery_and_exact_points(planted):
@@ -75,7 +78,7 @@ def test_load(planted):
 
 
 def test_unrecorded_session_is_detected(spark):
-    sc = Scenario(nights=3, workouts={D(2026, 3, 2): (dt.time(17), 60, 165)})
+    sc = Wearer(nights=3, events=(event("workout", D(2026, 3, 2), at=dt.time(17), minutes=60, bpm=165),))
     tables = generate(spark, sc)
     tables["workouts"] = tables["workouts"].limit(0)
     wide, loads = compute_daily(tables)
@@ -90,8 +93,8 @@ def test_unrecorded_session_is_detected(spark):
 
 def test_rules(spark):
     row = spark.sql("SELECT 20.0D AS recovery, 'ok' AS recovery_status, CAST(NULL AS DOUBLE) AS acwr, true AS tst_flag, 2.5D AS rhr_z")
-    assert readiness(row).first()["readiness"].startswith("Resting HR well above")
-    with pytest.raises(ValueError, match="bad term"):
+    assert readiness(row).first()["readiness"].startswith("Your pulse at rest is far above")
+    with pytest.raises(ValueError, match="cannot read"):
         readiness(row, Readiness(rules=({"when": [{"field": "nope", "op": "<", "value": 1}], "say": "x"},)))
     with pytest.raises(ValueError, match="without a weight"):
         recovery(row, Recovery(weights={"rhr": 1.0}, required=("rhr", "sleep")))
@@ -112,3 +115,17 @@ def test_normal_cdf(spark):
 
     for x, y in spark.range(-30, 31).select((F.col("id") / 7).alias("x")).select("x", normal_cdf(F.col("x"))).collect():
         assert y == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), abs=1e-12)
+
+
+def test_truth_of_uneven_nights(spark):
+    uneven = Wearer(nights=6, spread=Spread(hours=0.5, to_bed_min=20, lowest_rate=2, awake_min=25, stage_min=8), seed=4)
+    tables = generate(spark, uneven)
+    rows = {r["date"]: r for r in truth(spark, uneven).collect()}
+    wide = {r["date"]: r for r in compute_daily(tables)[0].collect()}
+    assert len({r["spt_min"] for r in rows.values()}) > 3
+    for day, r in rows.items():
+        got = wide[day]
+        assert (got["tst_min"], got["spt_min"], got["onset_clock"]) == (pytest.approx(r["tst_min"], abs=1), pytest.approx(r["spt_min"], abs=1), r["onset_clock"])
+        assert got["rhr"] == pytest.approx(r["rhr"], abs=1.5)
+    with pytest.raises(ValueError, match="no event"):
+        event("nap", D(2026, 3, 1), bpm=3)
