@@ -271,6 +271,11 @@ def list_array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def release() -> None:
+    """Give memory that Arrow no longer uses back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make: Callable[[], Callable[[Texts], list[pa.Array]]], size: int = 1 << 18) -> DataFrame:
     """Add columns that Python computes from the texts, a chunk of rows at a time.
 
@@ -286,12 +291,15 @@ def map_texts(df: DataFrame, text: str, carry: Sequence[str], fields: str, make:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for chunk in chunks(batch.column("_text"), size):
+            for chunk in chunks(batch.column(source), size):
                 own = [batch.column(c).slice(chunk.rows.start, chunk.n) for c in kept]
                 new = [a.cast(types.field(f.name).type) for a, f in zip(compute(chunk), added.fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*own, *new], names=names)
+        release()
 
-    return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+    # a text that is carried anyway goes to Python once
+    source = text if text in kept else "_text"
+    return df.select(*kept, *([] if text in kept else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def count_hashes(df: DataFrame, text: str, make: Callable[[], Callable[[Texts], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
@@ -310,5 +318,6 @@ def count_hashes(df: DataFrame, text: str, make: Callable[[], Callable[[Texts],
                 sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["hash", "n"])
+        release()
 
     return df.select(F.col(text).alias("_text")).mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))

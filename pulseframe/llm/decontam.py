@@ -198,16 +198,18 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", carry: S
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "hits", "items", "n_hit")]
     kind = items.schema[item].dataType.simpleString()
-    out, held = docs.select(F.struct(*carry).alias("_own"), F.col(text).alias("_read")), []
+    out, held = docs.withColumnsRenamed({c: f"_{c}" for c in ("n_words", "hits", "items", "n_hit") if c in docs.columns and c not in carry and c != text}), False
     for part in _rounds(items, item, item_text):
         windows = item_windows(part, item, item_text)
         prefixes = _prefixes(windows, _counts(docs, text, windows))
+        kept = carry
+        if held:  # what earlier rounds found, and the text for this one
+            out = out.withColumnsRenamed({"hits": "_hits", "items": "_items"})
+            kept = [*carry, "_hits", "_items"]
+        out = _match(out, text, [*kept, *([] if text in carry else [text])], windows, prefixes, kind)
         if held:
-            out = out.withColumns({"_held": F.struct("hits", "items") if len(held) == 1 else F.struct(F.concat("_held.hits", "hits").alias("hits"), F.concat("_held.items", "items").alias("items"))})
-        held.append(len(windows.begin))
-        out = _match(out, "_read", [c for c in out.columns if c in ("_own", "_read", "_held")], windows, prefixes, kind)
-    if len(held) > 1:
-        out = out.withColumns({"hits": F.concat("_held.hits", "hits"), "items": F.array_distinct(F.concat("_held.items", "items"))})
+            out = out.withColumns({"hits": F.concat("_hits", "hits"), "items": F.array_distinct(F.concat("_items", "items"))}).drop("_hits", "_items")
+        held = True
     # spans of different rounds may overlap: count each word once
     covered = F.aggregate(
         F.sort_array("hits"),
@@ -218,7 +220,7 @@ def find_windows(docs: DataFrame, items: DataFrame, text: str = "text", carry: S
         ),
         lambda a: a["n"],
     )
-    return out.select("_own.*", "n_words", "hits", "items", covered.alias("n_hit"))
+    return out.select(*carry, "n_words", "hits", "items", covered.alias("n_hit"))
 
 
 def contaminated():

@@ -84,10 +84,10 @@ def bundles(chunk: Texts) -> tuple[np.ndarray, np.ndarray]:
         grams, column = np.unique(key & ((1 << 21) - 1), return_inverse=True)
         first, second, third = _vectors()
         row = key >> 21
-        for lo in range(0, len(grams), 4096):  # so many trigrams at a time
-            part = grams[lo : lo + 4096]
+        for lo in range(0, len(grams), 1024):  # so many trigrams at a time
+            part = grams[lo : lo + 1024]
             bound = first[part >> 14] * second[(part >> 7) & 127] * third[part & 127]
-            here = (column >= lo) & (column < lo + 4096)
+            here = (column >= lo) & (column < lo + 1024)
             counts = np.zeros((chunk.n, len(part)), np.float32)
             counts[row[here], column[here] - lo] = count[here]
             out += counts @ bound

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import numbered, stored
+from .common import numbered, release, stored
 
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 # The normalizer and word pattern of the tokenizer whose words may be remembered.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -158,6 +158,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         out.append((piece, at // 4, len(part) // 4, zlib.crc32(part), *[part] * tokens))
                 columns = [pa.array(c, types.field(j + 1).type) for j, c in enumerate(zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), *columns], names=schema.names)
+        release()
 
     return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 

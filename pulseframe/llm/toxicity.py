@@ -32,6 +32,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -290,6 +291,7 @@ class CharacterModel:
         return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
 
 
+@lru_cache(4096)
 def letter_number(letter: str) -> int:
     return int(_model_letter[letter.encode()[0]])
 
@@ -437,20 +439,22 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
         listed = words.texts()
         decoder = CharacterModel(sent.value.counts, sorted({t for t, _, _ in listed}))
         compact = [(t, _once(t), whole, int(np.searchsorted(known.keys, np.uint64(base)))) for t, whole, base in listed]
+        # no word that holds none of these holds a feature
+        some_feature = re.compile("|".join(sorted({re.escape(x) for t, once, _, _ in compact for x in (t, once)})) or "(?!)")
         memory: dict[tuple[bool, str], tuple[str, list[int]]] = {}
 
         def restore(inside: bool, token: str) -> tuple[str, list[int]]:
             """The word behind a token, and which features it holds that the token did not."""
             got = memory.get((inside, token))
             if got is None:
-                if len(memory) > 50_000:
+                if len(memory) > 20_000:
                     memory.clear()
                 word, plain = decoder.decode(token), token.lower()
                 # where letters were drawn out, how often a letter stood is not known
                 forms = [(word, 0)] + [(_once(word), 1)] * bool(_DRAWN_OUT.search(token))
                 before = re.findall(WORD_PATTERN, plain)
                 hits = set()
-                for *texts, whole, k in compact if word != plain else ():
+                for *texts, whole, k in compact if word != plain and any(some_feature.search(form) for form, _ in forms) else ():
                     if any(w == texts[0] if whole else w.startswith(texts[0]) for w in before):
                         continue
                     if any(texts[i] in form if inside else texts[i] == form if whole else form.startswith(texts[i]) for form, i in forms):
