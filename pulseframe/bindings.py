@@ -12,6 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 _T0 = 1704067200
 
+def _wide() -> str:
+    """Columns of the daily row from the number of a day's orders and their total."""
+    numbers = (
+        "load strain n_workouts banister hr_max steps acwr acwr_rolling recovery recovery_z_rhr recovery_z_sleep recovery_pts_rhr recovery_pts_sleep readiness_rule tst_min spt_min waso_min sme "
+        "onset_clock wake_clock nap_min deep_min light_min rem_min rhr sleep_hr_mean sri onset_csd wake_csd hr_coverage"
+    ).split()
+    numbers += [f"{p}_{c}" for p in ("rhr", "tst", "sleep_hr") for c in ("z", "base_center", "base_spread", "mean7", "base_n")]
+    flags = ["unrecorded_hint", "stages_available", *(f"{p}_flag" for p in ("rhr", "tst", "sleep_hr"))]
+    statuses = ["load", "steps", "acwr", "recovery", "phys", "reg"]
+    cells = [
+        f"CAST(t % {i + 3} AS INT) AS {c}" if c.endswith("_n") else f"CASE WHEN (t + {i}) % 7 = 0 THEN NULL ELSE CAST((t * {i + 3}) % 1000 AS DOUBLE) END AS {c}" for i, c in enumerate(numbers)
+    ]
+    cells += [f"(t + {i}) % 3 = 0 AS {c}" for i, c in enumerate(flags)]
+    for i, c in enumerate(statuses):
+        cells += [f"CASE WHEN (t + {i}) % 4 = 0 THEN 'insufficient_data' ELSE 'ok' END AS {c}_status", f"CASE WHEN (t + {i}) % 4 = 0 THEN concat('because ', CAST(t % 5 AS VARCHAR(20))) ELSE NULL END AS {c}_reason"]
+    cells += [f"CASE WHEN (t + {i}) % 5 = 0 THEN 'warming_up' ELSE 'ok' END AS {p}_base_status" for i, p in enumerate(("rhr", "tst", "sleep_hr"))]
+    cells += ["CASE WHEN t % 6 = 0 THEN NULL ELSE CAST(t AS BIGINT) END AS episode", "'text' AS load_method", "'age' AS hr_max_basis", "'say' AS readiness"]
+    cells += ["CASE WHEN t % 7 = 3 THEN 'few pairs' ELSE NULL END AS sri_reason"]
+    days = "SELECT o_orderstatus AS person, CAST(o_orderdate AS DATE) AS date, CAST(sum(floor(o_totalprice)) AS BIGINT) AS t FROM orders GROUP BY o_orderstatus, CAST(o_orderdate AS DATE)"
+    return f"SELECT person, date, {', '.join(cells)} FROM ({days}) o"
+
+
 BINDINGS = {
     "hr": """
       SELECT user_id % 5 AS person, 's' AS source, CAST(user_id % 3 AS VARCHAR(9)) AS device_id, @E(ts) AS ts,
@@ -67,6 +89,29 @@ BINDINGS = {
       SELECT o_orderstatus AS person, CAST(o_orderdate AS DATE) AS date, CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR(9)) AS era,
              max(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS n
       FROM orders GROUP BY o_orderstatus, CAST(o_orderdate AS DATE)""",
+    # --- as one source, for exports and the store
+    "x_hr": """
+      SELECT 'mifitness' AS source, CAST(user_id % 5 AS VARCHAR(9)) AS device_id, @E(ts) AS ts, CAST(max(20 + CAST(floor(value) AS BIGINT) % 150) AS INT) AS bpm,
+             CASE WHEN @E(ts) % 3 = 0 THEN 'spot' ELSE 'background' END AS context
+      FROM events GROUP BY CAST(user_id % 5 AS VARCHAR(9)), @E(ts)""",
+    "x_steps": """
+      SELECT 'mifitness' AS source, CAST(user_id % 4 AS VARCHAR(9)) AS device_id, @E(ts) AS ts, CAST(sum(CAST(floor(value) AS BIGINT)) AS INT) AS steps
+      FROM events WHERE event_type = 'click' GROUP BY CAST(user_id % 4 AS VARCHAR(9)), @E(ts)""",
+    "x_sessions": """
+      SELECT 'mifitness' AS source, CAST(user_id % 25 AS VARCHAR(9)) AS device_id, @E(ts) AS start_ts, max(@E(ts) + (120 + CAST(floor(value * 7) AS BIGINT) % 400) * 60) AS end_ts,
+             CAST(CASE WHEN @E(ts) % 9 = 0 THEN 1 ELSE NULL END AS INT) AS is_nap, CAST(CASE WHEN @E(ts) % 4 = 0 THEN 120 ELSE 60 END AS INT) AS tz_offset_min
+      FROM events WHERE event_type = 'signup' GROUP BY CAST(user_id % 25 AS VARCHAR(9)), @E(ts)""",
+    "x_segments": """
+      SELECT source, device_id, start_ts AS session_start_ts, start_ts + k * 1500 AS start_ts, start_ts + k * 1500 + 1200 AS end_ts,
+             CASE (start_ts + k) % 5 WHEN 0 THEN 'awake' WHEN 1 THEN 'light' WHEN 2 THEN 'deep' WHEN 3 THEN 'rem' ELSE 'asleep' END AS stage
+      FROM (@B(x_sessions)) s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k""",
+    "x_workouts": """
+      SELECT 'mifitness' AS source, CAST(user_id % 3 AS VARCHAR(9)) AS device_id, @E(ts) AS start_ts, max(@E(ts) + (20 + CAST(floor(value) AS BIGINT) % 70) * 60) AS end_ts,
+             concat('sport_', CAST(max(user_id % 7) AS VARCHAR(9))) AS sport, CAST(60 AS INT) AS tz_offset_min, CAST(max(90 + event_id % 60) AS DOUBLE) AS avg_hr,
+             CAST(max(event_id % 11) * 60 AS DOUBLE) AS zone2_s, CAST(max(event_id % 2) * 60 AS DOUBLE) AS zone5_s
+      FROM events WHERE event_type = 'purchase' GROUP BY CAST(user_id % 3 AS VARCHAR(9)), @E(ts)""",
+    # --- a day's row as the daily plan makes it; values and gaps come from the orders
+    "wide": _wide(),
 }
 
 

@@ -68,3 +68,10 @@ def epoch_unit(value: Column, seconds_from: float = 3e8) -> Column:
     return (
         F.when(v >= seconds_from * 1e9, "ns").when(v >= seconds_from * 1e6, "us").when(v >= seconds_from * 1e3, "ms").when(v >= seconds_from, "s")
     )
+
+
+def local_iso(ts: Column, zone: str) -> Column:
+    """Local date and time to the minute, as ISO text."""
+    off = zone_offset(ts, zone)
+    minute = clock_minute(ts, off)
+    return F.concat(local_date(ts, off).cast("string"), F.format_string(" %02d:%02d", F.floor(minute / 60).cast("int"), F.pmod(minute, F.lit(60)).cast("int")))

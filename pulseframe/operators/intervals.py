@@ -68,13 +68,15 @@ def anti_overlap(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source"
 def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "ts", tolerance_s: int = 36 * 3600) -> DataFrame:
     """Add the value of the nearest anchor (ts, value); of two equally near the earlier. Null beyond the tolerance.
 
-    Samples and anchors are sorted together once per key: each sample takes the last anchor before
-    it and the first one from it on.
+    Anchors are repeated for every day from which they are within the tolerance; then samples and
+    anchors are sorted together per key and day, and each sample takes the last anchor before it and
+    the first one from it on. So no partition grows with the length of a history.
     """
-    a = anchors.select(*keys, F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("ts").alias("t"), F.col(value).alias("v")).alias("_anchor"))
-    s = samples.withColumns({"_at": F.col(ts), "_kind": F.lit(1), "_row": F.struct("*")})
-    both = s.select(*keys, "_at", "_kind", "_row").unionByName(a, allowMissingColumns=True)
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    near_days = F.sequence(_day(F.col("ts") - tolerance_s), _day(F.col("ts") + tolerance_s))
+    a = anchors.select(*keys, F.explode(near_days).alias("_day"), F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("ts").alias("t"), F.col(value).alias("v")).alias("_anchor"))
+    s = samples.withColumns({"_day": _day(F.col(ts)), "_at": F.col(ts), "_kind": F.lit(1), "_row": F.struct("*")})
+    both = s.select(*keys, "_day", "_at", "_kind", "_row").unionByName(a, allowMissingColumns=True)
+    part = Window.partitionBy(*keys, "_day")
     # running frames in both directions: a frame to the end of the partition would be redone for every row
     so_far = lambda *order: F.last("_anchor", ignorenulls=True).over(part.orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0))
     before, after = so_far("_at"), so_far(F.desc("_at"))
@@ -92,15 +94,23 @@ def islands(df: DataFrame, breaks: Column, keys: Sequence[str], order: Sequence[
     return df.withColumn(name, F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def runs(df: DataFrame, keys: Sequence[str], gap: int = 0, name: str = "_run") -> DataFrame:
+    """Number runs of intervals: one that begins ``gap`` or more after the latest end so far begins a new run."""
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("start_ts", "end_ts", "device_id")
+    latest = F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return islands(df.withColumn("_latest", latest), F.col("start_ts") - F.col("_latest") >= gap, keys, ["start_ts", "end_ts", "device_id"], name).drop("_latest")
+
+
 def drop_overlaps(sessions: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Of overlapping sessions keep the longer: a fold in order of start.
 
     The session at hand is replaced by a strictly longer one that begins before it ends, which
     drops out shorter ones; a session that begins later is kept and becomes the one at hand. Rows
-    that tie in start go by end, then device. Each key's sessions (nights of a person) are one array.
+    that tie in start go by end, then device. The fold runs inside of runs of overlapping sessions;
+    nothing reaches from one run into the next.
     """
     cells = F.struct("start_ts", "end_ts", "device_id", F.struct(*[c for c in sessions.columns if c not in keys]).alias("row"))
-    grouped = sessions.groupBy(*keys).agg(F.sort_array(F.collect_list(cells)).alias("_s"))
+    grouped = runs(sessions, keys).groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(cells)).alias("_s"))
     kind = grouped.schema["_s"].dataType.simpleString()
     long = lambda s: s["end_ts"] - s["start_ts"]
 

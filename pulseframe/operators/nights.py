@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, Physiology, Sleep
 from ..functions.clock import clock_minute, local_date, near_eu_switch, zone_offset
-from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after
+from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after, runs
 from .series import circular_sd
 
 
@@ -64,8 +64,8 @@ def build_episodes(sessions: DataFrame, timeline: DataFrame, cfg: Config = Confi
     """Episodes of sleep with their member sessions, wake date and role.
 
     Sessions of one source that follow within the merge gap, naps among naps, are one episode. The
-    fold runs over each key's sessions in order of start: whether a session joins depends on the
-    latest end so far.
+    fold runs in order of start: whether a session joins depends on the latest end so far. It runs
+    inside of runs of sessions that lie within the gap; nothing reaches from one run into the next.
     """
     dated = record_offsets(sessions, timeline, cfg.timezone, "end_ts", "_off", keys).withColumn("wake_date", local_date(F.col("end_ts"), F.col("_off")))
     chosen = resolve_sources(dated, cfg.sources.priority, "wake_date", keys).drop("wake_date", "_off")
@@ -73,7 +73,8 @@ def build_episodes(sessions: DataFrame, timeline: DataFrame, cfg: Config = Confi
     placed = record_offsets(record_offsets(alone, timeline, cfg.timezone, "start_ts", "off_start", keys), timeline, cfg.timezone, "end_ts", "off_end", keys)
     nap = F.coalesce(F.col("is_nap") == 1, F.lit(False))
     cell = F.struct("start_ts", "end_ts", "source", "device_id", nap.alias("nap"), "off_start", "off_end")
-    grouped = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_s"))
+    gap = cfg.sufficiency.episode_merge_gap_min * 60
+    grouped = runs(placed, keys, gap).groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(cell)).alias("_s"))
 
     def opened(s: Column) -> Column:
         member = F.struct(s["source"].alias("source"), s["device_id"].alias("device_id"), s["start_ts"].alias("start_ts"))
@@ -93,7 +94,6 @@ def build_episodes(sessions: DataFrame, timeline: DataFrame, cfg: Config = Confi
         )
 
     kind = grouped.select(F.transform("_s", opened).alias("e")).schema["e"].dataType.simpleString()
-    gap = cfg.sufficiency.episode_merge_gap_min * 60
 
     def step(done: Column, s: Column) -> Column:
         last = F.element_at(done, -1)
@@ -101,8 +101,9 @@ def build_episodes(sessions: DataFrame, timeline: DataFrame, cfg: Config = Confi
         rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(same, F.concat(rest, F.array(joined(last, s)))).otherwise(F.concat(done, F.array(opened(s))))
 
-    folded = grouped.select(*keys, F.posexplode(F.aggregate("_s", F.array().cast(kind), step)).alias("episode", "_e"))
-    out = folded.select(*keys, F.col("episode").cast("long").alias("episode"), "_e.*").drop("longest")
+    folded = grouped.select(*keys, "_run", F.posexplode(F.aggregate("_s", F.array().cast(kind), step)).alias("_place", "_e"))
+    number = F.row_number().over(_by(keys).orderBy("_run", "_place")) - 1
+    out = folded.select(*keys, number.cast("long").alias("episode"), "_e.*").drop("longest")
     out = out.withColumns({"wake_date": local_date(F.col("end_ts"), F.col("offset_end")), "duration_h": (F.col("end_ts") - F.col("start_ts")) / 3600})
     eligible = ~F.col("is_nap") & (F.col("duration_h") >= cfg.sufficiency.main_sleep_min_hours)
     order = _by([*keys, "wake_date"]).orderBy(F.desc(eligible), F.desc("duration_h"), "start_ts", "episode")

@@ -72,10 +72,15 @@ def trailing_baseline(df: DataFrame, value: str, era: str, keys: Sequence[str],
 
 
 def _ewma(load: str, days: int, keys: Sequence[str]) -> Column:
-    """Exponential average of the known values so far, from 0; an unknown day leaves it as it was."""
+    """On known days: the exponential average of the known values so far, from 0.
+
+    Values so far back that they weigh under 1e-20 stay out, which no double shows; so a row looks at
+    a bounded number of rows, however long the series.
+    """
     rate = 2.0 / (days + 1)
-    known = F.collect_list(load).over(_by(keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: rate * x + (1 - rate) * a))
+    rows = math.ceil(46 / -math.log1p(-rate))
+    known = Window.partitionBy(*keys, F.col(load).isNull()).orderBy("date").rowsBetween(1 - rows, 0)
+    return F.when(F.col(load).isNotNull(), F.aggregate(F.collect_list(load).over(known), F.lit(0.0), lambda a, x: rate * x + (1 - rate) * a))
 
 
 def acute_chronic(df: DataFrame, keys: Sequence[str] = (), load: str = "load", s: Strain = Strain()) -> DataFrame:
@@ -91,14 +96,16 @@ def acute_chronic(df: DataFrame, keys: Sequence[str] = (), load: str = "load", s
     short, long = s.acwr_acute_days, s.acwr_chronic_days
     wide = df.withColumns(
         {
-            "acute": _ewma(load, short, keys),
-            "chronic": _ewma(load, long, keys),
+            "_short": _ewma(load, short, keys),
+            "_long": _ewma(load, long, keys),
             "missing_7": missing(7).cast("long"),
             "missing_28": missing(28).cast("long"),
             "_age": F.datediff("date", started) + 1,
             "_rolling": F.try_divide(F.avg(load).over(last(7)), F.avg(load).over(last(28))),
         }
     )
+    # an unknown day leaves the averages as they were
+    wide = wide.withColumns({"acute": F.last("_short", ignorenulls=True).over(so_far), "chronic": F.last("_long", ignorenulls=True).over(so_far)}).drop("_short", "_long")
     young = F.coalesce(F.col("_age") < long, F.lit(True))
     holes = (F.col("missing_7") > s.acwr_max_missing_7) | (F.col("missing_28") > s.acwr_max_missing_28)
     small = F.col("chronic") < s.acwr_min_chronic

@@ -360,7 +360,8 @@ h3 AS (
 )"""
 
 
-_MASK = "NOT EXISTS (SELECT 1 FROM wk WHERE wk.person = h3.person AND wk.start_ts % 5 = 0 AND h3.ts >= wk.start_ts - 300 AND h3.ts < wk.end_ts + 300)"
+_LAST = "(SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY person, device_id ORDER BY start_ts DESC, end_ts DESC) = 1)"
+_MASK = f"NOT EXISTS (SELECT 1 FROM {_LAST} l WHERE l.person = h3.person AND h3.ts >= l.start_ts - 300 AND h3.ts < l.end_ts + 300)"
 SQL["detect_sessions"] = _LOADS + "," + _detect(_MASK) + f" SELECT * REPLACE ({_round(*_LOAD_DOUBLES)}) FROM detected"
 SQL["detector_recall"] = (
     _LOADS
@@ -386,7 +387,7 @@ _CAL = """
 span AS (SELECT person, min(date) AS a, max(date) AS b FROM src GROUP BY person),
 cal AS (SELECT person, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS date FROM span)"""
 SQL["calendar_fill"] = f"""
-WITH src AS (SELECT * FROM (@B(daily)) WHERE person <> 'N' AND day(date) % 4 > 0), {_CAL}, f AS (SELECT person, date, load FROM cal LEFT JOIN src USING (person, date))
+WITH src AS (SELECT * REPLACE (CASE WHEN day(date) % 4 > 0 THEN load END AS load) FROM (@B(daily))), {_CAL}, f AS (SELECT person, date, load FROM cal LEFT JOIN src USING (person, date))
 SELECT person, date, load, last_value(load IGNORE NULLS) OVER (PARTITION BY person ORDER BY date ROWS UNBOUNDED PRECEDING) AS filled,
        CASE WHEN count(load) OVER w >= 4 THEN round(avg(load) OVER w, 6) END AS mean7
 FROM f WINDOW w AS (PARTITION BY person ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
@@ -417,7 +418,7 @@ SQL["tau_strain"] = f"""
 WITH src AS (@B(daily)), {_TAU.replace("@F", "src")}
 SELECT person, date, round(load, 6) AS load, round(tau, 6) AS tau, round(21 * (1 - exp(-load / tau)), 6) AS strain FROM src JOIN taus USING (person)"""
 SQL["daily_load"] = f"""
-WITH src AS (SELECT person, date, CASE WHEN load > 0 THEN load END AS load FROM (@B(daily)) WHERE load IS NULL OR load = 0 OR load % 2 = 0), {_CAL},
+WITH src AS (SELECT person, date, CASE WHEN load > 0 THEN load END AS load FROM (@B(daily))), {_CAL},
 g AS (SELECT person, date, count(*) AS n, bool_or(load IS NULL) AS unk, sum(load) AS l FROM src GROUP BY ALL),
 w AS (
   SELECT c.person, c.date, (day(c.date) % 10) / 10.0::DOUBLE AS day_wear, CASE WHEN day(c.date) % 3 > 0 THEN (day(c.date) * 3)::DOUBLE END AS banister,
@@ -479,22 +480,21 @@ SQL["circular_sd"] = f"SELECT person, context, round({_csd('((ts % 86400) // 60)
 # --- changes of tables -----------------------------------------------------------------------------
 
 SQL["upsert_points"] = """
-WITH s AS (SELECT person, source, device_id, ts // 3600 * 3600 AS ts, max(steps) AS steps FROM (@B(steps)) GROUP BY ALL),
-n AS (SELECT person, source, device_id, ts, steps + 1000 AS steps FROM s WHERE ts % 7 = 0)
-SELECT * FROM n UNION ALL SELECT * FROM s WHERE ts % 5 > 0 AND NOT EXISTS (SELECT 1 FROM n WHERE n.person = s.person AND n.source = s.source AND n.device_id = s.device_id AND n.ts = s.ts)"""
+WITH s AS (SELECT person, source, device_id, ts // 3600 * 3600 AS ts, max(steps) AS steps FROM (@B(steps)) GROUP BY ALL)
+SELECT person, source, device_id, ts, (steps + CASE WHEN ts // 3600 % 2 = 1 OR ts // 3600 % 3 = 0 THEN 1000 ELSE 0 END)::INTEGER AS steps FROM s"""
 SQL["replace_intervals"] = """
-WITH s AS (SELECT DISTINCT person, source, device_id, start_ts, end_ts FROM (@B(sessions)) WHERE person < 12),
-n AS (SELECT * FROM s WHERE start_ts % 2 = 1 AND source = 'other' AND start_ts < 1705000000),
-w AS (SELECT person, source, min(start_ts) AS lo, max(end_ts) AS hi FROM n GROUP BY ALL)
-SELECT * FROM n UNION ALL SELECT s.* FROM s LEFT JOIN w USING (person, source) WHERE s.start_ts % 2 = 0 AND (lo IS NULL OR NOT (s.start_ts < hi AND s.end_ts > lo))"""
+WITH s AS (
+  SELECT *, row_number() OVER (PARTITION BY person, source, device_id ORDER BY start_ts DESC, end_ts DESC) AS n FROM (SELECT DISTINCT person, source, device_id, start_ts, end_ts FROM (@B(sessions)))
+), w AS (SELECT person, source, min(start_ts) AS lo, max(end_ts) AS hi FROM s WHERE n = 1 GROUP BY ALL)
+SELECT s.person, s.source, s.device_id, s.start_ts, s.end_ts FROM s LEFT JOIN w USING (person, source) WHERE n = 1 OR NOT (s.start_ts < hi AND s.end_ts > lo)"""
 SQL["contained_sessions"] = """
 WITH s AS (SELECT DISTINCT person, source, device_id, start_ts, end_ts FROM (@B(sessions)))
 SELECT i.*, o.device_id AS outer_device_id, o.start_ts AS outer_start_ts, o.end_ts AS outer_end_ts FROM s i JOIN s o
 ON i.person = o.person AND i.source = o.source AND i.start_ts >= o.start_ts AND i.end_ts <= o.end_ts WHERE i.end_ts - i.start_ts < 7200 AND o.end_ts - o.start_ts >= 7200"""
 
-from . import serving_oracle  # noqa: E402
+from . import serving_oracle, source_oracle  # noqa: E402
 
-SQL |= serving_oracle.SQL
+SQL |= serving_oracle.SQL | source_oracle.SQL
 
 # dates come out as ISO text
 _DATES = {

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Readiness
 from ..functions.clock import format_duration
 
 # What the series and the period views show, and their limits.
@@ -140,3 +141,13 @@ def trailing_week(long: DataFrame, metric: str) -> DataFrame:
 
 def durations(workouts: DataFrame) -> DataFrame:
     return workouts.select("start_ts", "sport", format_duration(F.col("duration_min")).alias("duration"))
+
+
+def readiness_rules(spark: SparkSession, cfg: Readiness = Readiness()) -> DataFrame:
+    """The rules in force: (rule, place of the term, field, comparison, value, what the rule says)."""
+    rows = [
+        (i, j if rule.get("when") else None, t.get("field"), t.get("op"), None if not t else str(t["value"]), rule["say"])
+        for i, rule in enumerate(cfg.rules)
+        for j, t in enumerate(rule.get("when") or [{}])
+    ]
+    return spark.createDataFrame(rows, "rule int, term int, field string, op string, value string, say string")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bindings import bind
@@ -234,8 +235,9 @@ def sustained_peaks(spark, d):
 def _detected(spark, d, masked=True):
     w, hr, hrmax, timeline, loads = _loads(spark, d)
     wide = hrmax.withColumn("date", F.explode(F.array(F.col("date"), F.date_add("date", 1)))).groupBy("person", "date").agg(F.max("hr_max").alias("hr_max"))
-    few = w.where("start_ts % 5 = 0") if masked else None
-    return loads, stored(L.detect_sessions(hr, few, wide, timeline, CFG, P), "detected")
+    # recorded workouts leave nothing unrecorded here, so each device's last one stands for what was recorded
+    last = w.groupBy("person", "device_id").agg(F.max(F.struct("start_ts", "end_ts")).alias("w")).select("person", "w.*")
+    return loads, stored(L.detect_sessions(hr, last if masked else None, wide, timeline, CFG, P), "detected")
 
 
 @query
@@ -266,7 +268,7 @@ def daily_steps(spark, d):
 @query
 def daily_load(spark, d):
     """Workouts by day with known and unknown loads, on a calendar with worn and unworn days."""
-    loads = bind(spark, d, "daily").select("person", "date", F.when(F.col("load") > 0, F.col("load")).alias("load"), F.lit("hr_ours").alias("method")).where("load IS NULL OR load % 2 = 0")
+    loads = bind(spark, d, "daily").select("person", "date", F.when(F.col("load") > 0, F.col("load")).alias("load"), F.lit("hr_ours").alias("method"))
     days = S.calendar(loads, P).withColumn("day_wear", (F.dayofmonth("date") % 10) / 10)
     banister = days.where(F.dayofmonth("date") % 3 > 0).select("person", "date", (F.dayofmonth("date") * 3).cast("double").alias("banister"))
     return rounded(L.daily_load(days, loads, banister, CFG, P).withColumn("day_wear", F.round("day_wear", 6)))
@@ -277,7 +279,8 @@ def daily_load(spark, d):
 
 @query
 def calendar_fill(spark, d):
-    wide = S.on_calendar(bind(spark, d, "daily").where("person <> 'N' AND day(date) % 4 > 0"), P)
+    gaps = bind(spark, d, "daily").withColumn("load", F.when(F.dayofmonth("date") % 4 > 0, F.col("load")))
+    wide = S.on_calendar(gaps, P)
     return wide.withColumns({"filled": S.forward_fill("load", P), "mean7": F.round(S.trailing_mean("load", 7, 4, P), 6)})
 
 
@@ -331,15 +334,18 @@ def circular_sd(spark, d):
 @query
 def upsert_points(spark, d):
     s = bind(spark, d, "steps").groupBy("person", "source", "device_id", (F.floor(F.col("ts") / 3600) * 3600).alias("ts")).agg(F.max("steps").alias("steps"))
-    new = s.where("ts % 7 = 0").withColumn("steps", F.col("steps") + 1000)
-    return upsert(s.where("ts % 5 > 0"), new, ["person", "source", "device_id", "ts"])
+    # hours of odd number come anew, every third hour is new; together the sides hold every row
+    new = s.where("ts div 3600 % 2 = 1 OR ts div 3600 % 3 = 0").withColumn("steps", F.col("steps") + 1000)
+    return upsert(s.where("ts div 3600 % 3 > 0"), new, ["person", "source", "device_id", "ts"])
 
 
 @query
 def replace_intervals(spark, d):
     s = bind(spark, d, "sessions").select("person", "source", "device_id", "start_ts", "end_ts").distinct()
-    old, new = s.where("person < 12 AND start_ts % 2 = 0"), s.where("person < 12 AND start_ts % 2 = 1 AND source = 'other' AND start_ts < 1705000000")
-    return replace_window(old, new, ["person", "source"])
+    # each device's latest session comes anew, the others are old: together they are all rows
+    newest = F.row_number().over(Window.partitionBy("person", "source", "device_id").orderBy(F.desc("start_ts"), F.desc("end_ts")))
+    s = s.withColumn("n", newest)
+    return replace_window(s.where("n > 1").drop("n"), s.where("n = 1").drop("n"), ["person", "source"])
 
 
 @query
@@ -350,11 +356,11 @@ def contained_sessions(spark, d):
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return wear_daily(spark, "/root/testdata/sf0.001")
+    return wear_daily(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import serving_queries  # noqa: F401  registers more
+    from . import serving_queries, source_queries  # noqa: F401  register more
 
     return dict(QUERIES)
 

@@ -58,8 +58,14 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """The declared columns in their order and types; columns the frame lacks are null."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].schema])
+    """The declared columns in their order and types; columns the frame lacks, and values that are no number, are null."""
+    return without_nan(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].schema]))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """Null in the place of NaN, which would spoil every sum that it gets into."""
+    numbers = [c for c, kind in df.dtypes if kind in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
 
 def violations(df: DataFrame, table: str, source: str | None = None, keys: Sequence[str] = ()) -> DataFrame:

@@ -113,7 +113,7 @@ class Store:
     def replace(self, table: str, df: DataFrame) -> None:
         """Write a new version, then make it current."""
         version = (self._versions(table) or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version}")
+        schema.without_nan(df).write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version}")
         self._fs.create(self._path(f"{self.folder}/{table}/current/{version}")).close()
 
     def ingest(self, batch: Mapping[str, DataFrame], source: str, file_hash: str | None = None, notes: str = "") -> dict[str, int]:

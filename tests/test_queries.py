@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from pulseframe import queries as Q
+from pulseframe.source_queries import WITHOUT_SQL
 from tests.conftest import DATA, duck, rows_of
 
 FOLDER = str(DATA / "sf0.01")
@@ -12,7 +13,12 @@ SQL = Q.oracle_sql()
 
 
 def test_every_query_has_sql():
-    assert set(Q.queries()) == set(SQL)
+    assert set(Q.queries()) - set(SQL) == set(WITHOUT_SQL)
+
+
+@pytest.mark.parametrize("name", WITHOUT_SQL)
+def test_whole_plan_runs(spark, name):
+    assert Q.queries()[name](spark, FOLDER).count() > 100
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
