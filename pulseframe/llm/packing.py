@@ -35,7 +35,7 @@ from .common import numbered, release, stored
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 
 # The normalizer and word pattern of the tokenizer whose words may be remembered.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
