@@ -275,20 +275,27 @@ class CharacterModel:
 
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token."""
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for step in arcs(token):
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, out) in paths.items():
+        return self.aligned(token)[0]
+
+    def aligned(self, token: str) -> tuple[str, str]:
+        """The likeliest letters behind a token, and for each ``+`` if it was drawn out, else a blank."""
+        marks = [" "] * len(token)
+        for run in _DRAWN_OUT.finditer("".join(c.lower()[0] for c in token)):
+            marks[run.start() : run.end()] = "+" * len(run[0])
+        paths: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}
+        for step, mark in zip(arcs(token), marks, strict=True):
+            new: dict[tuple[int, int], tuple[float, str, str]] = {}
+            for (a, b), (cost, out, drawn) in paths.items():
                 for letter, more in step:
                     if letter:
                         z = letter_number(letter)
-                        state, total, text = (b, z), cost + more + self.cost[a][b][z], out + letter
+                        state, total, text, at = (b, z), cost + more + self.cost[a][b][z], out + letter, drawn + mark * len(letter)
                     else:
-                        state, total, text = (a, b), cost + more, out
+                        state, total, text, at = (a, b), cost + more, out, drawn
                     if state not in new or total < new[state][0]:
-                        new[state] = (total, text)
+                        new[state] = (total, text, at)
             paths = new
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
+        return min((cost + self.cost[a][b][0], text, drawn) for (a, b), (cost, text, drawn) in paths.items())[1:]
 
 
 @lru_cache(4096)
@@ -407,7 +414,7 @@ def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
             yield int(doc[i]), True, token[k : k + PART_OF_RUN]
 
 
-_DRAWN_OUT = re.compile(r"(.)\1\1")
+_DRAWN_OUT = re.compile(r"(.)\1{2,}", re.S)
 
 
 def _once(text: str) -> str:
@@ -415,6 +422,31 @@ def _once(text: str) -> str:
     return re.sub(r"(.)\1+", r"\1", text)
 
 
+def _places(word: str, drawn: str) -> list[tuple[str, bool]]:
+    """The letters of a word and whether each may stand for several: repetitions are one place where they were drawn out."""
+    out: list[tuple[str, bool]] = []
+    for c, mark in zip(word, drawn, strict=True):
+        if out and out[-1][0] == c and (mark == "+" or out[-1][1]):
+            out[-1] = (c, True)
+        else:
+            out.append((c, mark == "+"))
+    return out
+
+
+def _stands(places: list[tuple[str, bool]], text: str, whole: bool) -> bool:
+    """Whether the places begin with a text, or are it."""
+    i = 0
+    for c, several in places:
+        if i == len(text):
+            return not whole
+        if text[i] != c:
+            return False
+        i += 1
+        while several and i < len(text) and text[i] == c:
+            i += 1
+    return i == len(text)
+
+
 @dataclass
 class Model:
     words: WordList
@@ -438,9 +470,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
         known = HashSet(np.array(sorted(words.entries), np.uint64))
         listed = words.texts()
         decoder = CharacterModel(sent.value.counts, sorted({t for t, _, _ in listed}))
-        compact = [(t, _once(t), whole, int(np.searchsorted(known.keys, np.uint64(base)))) for t, whole, base in listed]
-        # no word that holds none of these holds a feature
-        some_feature = re.compile("|".join(sorted({re.escape(x) for t, once, _, _ in compact for x in (t, once)})) or "(?!)")
+        numbered = [(t, whole, int(np.searchsorted(known.keys, np.uint64(base)))) for t, whole, base in listed]
+        # no word that holds none of these, repetitions aside, holds a feature
+        some_feature = re.compile("|".join(sorted({re.escape(_once(t)) for t, _, _ in numbered})) or "(?!)")
         memory: dict[tuple[bool, str], tuple[str, list[int]]] = {}
 
         def restore(inside: bool, token: str) -> tuple[str, list[int]]:
@@ -449,15 +481,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
             if got is None:
                 if len(memory) > 20_000:
                     memory.clear()
-                word, plain = decoder.decode(token), token.lower()
-                # where letters were drawn out, how often a letter stood is not known
-                forms = [(word, 0)] + [(_once(word), 1)] * bool(_DRAWN_OUT.search(token))
+                (word, drawn), plain = decoder.aligned(token), token.lower()
                 before = re.findall(WORD_PATTERN, plain)
+                places = _places(word, drawn)
                 hits = set()
-                for *texts, whole, k in compact if word != plain and any(some_feature.search(form) for form, _ in forms) else ():
-                    if any(w == texts[0] if whole else w.startswith(texts[0]) for w in before):
+                for t, whole, k in numbered if (word != plain or "+" in drawn) and some_feature.search(_once(word)) else ():
+                    if any(w == t if whole else w.startswith(t) for w in before):
                         continue
-                    if any(texts[i] in form if inside else texts[i] == form if whole else form.startswith(texts[i]) for form, i in forms):
+                    if any(_stands(places[i:], t, whole and not inside) for i in range(len(places) if inside else 1)):
                         hits.add(k)
                 got = memory[inside, token] = (word, sorted(hits))
             return got

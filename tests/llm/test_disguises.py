@@ -9,10 +9,14 @@ from pulseframe.llm import toxicity
 PLAIN = "we walked along the quiet river and talked about weather while old friends were reading books near stone houses under tall green trees".split()
 HIDDEN = [
     "id10t", "a55hole", "n00b", "a$$hole", "l00ser", "sh1+", "1 d 1 0 t", "i.d.1.o.t", "i - d - i - o - t", "i  d  i  o  t", "d ä m l i c h", "d.ä.m.l.1.c.h", "dääääämlich",
-    "friend,1d10t,weather", "(1d10t)", "friend.1d10t", "m0r0n-river", "id" + "i" * 60 + "ot", "x" + "river" * 9 + "1d10t",
+    "friend,1d10t,weather", "(1d10t)", "friend.1d10t", "m0r0n-river", "id" + "i" * 60 + "ot", "asssshole", "A$$$hole", "nooooob", "n000b", "x" + "river" * 9 + "1d10t",
     "i d 1 0 t", "i   d   i   o   t", "i\nd\ni\no\nt", "i/d/i/o/t", "ïd1öt", "https://example.org/a/very/long/address/of/some/page/1d10t", "i d i o t " * 1 + "x y z " * 60,
 ]
-CLEAN = ["number 10 and 3d or a b, 4x4 and $5", "1 2 3 a 4 - 5", "river! trees!!! **stone** 10:30am v1.0 2024-01-05", "9f8a7c3e0b1d4a5e6f708192a3b4c5d6e7f80912", "日本語ーーー 10 b - c - d"]
+CLEAN = [
+    "number 10 and 3d or a b, 4x4 and $5", "1 2 3 a 4 - 5", "river! trees!!! **stone** 10:30am v1.0 2024-01-05", "9f8a7c3e0b1d4a5e6f708192a3b4c5d6e7f80912", "日本語ーーー 10 b - c - d",
+    # letters that are not drawn out count as they are: no asshole, no noob
+    "we went ashore*** and nobody!!! saw the ashes$$$ there",
+]
 
 
 def test_more_disguised_words_are_restored(spark):
