@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, licenses, packing, quality, rules, sharding, toxicity
+from . import chat, decontam, divergence, exact, jaccard, langid, licenses, packing, quality, rules, sharding, toxicity, whitening
 from .common import crc_fold
 
 
@@ -100,6 +100,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return exact.mark_copies(docs, carry=["doc_id", "text_sha256"])
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))  # null beyond 64 bits
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -112,4 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_license_scan": op9_license_scan,
         "op10_sharding": op10_sharding,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_source_divergence": op13_source_divergence,
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER as _LOWER
 from .common import UPPER as _UPPER
 from .common import WORD_PATTERN as _WORD
+from .divergence import SQL as OP13
 from .licenses import TEMPLATES
 
 OP5 = r"""
@@ -137,6 +138,12 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP11 = r"""
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op9_license_scan": OP9, "op5_quality_rules": OP5, "op7_chat_formatting": OP7, "op10_sharding": OP10}
+    return {"op1_decontamination": OP1, "op9_license_scan": OP9, "op5_quality_rules": OP5, "op7_chat_formatting": OP7, "op10_sharding": OP10, "op11_exact_dedup": OP11, "op13_source_divergence": OP13}
