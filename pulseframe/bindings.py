@@ -41,6 +41,9 @@ BINDINGS = {
              CASE event_type WHEN 'click' THEN 'background' WHEN 'view' THEN 'background' WHEN 'purchase' THEN 'workout'
                   WHEN 'signup' THEN 'spot' ELSE 'unknown' END AS context
       FROM events""",
+    # samples of a year: twelve times as slow, so that both changes of summer time are among them
+    "spring_hr": f"""
+      SELECT user_id % 5 AS person, {_T0} + (@E(ts) - {_T0}) * 12 AS ts FROM events""",
     "dense_hr": f"""
       SELECT user_id % 5 AS person, {_T0} + (@E(ts) - {_T0}) DIV 20 AS ts, CAST(max(80 + CAST(floor(value) AS BIGINT) % 110) AS DOUBLE) AS bpm
       FROM events WHERE event_type <> 'error' GROUP BY user_id % 5, {_T0} + (@E(ts) - {_T0}) DIV 20""",
@@ -89,6 +92,14 @@ BINDINGS = {
       SELECT o_orderstatus AS person, CAST(o_orderdate AS DATE) AS date, CAST(year(CAST(o_orderdate AS DATE)) AS VARCHAR(9)) AS era,
              max(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS n
       FROM orders GROUP BY o_orderstatus, CAST(o_orderdate AS DATE)""",
+    # --- records of unknown layout: nested to the ninth level, with lists, nulls, numbers in texts, places and identifiers
+    "nested": """
+      SELECT l_returnflag AS key, l_orderkey, l_linenumber,
+             concat('{"id": ', CAST(l_orderkey AS VARCHAR(20)), ', "qty":"', CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR(20)), '", "part":{"user_id":"u', CAST(l_partkey AS VARCHAR(20)),
+               '","supplier":{"no":', CAST(l_suppkey AS VARCHAR(20)), ',"tags":["', l_linestatus, '","', l_returnflag, '",""]}},"Location":{"lat":52.', CAST(10 + l_suppkey AS VARCHAR(20)), ',"path":[[1,2],{"x":"}"}]},',
+               '"flags":[true,null,', CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '"x y",' ELSE concat('{"mac": "aa:bb", "note":"', chr(92), '"lat', chr(92), '":1"},') END, CAST(l_linenumber AS VARCHAR(20)), '],"rate":0.', CAST(1 + l_linenumber AS VARCHAR(20)), 'e0',
+               CASE WHEN l_linenumber = 7 THEN ',"none":[],"empty":{}' ELSE '' END, ',"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":', CAST(l_linenumber AS VARCHAR(20)), ',"i":{"j":1},"k":[1,2]}}}}}}}}') AS doc
+      FROM lineitem""",
     # --- as one source, for exports and the store
     "x_hr": """
       SELECT 'mifitness' AS source, CAST(user_id % 5 AS VARCHAR(9)) AS device_id, @E(ts) AS ts, CAST(max(20 + CAST(floor(value) AS BIGINT) % 150) AS INT) AS bpm,
@@ -128,6 +139,7 @@ def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     while m := re.search(r"@B\((\w+)\)", sql):
         sql = sql[: m.start()] + BINDINGS[m[1]] + sql[m.end() :]
     sql = re.sub(r"@E\((\w+)\)", r"unix_timestamp(CAST(\1 AS TIMESTAMP))", sql)
+    sql = sql.replace("{", "{{").replace("}", "}}")
     tables = [t for t in ("events", "lineitem", "orders") if re.search(rf"\bFROM {t}\b", sql)]
     for t in tables:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)

@@ -1,4 +1,4 @@
-"""Profiles of unknown exports: column statistics, value counts, cadence, JSON paths, and checks against the device."""
+"""Profiles of unknown exports: column statistics, value counts, cadence, and checks against the device."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import epoch_unit
+from ..functions.clock import epoch_unit, zone_offset
 from ..operators.series import average_rank
+from .json_values import DISTINCT_KEPT
 
 # What names of columns say about them.
 ROLES = {
@@ -20,7 +21,8 @@ ROLES = {
     "time": r"(?i)(time|date|(^|_)ts($|_)|timestamp)",
     "code": r"(?i)(kind|type|stage|state|code|category)",
 }
-DISTINCT_KEPT = 30
+#: Days of 1,440 minutes in one bitmap of 32,768 bits.
+MAP_DAYS = 22
 
 
 def role(name: str) -> str | None:
@@ -67,9 +69,20 @@ def cadence(df: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFrame:
     return stepped.groupBy(*keys).agg(F.count("_step").alias("steps"), F.expr("percentile(_step, 0.5)").alias("median_step"), F.sum(F.col("_n") - 1).alias("repeated"))
 
 
-def covered_minutes(df: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct minutes with a sample per day."""
-    return df.groupBy(*keys, F.date_from_unix_date(F.floor(F.col(ts) / 86_400).cast("int")).alias("date")).agg(F.count_distinct(F.floor(F.col(ts) / 60)).alias("minutes"))
+def covered_minutes(df: DataFrame, ts: str, zone: str = "UTC", keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct minutes of the local clock with a sample, per local day.
+
+    A bitmap of 32,768 bits holds 22 days of 1,440 minutes, 180 bytes each. Tasks set bits, bitmaps are
+    united in the shuffle, and each day's bytes are counted; no minute is a row. A day of 25 hours has its
+    repeated hour once, as the clock shows it; one of 23 hours can reach 1,380.
+    """
+    local = F.floor((F.col(ts) + zone_offset(F.col(ts), zone) * 60) / 60)
+    day = F.floor(local / 1440)
+    dated = df.where(F.col(ts).isNotNull()).select(*keys, F.floor(day / MAP_DAYS).alias("_map"), (F.pmod(day, F.lit(MAP_DAYS)) * 1440 + F.pmod(local, F.lit(1440))).alias("_bit"))
+    maps = dated.groupBy(*keys, "_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    days = maps.select(*keys, "_map", "_bits", F.explode(F.sequence(F.lit(0), F.lit(MAP_DAYS - 1))).alias("_d"))
+    counted = days.withColumn("minutes", F.bitmap_count(F.substring(F.col("_bits"), F.col("_d") * 180 + 1, F.lit(180))))
+    return counted.where("minutes > 0").select(*keys, F.date_from_unix_date((F.col("_map") * MAP_DAYS + F.col("_d")).cast("int")).alias("date"), "minutes")
 
 
 def quantiles(df: DataFrame, column: str, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
@@ -105,22 +118,6 @@ def epoch_share(df: DataFrame, columns: Sequence[str], seconds_from: float = 3e8
     return df.agg(F.array(*cells).alias("_s")).select(F.explode("_s").alias("s")).select("s.*")
 
 
-def json_paths(df: DataFrame, column: str, depth: int = 8) -> DataFrame:
-    """Top-level to nested paths of JSON texts with their types and counts, by unfolding one level at a time."""
-    level = df.select(F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v IS NOT NULL")
-    found = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        own = level.where("path <> ''").select("path", F.regexp_extract(kind, r"^[A-Z]+", 0).alias("type"))
-        found = own if found is None else found.unionByName(own)
-        fields = level.where(kind.startswith("OBJECT")).select(
-            "path", F.explode(F.map_entries(F.expr("try_cast(v AS MAP<STRING, VARIANT>)"))).alias("e")
-        ).select(F.concat("path", F.lit("."), "e.key").alias("path"), F.col("e.value").alias("v"))
-        items = level.where(kind.startswith("ARRAY")).select(F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_cast(v AS ARRAY<VARIANT>)")).alias("v"))
-        level = fields.unionByName(items)
-    return found.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
-
-
 def load_reconciliation(workouts: DataFrame) -> DataFrame:
     """Own loads against the device's, by year and method: number, median ratio with quartiles, rank correlation."""
     both = workouts.where("load_ours > 0 AND load_device > 0").withColumns({"year": F.year(F.timestamp_seconds("start_ts")), "ratio": F.col("load_ours") / F.col("load_device")})

@@ -46,7 +46,7 @@ WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "durations": """
 SELECT start_ts, sport, (duration_min::INTEGER // 60)::VARCHAR || 'h' || lpad((duration_min::INTEGER % 60)::VARCHAR, 2, '0') AS duration FROM (@B(workout_metrics))""",
     "column_profile": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, {z} AS zeros, {lo} AS least, {hi} AS most, {ml} AS mean_length FROM customer"
+        f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, {z} AS zeros, {lo} AS least, {hi} AS most, {ml} AS mean_length, count(DISTINCT {c}) AS \"distinct\" FROM customer"
         for c, t, z, lo, hi, ml in (
             ("c_custkey", "bigint", "count(*) FILTER (c_custkey = 0)", "min(c_custkey)::VARCHAR", "max(c_custkey)::VARCHAR", "round(avg(length(c_custkey::VARCHAR)), 6)"),
             ("c_name", "string", "0::BIGINT", "min(c_name)", "max(c_name)", "round(avg(length(c_name)), 6)"),
@@ -59,7 +59,9 @@ SELECT start_ts, sport, (duration_min::INTEGER // 60)::VARCHAR || 'h' || lpad((d
     "cadence_profile": """
 WITH t AS (SELECT person, ts, count(*) AS n FROM (@B(hr)) GROUP BY ALL), s AS (SELECT *, ts - lag(ts) OVER (PARTITION BY person ORDER BY ts) AS step FROM t)
 SELECT person, count(step) AS steps, median(step) AS median_step, sum(n - 1)::BIGINT AS repeated FROM s GROUP BY person""",
-    "covered_minutes": "SELECT person, DATE '1970-01-01' + (ts // 86400)::INTEGER AS date, count(DISTINCT ts // 60) AS minutes FROM (@B(hr)) GROUP BY ALL",
+    "covered_minutes": """
+SELECT person, (to_timestamp(ts) AT TIME ZONE 'Europe/Berlin')::DATE AS date, count(DISTINCT date_trunc('minute', to_timestamp(ts) AT TIME ZONE 'Europe/Berlin')) AS minutes
+FROM (@B(spring_hr)) GROUP BY ALL""",
     "quantiles_exclusive": f"""
 WITH v AS (SELECT c_mktsegment, list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n FROM customer GROUP BY 1),
 p AS (SELECT *, {", ".join(f"greatest(1, least(n - 1, floor((n + 1) * {q}::DOUBLE)))::INTEGER AS k{round(q * 100)}" for q in (0.01, 0.25, 0.5, 0.75, 0.99))} FROM v)
@@ -78,9 +80,6 @@ FROM (SELECT o_orderkey, o_orderkey * pow(10.0::DOUBLE, o_orderkey % 16) AS v FR
 SELECT c_custkey, regexp_replace(c_name, '\\b\\d{8,}\\b', '<number>', 'g') || ' <mac> <geo> <number>' AS text, 'id:' || substr(sha256(c_name), 1, 8) AS id FROM customer""",
     "keyed_json": """
 SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, nullif((props::JSON ->> 'k')::DOUBLE, 0) AS known_k FROM events""",
-    "json_paths": """
-SELECT '.' || k AS path, CASE json_type(props::JSON, '$.' || k) WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(props::JSON, '$.' || k) END AS type, count(*) AS n
-FROM (SELECT props, unnest(json_keys(props::JSON)) AS k FROM events) GROUP BY ALL""",
     "two_level_max": """
 SELECT person, day, max(s)::BIGINT AS steps FROM (SELECT person, ts // 86400 AS day, device_id, sum(steps) AS s FROM (@B(steps)) GROUP BY ALL) GROUP BY ALL""",
     "methods_by_year": """
@@ -158,3 +157,32 @@ SQL["missing_nights"] = f"""
 WITH {_RECONCILED}, span AS (SELECT person, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM nights GROUP BY person),
 ends AS (SELECT person, (to_timestamp(end_ts) AT TIME ZONE 'Europe/Berlin')::DATE AS date, count(*) AS n FROM s GROUP BY ALL)
 SELECT person, date, coalesce(n, 0) AS records FROM span LEFT JOIN ends USING (person, date) WHERE NOT EXISTS (SELECT 1 FROM nights x WHERE x.person = span.person AND x.date = span.date)"""
+
+_NODES = """
+w AS (
+  SELECT d.*, j.type AS t, j.value AS v, j.fullkey AS f FROM (@D) d, json_tree(doc::JSON) j
+  WHERE length(regexp_replace(j.fullkey, '[^.\\[]', '', 'g')) <= 8
+), p AS (SELECT *, ltrim(regexp_replace(substr(f, 2), '\\[[0-9]+\\]', '[]', 'g'), '.') AS path FROM w),
+n AS (
+  SELECT key, path, CASE t WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'NULL' THEN 'VOID' WHEN 'DOUBLE' THEN CASE WHEN path LIKE '%.lat' THEN 'DECIMAL' ELSE t END ELSE t END AS t, CASE WHEN t <> 'NULL' THEN v ->> '$' END AS value FROM p WHERE t NOT IN ('OBJECT', 'ARRAY')
+  UNION ALL SELECT key, path || '[].#len', 'BIGINT', json_array_length(v)::VARCHAR FROM p WHERE t = 'ARRAY'
+), x AS (SELECT key, path, value, CASE WHEN t = 'VARCHAR' THEN CASE WHEN regexp_full_match(value, '[+-]?[0-9]+([.][0-9]*)?') THEN 'NUMSTR' ELSE 'STRING' END ELSE t END AS type FROM n)"""
+SQL["json_paths"] = f"WITH {_NODES.replace('@D', 'SELECT 0 AS key, props AS doc FROM events UNION ALL SELECT 0, doc FROM (@B(nested))')} SELECT path, type, count(*) AS n FROM x GROUP BY ALL"
+SQL["json_value_stats"] = f"""
+WITH {_NODES.replace("@D", "SELECT key, doc FROM (@B(nested))")},
+t AS (SELECT key, path, type, count(*) AS n FROM x WHERE value <> '' GROUP BY ALL),
+v AS (SELECT key, path, value, count(*) AS n FROM x WHERE value <> '' GROUP BY ALL),
+s AS (
+  SELECT key, path, count(*) AS n, count(*) FILTER (coalesce(value, '') = '') AS empty, min(CASE WHEN type NOT IN ('STRING', 'BOOLEAN') THEN try_cast(value AS DOUBLE) END) AS least,
+         max(CASE WHEN type NOT IN ('STRING', 'BOOLEAN') THEN try_cast(value AS DOUBLE) END) AS most FROM x GROUP BY ALL
+)
+SELECT s.key, s.path, s.n, empty, coalesce((SELECT string_agg(type || ':' || t.n, ',' ORDER BY t.n DESC, type) FROM t WHERE t.key = s.key AND t.path = s.path), '') AS types, round(least, 6) AS least, round(most, 6) AS most,
+       CASE WHEN d.n <= 30 THEN d.n END AS distinct, CASE WHEN d.n <= 30 THEN d.vals END AS values
+FROM s LEFT JOIN (SELECT key, path, count(*) AS n, string_agg(value || ':' || n, ', ' ORDER BY n DESC, value) AS vals FROM v GROUP BY ALL) d USING (key, path)"""
+SQL["scrubbed_json"] = """
+SELECT l_orderkey, l_linenumber,
+  replace(regexp_replace(replace(doc, '"user_id":"u' || l_partkey || '"', '"user_id":"id:' || substr(sha256('u' || l_partkey), 1, 8) || '"'),
+    '"Location":[{]"lat":52[.][0-9]+,"path":[[][[]1,2[]],[{]"x":"}"}[]]}', '"Location":"<redacted>"'),
+    '"mac": "aa:bb"', '"mac": "id:' || substr(sha256('aa:bb'), 1, 8) || '"') AS doc,
+  '20240131_<account>_MiFitness_1234_x.csv' AS file
+FROM (SELECT *, regexp_extract(doc, '"user_id":"u([0-9]+)"', 1) AS l_partkey FROM (@B(nested)))"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .bindings import bind
-from .functions import clock, scores
+from .functions import clock, privacy, scores
 from .operators import series as S
+from .plans import json_values as J
 from .plans import profiling as PR
 from .plans import serving as SV
 from .queries import query, rounded, table
@@ -93,7 +94,7 @@ def durations(spark, d):
 
 @query
 def column_profile(spark, d):
-    return PR.column_stats(table(spark, d, "customer")).drop("distinct")
+    return PR.column_stats(table(spark, d, "customer"))
 
 
 @query
@@ -108,7 +109,7 @@ def cadence_profile(spark, d):
 
 @query
 def covered_minutes(spark, d):
-    return PR.covered_minutes(bind(spark, d, "hr"), "ts", ["person"])
+    return PR.covered_minutes(bind(spark, d, "spring_hr"), "ts", "Europe/Berlin", ["person"])
 
 
 @query
@@ -148,7 +149,19 @@ def keyed_json(spark, d):
 
 @query
 def json_paths(spark, d):
-    return PR.json_paths(table(spark, d, "events"), "props", 2)
+    return J.json_paths(table(spark, d, "events").select("props").unionByName(bind(spark, d, "nested").select(F.col("doc").alias("props"))), "props")
+
+
+@query
+def json_value_stats(spark, d):
+    return rounded(J.value_stats(bind(spark, d, "nested"), "doc", keys=["key"]))
+
+
+@query
+def scrubbed_json(spark, d):
+    n = bind(spark, d, "nested")
+    name = F.concat(F.lit("20240131_"), (F.col("l_orderkey") + 10**9).cast("string"), F.lit("_MiFitness_1234_x.csv"))
+    return n.select("l_orderkey", "l_linenumber", privacy.scrub_json(F.col("doc")).alias("doc"), privacy.mask_account(name).alias("file"))
 
 
 @query

@@ -22,12 +22,6 @@ def test_names():
     assert "RR_INTERVALS" in PR.hrv_verdict(["HR", "RR_INTERVALS"]) and PR.hrv_verdict(["HR"]).startswith("no ")
 
 
-def test_json_paths(spark):
-    df = spark.createDataFrame([('{"a":{"b":[1,2]},"c":"x"}',), ('{"a":null}',), ("no json",), (None,)], "v string")
-    got = {(r["path"], r["type"]): r["n"] for r in PR.json_paths(df, "v", 4).collect()}
-    assert got == {(".a", "OBJECT"): 1, (".c", "STRING"): 1, (".a.b", "ARRAY"): 1, (".a.b[]", "BIGINT"): 2, (".a", "VOID"): 1}
-
-
 def test_observed_maximum_without_keys(spark):
     day = 86_400
     peaks = [196.0, 197.0, 198.0, 240.0]
