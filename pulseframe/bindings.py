@@ -46,7 +46,7 @@ BINDINGS = {
       SELECT user_id % 5 AS person, {_T0} + (@E(ts) - {_T0}) * 12 AS ts FROM events""",
     "dense_hr": f"""
       SELECT user_id % 5 AS person, {_T0} + (@E(ts) - {_T0}) DIV 20 AS ts, CAST(max(80 + CAST(floor(value) AS BIGINT) % 110) AS DOUBLE) AS bpm
-      FROM events WHERE event_type <> 'error' GROUP BY user_id % 5, {_T0} + (@E(ts) - {_T0}) DIV 20""",
+      FROM events GROUP BY user_id % 5, {_T0} + (@E(ts) - {_T0}) DIV 20""",
     "steps": """
       SELECT user_id % 5 AS person, 's' AS source, CAST(user_id % 4 AS VARCHAR(9)) AS device_id, @E(ts) AS ts, CAST(floor(value) AS INT) AS steps
       FROM events WHERE event_type = 'click'""",
@@ -60,6 +60,11 @@ BINDINGS = {
              CAST((event_id % 13) * 30 AS DOUBLE) AS zone3_s, CAST((event_id % 3) * 60 AS DOUBLE) AS zone4_s, CAST((event_id % 2) * 60 AS DOUBLE) AS zone5_s,
              CAST(NULL AS DOUBLE) AS dev_train_load
       FROM events WHERE event_type = 'purchase'""",
+    # all workouts, those of six hours begun within the first of them, so that there is time left in which to detect others
+    "bunched_workouts": f"""
+      SELECT person, {_T0} + (start_ts - {_T0}) DIV 21600 * 21600 + (start_ts - {_T0}) % 21600 DIV 6 AS start_ts,
+             {_T0} + (start_ts - {_T0}) DIV 21600 * 21600 + (start_ts - {_T0}) % 21600 DIV 6 + (end_ts - start_ts) AS end_ts
+      FROM (@B(workouts)) w""",
     "sessions": """
       SELECT user_id % 25 AS person, CASE user_id % 4 WHEN 0 THEN 'gadgetbridge' WHEN 1 THEN 'mifitness' ELSE 'other' END AS source,
              CAST(user_id % 3 AS VARCHAR(9)) AS device_id, @E(ts) AS start_ts, @E(ts) + (30 + CAST(floor(value * 7) AS BIGINT) % 500) * 60 AS end_ts,
@@ -71,12 +76,12 @@ BINDINGS = {
              CASE (start_ts + k) % 5 WHEN 0 THEN 'awake' WHEN 1 THEN 'light' WHEN 2 THEN 'deep' WHEN 3 THEN 'rem' ELSE 'asleep' END AS stage
       FROM (@B(sessions)) s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k""",
     "long": """
-      SELECT CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS date,
+      SELECT user_id AS person, CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS date,
              CASE event_type WHEN 'click' THEN 'activity.steps' WHEN 'purchase' THEN 'strain.load' WHEN 'view' THEN 'recovery.score' WHEN 'signup' THEN 'rhr.z' ELSE 'sleep.sri_7d' END AS metric,
              CAST(CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN NULL ELSE sum(CAST(floor(value) AS BIGINT)) END AS DOUBLE) AS value,
              CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN 'insufficient_data' ELSE 'ok' END AS status,
              CASE WHEN sum(CAST(floor(value) AS BIGINT)) % 7 = 0 THEN concat('gap ', CAST(count(*) % 2 AS VARCHAR(20))) ELSE NULL END AS reason
-      FROM events GROUP BY CAST(ts AS DATE), event_type""",
+      FROM events GROUP BY user_id, CAST(ts AS DATE), event_type""",
     "workout_metrics": """
       SELECT CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS date, @E(ts) AS start_ts, @E(ts) + (20 + event_id % 70) * 60 AS end_ts, concat('sport_', CAST(user_id % 7 AS VARCHAR(20))) AS sport,
              CASE event_id % 3 WHEN 0 THEN 'hr_ours' WHEN 1 THEN 'device_zones' ELSE 'detected' END AS method, CAST(20 + event_id % 70 AS DOUBLE) AS duration_min,

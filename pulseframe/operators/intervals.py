@@ -19,6 +19,13 @@ def _day(ts: Column) -> Column:
     return F.floor(ts / DAY)
 
 
+def one_each(df: DataFrame, ident: Sequence[str]) -> DataFrame:
+    """One row per identity: the greatest by its other columns in order, nulls last."""
+    rest = [F.desc_nulls_last(c) for c in df.columns if c not in ident]
+    first = F.row_number().over(Window.partitionBy(*ident).orderBy(*rest))
+    return df.withColumn("_first", first).where("_first = 1").drop("_first")
+
+
 def by_day(intervals: DataFrame, start: str, end: str, name: str = "_day") -> DataFrame:
     """Each interval [start, end) once per UTC day that it touches; empty ones not at all."""
     days = F.sequence(_day(F.col(start)), _day(F.col(end) - 1))
@@ -68,24 +75,21 @@ def anti_overlap(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source"
 def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "ts", tolerance_s: int = 36 * 3600) -> DataFrame:
     """Add the value of the nearest anchor (ts, value); of two equally near the earlier. Null beyond the tolerance.
 
-    Anchors are repeated for every day from which they are within the tolerance; then samples and
-    anchors are sorted together per key and day, and each sample takes the last anchor before it and
-    the first one from it on. So no partition grows with the length of a history.
+    An anchor is the nearest from half-way to the one before it until half-way to the next, as far as the
+    tolerance goes: a stretch of time. Stretches do not overlap, so each sample meets at most one, by key
+    and day; samples are not sorted, nor shuffled where the stretches are few enough to broadcast.
+    Times are whole seconds. Of anchors at one instant the one with the least value counts.
     """
-    near_days = F.sequence(_day(F.col("ts") - tolerance_s), _day(F.col("ts") + tolerance_s))
-    a = anchors.select(*keys, F.explode(near_days).alias("_day"), F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("ts").alias("t"), F.col(value).alias("v")).alias("_anchor"))
-    s = samples.withColumns({"_day": _day(F.col(ts)), "_at": F.col(ts), "_kind": F.lit(1), "_row": F.struct("*")})
-    both = s.select(*keys, "_day", "_at", "_kind", "_row").unionByName(a, allowMissingColumns=True)
-    part = Window.partitionBy(*keys, "_day")
-    # running frames in both directions: a frame to the end of the partition would be redone for every row
-    so_far = lambda *order: F.last("_anchor", ignorenulls=True).over(part.orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    before, after = so_far("_at"), so_far(F.desc("_at"))
-    near = both.select("_row", "_at", "_kind", before.alias("_b"), after.alias("_a")).where("_kind = 1")
-    db, da = F.col("_at") - F.col("_b.t"), F.col("_a.t") - F.col("_at")
-    pick = F.when(db.isNotNull() & (da.isNull() | (db <= da)), F.col("_b")).otherwise(F.col("_a"))
-    return near.withColumn("_p", pick).select(
-        "_row.*", F.when(F.abs(F.col("_p.t") - F.col("_at")) <= tolerance_s, F.col("_p.v")).alias(value)
-    )
+    one = anchors.groupBy(*keys, F.col("ts").alias("_at")).agg(F.min(value).alias(value))
+    w = Window.partitionBy(*keys, F.lit(0)).orderBy("_at")
+    half = lambda other: F.floor((F.col("_at") + other.over(w)) / 2)
+    lo = F.greatest(half(F.lag("_at")) + 1, F.col("_at") - tolerance_s)  # greatest and least pass over nulls
+    hi = F.least(half(F.lead("_at")), F.col("_at") + tolerance_s) + 1
+    stretches = by_day(one.select(*keys, value, lo.alias("_lo"), hi.alias("_hi")), "_lo", "_hi")
+    s, a = samples.withColumn("_day", _day(F.col(ts))).alias("s"), stretches.alias("a")
+    same = [F.col(f"s.{k}") == F.col(f"a.{k}") for k in [*keys, "_day"]]
+    joined = s.join(a, [*same, F.col(f"s.{ts}") >= F.col("a._lo"), F.col(f"s.{ts}") < F.col("a._hi")], "left")
+    return joined.select(*[F.col(f"s.{c}") for c in samples.columns], F.col(f"a.{value}").alias(value))
 
 
 def islands(df: DataFrame, breaks: Column, keys: Sequence[str], order: Sequence[str], name: str = "island") -> DataFrame:

@@ -11,8 +11,10 @@ from ..config import Config, Person, Strain
 from ..functions.clock import age_on, local_date
 from ..functions.scores import edwards, impulse, strain, zone
 from .intervals import islands, slice_join
+from ..store import stored
 from .nights import local_offsets, record_offsets
 from .series import acute_chronic, tau
+from .slices import run_window, slice_window, sliced, stitched
 
 ZONES = [f"z{i}_min" for i in range(1, 6)]
 
@@ -21,24 +23,56 @@ def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 
 
+def _levels(days: int) -> int:
+    return max(1, days).bit_length()
+
+
+def top_inside(dates: DataFrame, spans: DataFrame, value: str, longest: int, n: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, _d, value): for each day number ``_d`` the ``n`` largest values whose spans [_from, _to] of days hold it.
+
+    Days form a tree of aligned stretches of 1, 2, 4, ... days. A span of up to ``longest`` days is made up
+    of at most two stretches per level, each stretch keeps its own top, and a day looks at the one
+    stretch of each level that holds it. So joined rows grow with days plus spans, not with their product.
+    """
+    levels = _levels(longest)
+    # the stretches that make up a span, from the finest level on: an odd first one, and an even last one
+    node = lambda k, at: F.struct(F.lit(k).alias("_level"), at.alias("_node"))
+    lo, hi = F.col("_from"), F.col("_to") + 1
+    parts = []
+    for k in range(levels):
+        left, right = F.pmod(lo, F.lit(2)) == 1, F.pmod(hi, F.lit(2)) == 1
+        parts += [F.when((lo < hi) & left, node(k, lo)), F.when((lo + left.cast("long") < hi) & right, node(k, hi - 1))]
+        lo, hi = F.ceil(lo / 2), F.floor(hi / 2)
+        parts += [F.when(F.lit(k == levels - 1) & (lo < hi), node(k + 1, lo))]
+    placed = spans.where("_to >= _from").select(*keys, value, F.explode(F.array_compact(F.array(*parts))).alias("e")).select(*keys, value, "e.*")
+    best = lambda df, by: df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc(value)))).where(F.col("_place") <= n).drop("_place")
+    held = best(placed, ["_level", "_node"])
+    above = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col("_d") / (1 << k)).alias("_node")) for k in range(levels + 1)])
+    paths = dates.select(*keys, "_d", F.explode(above).alias("e")).select(*keys, "_d", "e.*")
+    return best(paths.join(held, [*keys, "_level", "_node"]).select(*keys, "_d", value), ["_d"])
+
+
 def hrmax_by_date(days: DataFrame, workouts: DataFrame, keys: Sequence[str] = (), person: Person = Person(), s: Strain = Strain(), peak: str = "max_hr") -> DataFrame:
     """Maximal heart rate per date: configured, else the larger of what age predicts and what was observed.
 
     Observed is the median of the three highest workout peaks of the look-back, without those too
-    far above the prediction. Workouts count by UTC day.
+    far above the prediction. Workouts count by UTC day. Predictions fall with age, so a peak counts from
+    its day until the look-back ends or it is too far above, whichever comes first: a span of days.
     """
     if person.hr_max:
         return days.select(*keys, "date", F.lit(float(person.hr_max)).alias("hr_max"), F.lit("config").alias("hr_max_basis"))
-    predicted = days.select(*keys, "date").distinct().withColumn("_age", 220.0 - age_on(F.col("date"), person.age, str(person.age_as_of)))
-    known = workouts.where(F.col(peak).isNotNull()).select(*keys, local_date(F.col("start_ts")).alias("_day"), F.col(peak).alias("_peak"))
-    # a look-back of that many days touches its own stretch of the calendar and the one before
-    stretch = lambda c: F.floor(F.unix_date(c) / s.hrmax_lookback_days)
-    placed = known.withColumn("_s", F.explode(F.array(stretch("_day"), stretch("_day") + 1)))
-    joined = predicted.withColumn("_s", stretch("date")).join(placed, [*keys, "_s"])
-    inside = joined.where((F.col("_day") <= F.col("date")) & (F.col("_day") > F.date_sub("date", s.hrmax_lookback_days)) & (F.col("_peak") <= F.col("_age") + s.hrmax_artifact_margin))
-    top = inside.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "date").orderBy(F.desc("_peak")))).where("_n <= 3")
-    middle = top.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("_n"), F.expr("percentile(_peak, 0.5)").alias("_seen"))
-    out = predicted.join(middle.where("_n = 3"), [*keys, "date"], "left")
+    age = lambda day: 220.0 - age_on(day, person.age, str(person.age_as_of))
+    predicted = days.select(*keys, "date").distinct().withColumns({"_age": age(F.col("date")), "_d": F.unix_date("date").cast("long")})
+    known = workouts.where(F.col(peak).isNotNull()).select(*keys, F.unix_date(local_date(F.col("start_ts"))).cast("long").alias("_from"), F.col(peak).alias("_peak"))
+    credible = lambda d: F.col("_peak") <= age(F.date_from_unix_date(d.cast("int"))) + s.hrmax_artifact_margin
+    # the last day by the line, and next to it as the comparison itself has it, rounding and all
+    about = F.unix_date(F.lit(str(person.age_as_of)).cast("date")) + F.floor((220.0 + s.hrmax_artifact_margin - person.age - F.col("_peak")) * 365.25)
+    near = [F.least(F.greatest(about, F.col("_from") - 3), F.col("_from") + s.hrmax_lookback_days + 1).cast("long") + i for i in (1, 0, -1)]
+    until = F.coalesce(*[F.when(credible(d), d) for d in near], near[-1] - 1)
+    spans = known.select(*keys, "_peak", "_from", F.least(until, F.col("_from") + s.hrmax_lookback_days - 1).alias("_to"))
+    top = top_inside(predicted, spans, "_peak", s.hrmax_lookback_days, 3, keys)
+    middle = top.groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n"), F.expr("percentile(_peak, 0.5)").alias("_seen"))
+    out = predicted.join(middle.where("_n = 3"), [*keys, "_d"], "left")
     better = F.coalesce(F.col("_seen") > F.col("_age"), F.lit(False))
     return out.select(*keys, "date", F.when(better, F.col("_seen")).otherwise(F.col("_age")).alias("hr_max"), F.when(better, "observed").otherwise("age").alias("hr_max_basis"))
 
@@ -107,26 +141,48 @@ def workout_loads(workouts: DataFrame, hr: DataFrame, hrmax: DataFrame, timeline
     )
 
 
-def detect_sessions(hr: DataFrame, workouts: DataFrame | None, hrmax: DataFrame, timeline: DataFrame, cfg: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
+def dated_samples(hr: DataFrame, hrmax: DataFrame, timeline: DataFrame, cfg: Config = Config(), keys: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Samples with what load asks of their neighbours, written once: (ts, bpm, date, hr_max, _gap, _step, _smooth, _slice).
+
+    ``_gap`` is the time since the sample before (60 s at the first), ``_step`` that until the next (60 s at
+    the last), ``_smooth`` the median of five shares of the maximal rate, where at least three of them lie
+    between the same wide gaps. A key's history is cut into slices of ``rows`` samples.
+    """
+    place = [c for c in hr.columns if c == "_rn"]
+    dated = local_offsets(hr.select(*keys, "ts", "bpm", *place), timeline, cfg.timezone, "ts", "_off", keys).withColumn("date", local_date(F.col("ts"), F.col("_off")))
+    rated = dated.join(hrmax.select(*keys, "date", "hr_max"), [*keys, "date"], "left").withColumn("_share", F.col("bpm") / F.col("hr_max")).drop("_off")
+    cut = sliced(rated, keys, 3, rows)  # a sample looks two to either side, and one further for the gap there
+    w = slice_window(keys)
+    timed = cut.withColumns({"_gap": F.coalesce(F.col("ts") - F.lag("ts").over(w), F.lit(60)), "_step": F.coalesce(F.lead("ts").over(w) - F.col("ts"), F.lit(60))})
+    part = islands(timed, F.col("_gap") > cfg.strain.workout_max_cadence_s, [*keys, "_slice"], ["ts"], "_part")
+    near = F.array(*[F.when(F.lag("_part", k).over(w) == F.col("_part"), F.lag("_share", k).over(w)) for k in (2, 1, -1, -2)], F.col("_share"))
+    five = part.withColumn("_five", F.sort_array(F.array_compact(near)))
+    n = F.size("_five")
+    at = lambda i: F.get("_five", i.cast("int"))
+    smooth = F.when(n >= 3, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2)
+    return stored(five.withColumn("_smooth", smooth).where("_own").select(*keys, "ts", "bpm", "date", "hr_max", "_gap", "_step", "_smooth", "_slice"), "smooth")
+
+
+def detect_sessions(samples: DataFrame, workouts: DataFrame | None, cfg: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
     """Sessions nobody recorded: dense stretches whose smoothed heart rate stays above the threshold.
 
-    Samples within five minutes of a recorded workout do not count; pass None to keep them.
+    ``samples`` are those of :func:`dated_samples`. Samples within five minutes of a recorded workout do not
+    count; pass None to keep them. Runs are found inside slices and stitched where slices meet.
     """
     s = cfg.strain
-    w = _by(keys).orderBy("ts")
-    dated = local_offsets(hr.select(*keys, "ts", "bpm"), timeline, cfg.timezone, "ts", "_off", keys).withColumn("date", local_date(F.col("ts"), F.col("_off")))
-    rated = dated.join(hrmax.select(*keys, "date", "hr_max"), [*keys, "date"], "left").withColumn("_gap", F.coalesce(F.col("ts") - F.lag("ts").over(w), F.lit(60)))
-    parts = islands(rated, F.col("_gap") > s.workout_max_cadence_s, keys, ["ts"], "_part").withColumn("_share", F.col("bpm") / F.col("hr_max"))
-    five = f"OVER (PARTITION BY {', '.join([*keys, '_part'])} ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
-    smooth = parts.withColumn("_smooth", F.expr(f"CASE WHEN count(_share) {five} >= 3 THEN percentile(_share, 0.5) {five} END"))
+    within = [*keys, "_slice"]
+    smooth = samples
     active = (F.col("_smooth") >= s.detect_threshold) & (F.col("_gap") <= s.workout_max_cadence_s)
+    hot = smooth.where(active)
     if workouts is not None:
         around = workouts.select(*keys, (F.col("start_ts") - 300).alias("start_ts"), (F.col("end_ts") + 300).alias("end_ts"))
-        masked = slice_join(around, smooth.select(*keys, "ts"), keys).select(*keys, "ts").distinct().withColumn("_masked", F.lit(True))
-        smooth = smooth.join(masked, [*keys, "ts"], "left")
-        active = active & F.col("_masked").isNull()
-    hot = smooth.where(active).withColumn("_since", F.col("ts") - F.lag("ts").over(w))
-    runs = islands(hot, F.col("_since") > s.detect_merge_gap_min * 60, keys, ["ts"], "_run").groupBy(*keys, "_run").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"))
+        masked = slice_join(around, hot.select(*keys, "ts"), keys).select(*keys, "ts").distinct()
+        hot = hot.join(masked, [*keys, "ts"], "left_anti")
+    merge = s.detect_merge_gap_min * 60
+    local = islands(hot.withColumn("_since", F.col("ts") - F.lag("ts").over(slice_window(keys))), F.col("_since") > merge, within, ["ts"], "_part")
+    part = local.groupBy(*within, "_part").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    whole = stitched(part, F.col("first_ts") - F.lag("last_ts").over(run_window(keys)) > merge, keys)
+    runs = whole.groupBy(*keys, "_run").agg(F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("last_ts"))
     long = runs.where(F.col("last_ts") - F.col("start_ts") >= s.detect_min_minutes * 60).withColumn("end_ts", F.col("last_ts") + 1)
     own = [*keys, "start_ts"]
     samples = slice_join(long.select(*keys, "start_ts", "last_ts", "end_ts"), smooth.select(*keys, "ts", "bpm", "date", "hr_max"), keys)
@@ -153,12 +209,10 @@ def detect_sessions(hr: DataFrame, workouts: DataFrame | None, hrmax: DataFrame,
     )
 
 
-def banister_daily(hr: DataFrame, hrmax: DataFrame, rest: DataFrame, timeline: DataFrame, cfg: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
-    """Exponential training impulse per local day over all samples; null where they are sparse. ``rest``: (date, hr_rest)."""
+def banister_daily(samples: DataFrame, rest: DataFrame, cfg: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
+    """Exponential training impulse per local day over all samples of :func:`dated_samples`; null where they are sparse. ``rest``: (date, hr_rest)."""
     s = cfg.strain
-    dated = local_offsets(hr.select(*keys, "ts", "bpm"), timeline, cfg.timezone, "ts", "_off", keys).withColumn("date", local_date(F.col("ts"), F.col("_off")))
-    step = F.coalesce(F.lead("ts").over(_by(keys).orderBy("ts")) - F.col("ts"), F.lit(60)).cast("double")
-    wide = dated.withColumn("_step", step).join(hrmax.select(*keys, "date", "hr_max"), [*keys, "date"], "left").join(rest, [*keys, "date"], "left")
+    wide = samples.withColumn("_step", F.col("_step").cast("double")).join(rest, [*keys, "date"], "left")
     minutes = F.least(F.col("_step"), F.lit(2.0 * s.banister_max_cadence_s)) / 60
     reserve = F.try_divide(F.col("bpm") - F.col("hr_rest"), F.col("hr_max") - F.col("hr_rest"))
     summed = wide.groupBy(*keys, "date").agg(F.expr("percentile(_step, 0.5)").alias("_c"), F.sum(impulse(minutes, reserve, cfg.person.sex, s.hrr_floor)).alias("_b"))

@@ -1,4 +1,4 @@
-"""Sleep: offsets, sources, episodes, nights, resting heart rate, the minute grid and regularity."""
+"""Sleep: offsets, sources, episodes, nights, resting heart rate, day maps and regularity."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import Config, Physiology, Sleep
 from ..functions.clock import clock_minute, local_date, near_eu_switch, zone_offset
-from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after, runs
+from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after, one_each, runs
 from .series import circular_sd
 
+HOURS = 24
+
 
 def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -127,7 +129,7 @@ def nightly_sleep(episodes: DataFrame, ep_segments: DataFrame, sessions: DataFra
     member = main.select(*keys, "episode", F.explode("members").alias("m")).select(*keys, "episode", "m.*")
     awake = F.coalesce(F.col("dev_awake_min"), F.lit(0.0))
     # an id holds one session, so a repeated row counts once
-    one = sessions.dropDuplicates([*keys, "source", "device_id", "start_ts"])
+    one = one_each(sessions.select(*keys, "source", "device_id", "start_ts", "end_ts", "dev_awake_min"), [*keys, "source", "device_id", "start_ts"])
     envelope = (
         member.join(one, [*keys, "source", "device_id", "start_ts"])
         .groupBy(*keys, "episode")
@@ -203,34 +205,50 @@ def nightly_rhr(nights: DataFrame, hr: DataFrame, worn: DataFrame, keys: Sequenc
     )
 
 
-def sleep_wake_grid(episodes: DataFrame, ep_segments: DataFrame, worn: DataFrame, timeline: DataFrame, zone: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Local minutes with a known state: (day, minute, asleep).
+def sleep_wake_maps(episodes: DataFrame, ep_segments: DataFrame, worn: DataFrame, timeline: DataFrame, zone: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Local days as maps of 1,440 bits: (day, known, asleep), each map 24 words of 60 minutes.
 
     Worn time is awake, an episode over it asleep, an awake segment over that awake. Ends are
-    converted with the offsets in force at each, starts to the minute they are in, ends up.
+    converted with the offsets in force at each, starts to the minute they are in, ends up. Intervals
+    are cut at midnight and painted hour by hour; words of one day unite by OR before and after the
+    shuffle, so no minute is ever a row.
     """
 
-    def marks(df: DataFrame, level: int, asleep: int) -> DataFrame:
+    def marks(df: DataFrame, level: int) -> DataFrame:
         ends = local_offsets(local_offsets(df.select(*keys, "start_ts", "end_ts"), timeline, zone, "start_ts", "_o1", keys), timeline, zone, "end_ts", "_o2", keys)
         first = F.floor((F.col("start_ts") + F.col("_o1") * 60) / 60)
         last = F.ceil((F.col("end_ts") + F.col("_o2") * 60) / 60) - 1
-        return ends.select(*keys, first.alias("_a"), last.alias("_b"), F.lit(level * 2 + asleep).alias("_mark")).where("_b >= _a")
+        return ends.select(*keys, first.alias("_a"), last.alias("_b"), F.lit(level).alias("_level")).where("_b >= _a")
 
-    every = marks(worn, 0, 0).unionByName(marks(episodes, 1, 1)).unionByName(marks(ep_segments.where("stage = 'awake'"), 2, 0))
-    minutes = every.select(*keys, F.explode(F.sequence("_a", "_b")).alias("_m"), "_mark").groupBy(*keys, "_m").agg(F.max("_mark").alias("_mark"))
-    return minutes.select(
-        *keys, F.date_from_unix_date(F.floor(F.col("_m") / 1440).cast("int")).alias("day"), F.pmod("_m", F.lit(1440)).cast("int").alias("minute"), (F.col("_mark") % 2).cast("int").alias("asleep")
-    )
+    every = marks(worn, 0).unionByName(marks(episodes, 1)).unionByName(marks(ep_segments.where("stage = 'awake'"), 2))
+    days = every.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / 1440), F.floor(F.col("_b") / 1440))))
+    inside = days.select(*keys, "_d", "_level", F.greatest(F.col("_a") - F.col("_d") * 1440, F.lit(0)).alias("_a"), F.least(F.col("_b") - F.col("_d") * 1440, F.lit(1439)).alias("_b"))
+    hours = range(HOURS)
+    lo, hi = "greatest(CAST(_a - {h} AS INT), 0)", "least(CAST(_b - {h} AS INT), 59)"
+    word = f"CASE WHEN {lo} <= {hi} THEN shiftleft(shiftleft(1L, {hi} - {lo} + 1) - 1, {lo}) ELSE 0L END AS _w"
+    painted = inside.selectExpr(*keys, "_d", "_level", *[word.format(h=60 * h) + str(h) for h in hours])
+    united = painted.groupBy(*keys, "_d").agg(*[F.expr(f"coalesce(bit_or(CASE WHEN _level = {level} THEN _w{h} END), 0L) AS _{level}_{h}") for level in range(3) for h in hours])
+    known, asleep = ", ".join(f"_0_{h} | _1_{h} | _2_{h}" for h in hours), ", ".join(f"_1_{h} & ~_2_{h}" for h in hours)
+    return united.selectExpr(*keys, "date_from_unix_date(CAST(_d AS INT)) AS day", f"array({known}) AS known", f"array({asleep}) AS asleep")
 
 
-def day_pairs(grid: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per day: minutes known on it and on the day before, and those in the same state."""
-    before = grid.select(*keys, F.date_add("day", 1).alias("day"), "minute", F.col("asleep").alias("_before"))
-    return (
-        grid.join(before, [*keys, "day", "minute"])
-        .groupBy(*keys, "day")
-        .agg(F.count(F.lit(1)).alias("known"), F.sum((F.col("asleep") == F.col("_before")).cast("long")).alias("agree"))
-    )
+def set_minutes(words: Column) -> Column:
+    """How many minutes of a day's map are set."""
+    return F.aggregate(F.transform(words, F.bit_count), F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def map_minutes(words: Column) -> Column:
+    """The minutes of the day that are set in a map, in order."""
+    return F.filter(F.sequence(F.lit(0), F.lit(1439)), lambda m: F.getbit(F.get(words, F.floor(m / 60).cast("int")), m % 60) == 1)
+
+
+def day_pairs(maps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per day: minutes known on it and on the day before, and those in the same state; from day maps."""
+    before = maps.select(*keys, F.date_add("day", 1).alias("day"), F.col("known").alias("_known"), F.col("asleep").alias("_asleep"))
+    both = F.zip_with("known", "_known", lambda x, y: x.bitwiseAND(y))
+    same = F.zip_with("_both", F.zip_with("asleep", "_asleep", lambda x, y: F.bitwise_not(x.bitwiseXOR(y))), lambda x, y: x.bitwiseAND(y))
+    joined = maps.join(before, [*keys, "day"]).withColumn("_both", both)
+    return joined.select(*keys, "day", set_minutes(F.col("_both")).alias("known"), set_minutes(same).alias("agree")).where("known > 0")
 
 
 def regularity(nights: DataFrame, pairs: DataFrame, keys: Sequence[str] = (), s: Sleep = Sleep()) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Baselines, Strain
 
+#: Days that an exponential average is scanned over at once.
+BLOCK_DAYS = 64
+
 
 def _by(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -71,16 +74,38 @@ def trailing_baseline(df: DataFrame, value: str, era: str, keys: Sequence[str],
     return out.withColumn(f"{prefix}_z", z).withColumn(f"{prefix}_flag", F.coalesce(F.col(f"{prefix}_z") * bad_direction >= b.flag_sd, F.lit(False)))
 
 
-def _ewma(load: str, days: int, keys: Sequence[str]) -> Column:
-    """On known days: the exponential average of the known values so far, from 0.
+def running_averages(df: DataFrame, load: str, rates: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Add exponential averages of the known values so far, from 0; a null leaves them as they were.
 
-    Values so far back that they weigh under 1e-20 stay out, which no double shows; so a row looks at
-    a bounded number of rows, however long the series.
+    A known value x takes an average a to (1 - r) a + r x. Such steps compose to steps of the same
+    form, so the series is cut into blocks of :data:`BLOCK_DAYS` calendar days: each block is scanned
+    by itself from 0, the blocks' own steps are composed in order, one per block, and what comes into
+    a block is added with the weight that is left of it. Null before the first known value.
     """
-    rate = 2.0 / (days + 1)
-    rows = math.ceil(46 / -math.log1p(-rate))
-    known = Window.partitionBy(*keys, F.col(load).isNull()).orderBy("date").rowsBetween(1 - rows, 0)
-    return F.when(F.col(load).isNotNull(), F.aggregate(F.collect_list(load).over(known), F.lit(0.0), lambda a, x: rate * x + (1 - rate) * a))
+    block = df.withColumn("_block", F.floor(F.unix_date("date") / BLOCK_DAYS))
+    inside = Window.partitionBy(*keys, "_block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    known = block.withColumn("_k", F.count(load).over(inside))
+    # from 0, values before a row weigh r (1 - r)**(steps since): a running sum of x / (1 - r)**k, scaled back
+    sums = {f"_s_{name}": F.coalesce(F.sum(F.lit(r) * F.col(load) * F.pow(F.lit(1 - r), -F.col("_k"))).over(inside), F.lit(0.0)) * F.pow(F.lit(1 - r), F.col("_k")) for name, r in rates.items()}
+    local = known.withColumns(sums)
+    ends = local.groupBy(*keys, "_block").agg(F.max("_k").alias("k"), *[F.max_by(f"_s_{n}", "date").alias(n) for n in rates])
+    cell = F.struct(F.col("_block").alias("block"), "k", *rates)
+    zero = F.struct(F.lit(0).cast("long").alias("seen"), *[F.lit(0.0).alias(n) for n in rates])
+    carried = F.struct(F.col("_block").alias("block"), F.lit(0).cast("long").alias("seen"), *[F.lit(0.0).alias(n) for n in rates])
+    kind = ends.select(F.array(carried).alias("c")).schema["c"].dataType.simpleString()
+
+    def step(done: Column, b: Column) -> Column:
+        new = F.struct((done["at"]["seen"] + b["k"]).alias("seen"), *[(F.pow(F.lit(1 - r), b["k"]) * done["at"][n] + b[n]).alias(n) for n, r in rates.items()])
+        into = F.struct(b["block"].alias("block"), done["at"]["seen"].alias("seen"), *[done["at"][n].alias(n) for n in rates])
+        return F.struct(new.alias("at"), F.concat(done["into"], F.array(into)).alias("into"))
+
+    folded = F.aggregate(F.sort_array(F.collect_list(cell)), F.struct(zero.alias("at"), F.array().cast(kind).alias("into")), step, lambda d: d["into"])
+    into = ends.groupBy(*keys).agg(folded.alias("_c")).select(*keys, F.explode("_c").alias("_c"))
+    into = into.select(*keys, F.col("_c.block").alias("_block"), F.col("_c.seen").alias("_seen"), *[F.col(f"_c.{n}").alias(f"_in_{n}") for n in rates])
+    joined = local.join(into, [*keys, "_block"])
+    return joined.withColumns(
+        {n: F.when(F.col("_seen") + F.col("_k") > 0, F.col(f"_s_{n}") + F.pow(F.lit(1 - r), F.col("_k")) * F.col(f"_in_{n}")) for n, r in rates.items()}
+    ).drop("_block", "_k", "_seen", *[f"_s_{n}" for n in rates], *[f"_in_{n}" for n in rates])
 
 
 def acute_chronic(df: DataFrame, keys: Sequence[str] = (), load: str = "load", s: Strain = Strain()) -> DataFrame:
@@ -94,18 +119,14 @@ def acute_chronic(df: DataFrame, keys: Sequence[str] = (), load: str = "load", s
     missing = lambda n: F.sum(F.col(load).isNull().cast("int")).over(last(n))
     started = F.min(F.when(F.col(load).isNotNull(), F.col("date"))).over(so_far)
     short, long = s.acwr_acute_days, s.acwr_chronic_days
-    wide = df.withColumns(
+    wide = running_averages(df, load, {"acute": 2.0 / (short + 1), "chronic": 2.0 / (long + 1)}, keys).withColumns(
         {
-            "_short": _ewma(load, short, keys),
-            "_long": _ewma(load, long, keys),
             "missing_7": missing(7).cast("long"),
             "missing_28": missing(28).cast("long"),
             "_age": F.datediff("date", started) + 1,
             "_rolling": F.try_divide(F.avg(load).over(last(7)), F.avg(load).over(last(28))),
         }
     )
-    # an unknown day leaves the averages as they were
-    wide = wide.withColumns({"acute": F.last("_short", ignorenulls=True).over(so_far), "chronic": F.last("_long", ignorenulls=True).over(so_far)}).drop("_short", "_long")
     young = F.coalesce(F.col("_age") < long, F.lit(True))
     holes = (F.col("missing_7") > s.acwr_max_missing_7) | (F.col("missing_28") > s.acwr_max_missing_28)
     small = F.col("chronic") < s.acwr_min_chronic

@@ -360,8 +360,7 @@ h3 AS (
 )"""
 
 
-_LAST = "(SELECT * FROM wk QUALIFY row_number() OVER (PARTITION BY person, device_id ORDER BY start_ts DESC, end_ts DESC) = 1)"
-_MASK = f"NOT EXISTS (SELECT 1 FROM {_LAST} l WHERE l.person = h3.person AND h3.ts >= l.start_ts - 300 AND h3.ts < l.end_ts + 300)"
+_MASK = "NOT EXISTS (SELECT 1 FROM (@B(bunched_workouts)) l WHERE l.person = h3.person AND h3.ts >= l.start_ts - 300 AND h3.ts < l.end_ts + 300)"
 SQL["detect_sessions"] = _LOADS + "," + _detect(_MASK) + f" SELECT * REPLACE ({_round(*_LOAD_DOUBLES)}) FROM detected"
 SQL["detector_recall"] = (
     _LOADS

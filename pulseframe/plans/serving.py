@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,28 +25,34 @@ def _checked(days: int, limits: tuple[int, int]) -> None:
         raise ValueError(f"days must be between {limits[0]} and {limits[1]}, not {days}")
 
 
-def date_range(long: DataFrame) -> DataFrame:
+def until(df: DataFrame, as_of: str | None) -> DataFrame:
+    """Rows up to a date, as they would have been shown on it; all without one."""
+    if as_of is None:
+        return df
+    datetime.date.fromisoformat(as_of)
+    return df.where(F.col("date").cast("string") <= as_of)
+
+
+def date_range(long: DataFrame, keys: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
     """First and last date, and the one to show: the last with a recovery score, else the last."""
     scored = F.max(F.when((F.col("metric") == "recovery.score") & (F.col("status") == "ok"), F.col("date")))
-    return long.agg(F.min("date").alias("first"), F.max("date").alias("last"), F.coalesce(scored, F.max("date")).alias("shown"))
+    return until(long, as_of).groupBy(*keys).agg(F.min("date").alias("first"), F.max("date").alias("last"), F.coalesce(scored, F.max("date")).alias("shown"))
 
 
-def day(long: DataFrame, date: str) -> DataFrame:
+def day(long: DataFrame, date: str, keys: Sequence[str] = ()) -> DataFrame:
     """All metrics of one date."""
-    import datetime
-
     datetime.date.fromisoformat(date)
-    return long.where(F.col("date") == date).select("metric", "value", "status", "reason")
+    return long.where(F.col("date") == date).select(*keys, "metric", "value", "status", "reason")
 
 
-def series(long: DataFrame, end: str, days: int, metrics: Sequence[str] = SERIES) -> DataFrame:
+def series(long: DataFrame, end: str, days: int, metrics: Sequence[str] = SERIES, keys: Sequence[str] = ()) -> DataFrame:
     """Every metric on every date of the window; missing ones are null."""
     _checked(days, SERIES_DAYS)
-    spark = long.sparkSession
-    dates = spark.range(days).select(F.date_sub(F.lit(end).cast("date"), F.col("id").cast("int")).cast("string").alias("date"))
-    grid = dates.select("date", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
+    whose = long.select(*keys).distinct() if keys else long.sparkSession.range(1)
+    dates = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_sub(F.lit(end).cast("date"), i).cast("string"))
+    grid = whose.select(*keys, F.explode(dates).alias("date")).select(*keys, "date", F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric"))
     own = long.where(F.col("metric").isin(*metrics) & (F.col("date") <= end) & (F.col("date") > F.date_sub(F.lit(end).cast("date"), days).cast("string")))
-    return grid.join(own.select("date", "metric", "value", "status"), ["date", "metric"], "left")
+    return grid.join(own.select(*keys, "date", "metric", "value", "status"), [*keys, "date", "metric"], "left")
 
 
 def _between(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -72,11 +79,11 @@ def by_sport(workouts: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def daily_totals(long: DataFrame, start: str, end: str, metrics: Sequence[str] = ("activity.steps", "strain.load")) -> DataFrame:
+def daily_totals(long: DataFrame, start: str, end: str, metrics: Sequence[str] = ("activity.steps", "strain.load"), keys: Sequence[str] = ()) -> DataFrame:
     """Per metric: known days, total, mean per known day and week, and the best day (the earliest of equals)."""
     ok = _between(long, start, end).where((F.col("status") == "ok") & F.col("metric").isin(*metrics))
     best = F.max_by("date", F.struct(F.col("value"), -F.unix_date(F.col("date").cast("date"))))
-    return ok.groupBy("metric").agg(
+    return ok.groupBy(*keys, "metric").agg(
         F.count(F.lit(1)).alias("known_days"), F.sum("value").alias("total"), (F.sum("value") / F.count(F.lit(1))).alias("per_day"),
         (F.sum("value") / F.count(F.lit(1)) * 7).alias("per_week"), F.max("value").alias("max"), best.alias("max_date"),
     )
@@ -101,23 +108,27 @@ def latest_sessions(workouts: DataFrame, start: str, end: str, limit: int = SESS
     return _between(workouts, start, end).orderBy(F.desc("start_ts"), "sport", "end_ts").limit(limit)
 
 
-def gap_notes(long: DataFrame, metric: str) -> DataFrame:
+def gap_notes(long: DataFrame, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     """How many days lack a metric, by reason."""
-    return long.where((F.col("metric") == metric) & (F.col("status") != "ok")).groupBy("reason").agg(F.count(F.lit(1)).alias("days"))
+    return long.where((F.col("metric") == metric) & (F.col("status") != "ok")).groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("days"))
 
 
-def wide(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def wide(long: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """One row per date: value, status and reason of each metric. The list of metrics is given, so no pass is needed to find them."""
     cells = {}
     for m in metrics:
         name = m.replace(".", "_")
         for part in ("value", "status", "reason"):
             cells[f"{name}_{part}"] = F.max(F.when(F.col("metric") == m, F.col(part)))
-    return long.where(F.col("metric").isin(*metrics)).groupBy("date").agg(*[v.alias(k) for k, v in cells.items()])
+    return long.where(F.col("metric").isin(*metrics)).groupBy(*keys, "date").agg(*[v.alias(k) for k, v in cells.items()])
 
 
-def last_days(df: DataFrame, n: int) -> DataFrame:
-    return df.orderBy(F.desc("date")).limit(n)
+def last_days(df: DataFrame, n: int, keys: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
+    """The latest dates, up to a date if one is given."""
+    own = until(df, as_of)
+    if not keys:
+        return own.orderBy(F.desc("date")).limit(n)
+    return own.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))).where(F.col("_n") <= n).drop("_n")
 
 
 def baseline_band(value: Column, center: Column, spread: Column, flag: Column, status: Column) -> list[Column]:
@@ -125,18 +136,18 @@ def baseline_band(value: Column, center: Column, spread: Column, flag: Column, s
     return [(center - spread).alias("low"), (center + spread).alias("high"), F.when(flag & (status == "ok"), value).alias("marker")]
 
 
-def table_view(long: DataFrame, metrics: Sequence[str]) -> DataFrame:
+def table_view(long: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Per date the metrics' values, blank where not ok, and the distinct reasons for blanks."""
     values = [F.max(F.when((F.col("metric") == m) & (F.col("status") == "ok"), F.col("value"))).alias(m.replace(".", "_")) for m in metrics]
     why = F.array_join(F.sort_array(F.collect_set(F.when(F.col("status") != "ok", F.col("reason")))), "; ").alias("reasons")
-    return long.where(F.col("metric").isin(*metrics)).groupBy("date").agg(*values, why)
+    return long.where(F.col("metric").isin(*metrics)).groupBy(*keys, "date").agg(*values, why)
 
 
-def trailing_week(long: DataFrame, metric: str) -> DataFrame:
+def trailing_week(long: DataFrame, metric: str, keys: Sequence[str] = ()) -> DataFrame:
     """A metric with the mean of its last seven rows, where four or more are known."""
-    w = Window.partitionBy("metric").orderBy("date").rowsBetween(-6, 0)
+    w = Window.partitionBy(*keys, "metric").orderBy("date").rowsBetween(-6, 0)
     own = long.where(F.col("metric") == metric)
-    return own.select("date", "value", F.when(F.count("value").over(w) >= 4, F.avg("value").over(w)).alias("mean7"))
+    return own.select(*keys, "date", "value", F.when(F.count("value").over(w) >= 4, F.avg("value").over(w)).alias("mean7"))
 
 
 def durations(workouts: DataFrame) -> DataFrame:

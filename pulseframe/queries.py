@@ -126,7 +126,7 @@ def offset_timeline(spark, d):
 
 def _dated(spark, d):
     s = bind(spark, d, "sessions").withColumn("wake_date", clock.local_date(F.col("end_ts"), F.coalesce("tz_offset_min", F.lit(60))))
-    return s.dropDuplicates(["person", "source", "device_id", "start_ts"])
+    return I.one_each(s, ["person", "source", "device_id", "start_ts"])
 
 
 @query
@@ -142,7 +142,7 @@ def drop_overlaps(spark, d):
 
 
 def _episodes(spark, d):
-    sessions = stored(bind(spark, d, "sessions").dropDuplicates(["person", "source", "device_id", "start_ts"]), "sessions")
+    sessions = stored(I.one_each(bind(spark, d, "sessions"), ["person", "source", "device_id", "start_ts"]), "sessions")
     timeline = stored(N.offset_timeline(sessions, None, P), "timeline")
     return sessions, timeline, stored(N.build_episodes(sessions, timeline, CFG, P), "episodes")
 
@@ -175,12 +175,14 @@ def nightly_rhr(spark, d):
 def _grid(spark, d):
     timeline, ep, seg, nights = _nights(spark, d)
     worn = ep.select("person", (F.col("start_ts") - 7200).alias("start_ts"), (F.col("end_ts") + 36_000).alias("end_ts"))
-    return nights, stored(N.sleep_wake_grid(ep, seg, worn, timeline, CFG.timezone, P), "grid")
+    return nights, stored(N.sleep_wake_maps(ep, seg, worn, timeline, CFG.timezone, P), "maps")
 
 
 @query
 def sleep_wake_grid(spark, d):
-    return _grid(spark, d)[1].groupBy("person", "day").agg(F.count(F.lit(1)).alias("known"), F.sum("asleep").alias("asleep"), F.sum(F.col("minute") * F.col("asleep")).alias("weighted"))
+    weighted = F.aggregate(N.map_minutes(F.col("asleep")), F.lit(0).cast("long"), lambda n, m: n + m)
+    counted = _grid(spark, d)[1].withColumn("weighted", weighted)
+    return counted.withColumns({c: N.set_minutes(F.col(c)) for c in ("known", "asleep")})
 
 
 @query
@@ -215,16 +217,21 @@ def hrmax_by_date(spark, d):
     return rounded(_hrmax(spark, d)[2])
 
 
-def _loads(spark, d):
+def _samples(spark, d):
+    """Workouts, dense samples, maximal rates, the offset timeline and the numbers that load asks of samples."""
     w, days, hrmax = _hrmax(spark, d)
     hr = stored(bind(spark, d, "dense_hr"), "hr")
-    timeline = stored(N.offset_timeline(w, None, P), "timeline")
-    return w, hr, stored(hrmax, "hrmax"), timeline, stored(L.workout_loads(w, hr, hrmax, timeline, CFG, P), "loads")
+    return w, hr, stored(hrmax, "hrmax"), stored(N.offset_timeline(w, None, P), "timeline")
+
+
+def _loads(spark, d):
+    w, hr, hrmax, timeline = _samples(spark, d)
+    return L.workout_loads(w, hr, hrmax, timeline, CFG, P)
 
 
 @query
 def workout_loads(spark, d):
-    return rounded(_loads(spark, d)[4])
+    return rounded(_loads(spark, d))
 
 
 @query
@@ -233,29 +240,26 @@ def sustained_peaks(spark, d):
 
 
 def _detected(spark, d, masked=True):
-    w, hr, hrmax, timeline, loads = _loads(spark, d)
+    w, hr, hrmax, timeline = _samples(spark, d)
     wide = hrmax.withColumn("date", F.explode(F.array(F.col("date"), F.date_add("date", 1)))).groupBy("person", "date").agg(F.max("hr_max").alias("hr_max"))
-    # recorded workouts leave nothing unrecorded here, so each device's last one stands for what was recorded
-    last = w.groupBy("person", "device_id").agg(F.max(F.struct("start_ts", "end_ts")).alias("w")).select("person", "w.*")
-    return loads, stored(L.detect_sessions(hr, last if masked else None, wide, timeline, CFG, P), "detected")
+    return L.detect_sessions(L.dated_samples(hr, wide, timeline, CFG, P), bind(spark, d, "bunched_workouts") if masked else None, CFG, P)
 
 
 @query
 def detect_sessions(spark, d):
-    return rounded(_detected(spark, d)[1])
+    return rounded(_detected(spark, d))
 
 
 @query
 def detector_recall(spark, d):
-    loads, found = _detected(spark, d, masked=False)
-    return L.detector_recall(loads, found, P)
+    return L.detector_recall(_loads(spark, d), _detected(spark, d, masked=False), P)
 
 
 @query
 def banister_daily(spark, d):
-    w, hr, hrmax, timeline, _ = _loads(spark, d)
+    w, hr, hrmax, timeline = _samples(spark, d)
     rest = hrmax.select("person", "date", F.lit(65.0).alias("hr_rest"))
-    return rounded(L.banister_daily(hr, hrmax, rest, timeline, CFG, P))
+    return rounded(L.banister_daily(L.dated_samples(hr, hrmax, timeline, CFG, P), rest, CFG, P))
 
 
 @query

@@ -8,25 +8,25 @@ _SERIES = (
     "rhr.base28", "rhr.spread28", "tst.base28", "tst.spread28",
 )
 _IN = ", ".join(f"'{m}'" for m in _METRICS)
-_WIDE = f"SELECT date, {', '.join(f'max({p}) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m.replace(chr(46), chr(95))}_{p}' for m in _METRICS for p in ('value', 'status', 'reason'))} FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY date"
+_WIDE = f"SELECT person, date, {', '.join(f'max({p}) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m.replace(chr(46), chr(95))}_{p}' for m in _METRICS for p in ('value', 'status', 'reason'))} FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY person, date"
 _PERIOD = "FROM (@B(workout_metrics)) WHERE date BETWEEN '2024-01-05' AND '2024-01-20'"
 
 DATES: dict[str, list[str]] = {"night_table": ["date"], "missing_nights": ["date"], "covered_minutes": ["date"], "baseline_band": ["date"]}
 SQL: dict[str, str] = {
-    "serve_range": """SELECT min(date) AS first, max(date) AS last, coalesce(max(date) FILTER (metric = 'recovery.score' AND status = 'ok'), max(date)) AS shown FROM (@B(long))""",
-    "serve_day": "SELECT metric, value, status, reason FROM (@B(long)) WHERE date = '2024-01-15'",
+    "serve_range": """SELECT person, min(date) AS first, max(date) AS last, coalesce(max(date) FILTER (metric = 'recovery.score' AND status = 'ok'), max(date)) AS shown FROM (@B(long)) WHERE date <= '2024-01-28' GROUP BY person""",
+    "serve_day": "SELECT person, metric, value, status, reason FROM (@B(long)) WHERE date = '2024-01-15'",
     "serve_series": f"""
 WITH m AS (SELECT unnest([{", ".join(f"'{m}'" for m in _SERIES)}]) AS metric), d AS (SELECT (DATE '2024-02-03' - i::INTEGER)::VARCHAR AS date FROM range(28) r(i))
-SELECT date, metric, value, status FROM d CROSS JOIN m LEFT JOIN (@B(long)) USING (date, metric)""",
+SELECT person, date, metric, value, status FROM (SELECT DISTINCT person FROM (@B(long))) CROSS JOIN d CROSS JOIN m LEFT JOIN (@B(long)) USING (person, date, metric)""",
     "workout_totals": f"""
 SELECT count(*) AS sessions, count(*) FILTER (method <> 'detected') AS recorded, count(*) FILTER (method = 'detected') AS detected, count(*) FILTER (load IS NULL) AS unknown_load,
        round(coalesce(sum(duration_min), 0) / 60, 6) AS hours, round(sum(avg_hr * duration_min) / nullif(sum(duration_min) FILTER (avg_hr IS NOT NULL), 0), 6) AS avg_hr, max(peak_hr) AS peak_hr,
        {", ".join(f"coalesce(sum(z{i}_min), 0) AS z{i}_min" for i in range(1, 6))} {_PERIOD}""",
     "by_sport": f"SELECT sport, count(*) AS n, round(sum(duration_min) / 60, 6) AS hours, round(sum(load), 6) AS load {_PERIOD} GROUP BY sport",
     "daily_totals": """
-SELECT metric, count(*) AS known_days, round(sum(value), 6) AS total, round(sum(value) / count(*), 6) AS per_day, round(sum(value) / count(*) * 7, 6) AS per_week, max(value) AS max,
+SELECT person, metric, count(*) AS known_days, round(sum(value), 6) AS total, round(sum(value) / count(*), 6) AS per_day, round(sum(value) / count(*) * 7, 6) AS per_week, max(value) AS max,
        (array_agg(date ORDER BY value DESC, date))[1] AS max_date
-FROM (@B(long)) WHERE status = 'ok' AND metric IN ('activity.steps', 'strain.load') AND date BETWEEN '2024-01-05' AND '2024-01-28' GROUP BY metric""",
+FROM (@B(long)) WHERE status = 'ok' AND metric IN ('activity.steps', 'strain.load') AND date BETWEEN '2024-01-05' AND '2024-01-28' GROUP BY person, metric""",
     "period_change": """
 WITH w AS (SELECT *, date > '2024-01-18' AS cur FROM (@B(workout_metrics)) WHERE date > '2024-01-11' AND date <= '2024-01-25'),
 s AS (SELECT count(*) FILTER (cur)::DOUBLE AS a, count(*) FILTER (NOT cur)::DOUBLE AS b, coalesce(sum(duration_min) FILTER (cur), 0) AS c, coalesce(sum(duration_min) FILTER (NOT cur), 0) AS d,
@@ -34,15 +34,15 @@ s AS (SELECT count(*) FILTER (cur)::DOUBLE AS a, count(*) FILTER (NOT cur)::DOUB
 SELECT a AS sessions, b AS sessions_before, a - b AS sessions_change, c AS minutes, d AS minutes_before, c - d AS minutes_change, e AS load, f AS load_before, e - f AS load_change FROM s""",
     "latest_sessions": """
 SELECT start_ts, sport, end_ts, method, load FROM (@B(workout_metrics)) WHERE date BETWEEN '2024-01-01' AND '2024-01-28' ORDER BY start_ts DESC, sport, end_ts LIMIT 500""",
-    "gap_notes": "SELECT reason, count(*) AS days FROM (@B(long)) WHERE metric = 'activity.steps' AND status <> 'ok' GROUP BY reason",
+    "gap_notes": "SELECT person, reason, count(*) AS days FROM (@B(long)) WHERE metric = 'activity.steps' AND status <> 'ok' GROUP BY person, reason",
     "pivot_wide": _WIDE,
-    "last_days": f"SELECT * FROM ({_WIDE}) ORDER BY date DESC LIMIT 8",
+    "last_days": f"SELECT * FROM ({_WIDE}) WHERE date <= '2024-01-25' QUALIFY row_number() OVER (PARTITION BY person ORDER BY date DESC) <= 8",
     "table_view": f"""
-SELECT date, {", ".join(f"max(value) FILTER (metric = '{m}' AND status = 'ok') AS {m.replace('.', '_')}" for m in _METRICS)},
-       coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason) FILTER (status <> 'ok'), '') AS reasons FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY date""",
+SELECT person, date, {", ".join(f"max(value) FILTER (metric = '{m}' AND status = 'ok') AS {m.replace('.', '_')}" for m in _METRICS)},
+       coalesce(string_agg(DISTINCT reason, '; ' ORDER BY reason) FILTER (status <> 'ok'), '') AS reasons FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY person, date""",
     "trailing_week": """
-SELECT date, value, CASE WHEN count(value) OVER w >= 4 THEN round(avg(value) OVER w, 6) END AS mean7 FROM (@B(long)) WHERE metric = 'strain.load'
-WINDOW w AS (ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+SELECT person, date, value, CASE WHEN count(value) OVER w >= 4 THEN round(avg(value) OVER w, 6) END AS mean7 FROM (@B(long)) WHERE metric = 'strain.load'
+WINDOW w AS (PARTITION BY person ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
     "durations": """
 SELECT start_ts, sport, (duration_min::INTEGER // 60)::VARCHAR || 'h' || lpad((duration_min::INTEGER % 60)::VARCHAR, 2, '0') AS duration FROM (@B(workout_metrics))""",
     "column_profile": " UNION ALL ".join(

@@ -10,7 +10,7 @@ from .operators import series as S
 from .plans import json_values as J
 from .plans import profiling as PR
 from .plans import serving as SV
-from .queries import query, rounded, table
+from .queries import P, query, rounded, table
 from .sources import exports as X
 
 METRICS = ("activity.steps", "strain.load", "recovery.score", "rhr.z", "sleep.sri_7d")
@@ -18,17 +18,17 @@ METRICS = ("activity.steps", "strain.load", "recovery.score", "rhr.z", "sleep.sr
 
 @query
 def serve_range(spark, d):
-    return SV.date_range(bind(spark, d, "long"))
+    return SV.date_range(bind(spark, d, "long"), P, "2024-01-28")
 
 
 @query
 def serve_day(spark, d):
-    return SV.day(bind(spark, d, "long"), "2024-01-15")
+    return SV.day(bind(spark, d, "long"), "2024-01-15", P)
 
 
 @query
 def serve_series(spark, d):
-    return SV.series(bind(spark, d, "long"), "2024-02-03", 28)
+    return SV.series(bind(spark, d, "long"), "2024-02-03", 28, keys=P)
 
 
 @query
@@ -43,7 +43,7 @@ def by_sport(spark, d):
 
 @query
 def daily_totals(spark, d):
-    return rounded(SV.daily_totals(bind(spark, d, "long"), "2024-01-05", "2024-01-28"))
+    return rounded(SV.daily_totals(bind(spark, d, "long"), "2024-01-05", "2024-01-28", keys=P))
 
 
 @query
@@ -58,27 +58,27 @@ def latest_sessions(spark, d):
 
 @query
 def gap_notes(spark, d):
-    return SV.gap_notes(bind(spark, d, "long"), "activity.steps")
+    return SV.gap_notes(bind(spark, d, "long"), "activity.steps", P)
 
 
 @query
 def pivot_wide(spark, d):
-    return SV.wide(bind(spark, d, "long"), METRICS)
+    return SV.wide(bind(spark, d, "long"), METRICS, P)
 
 
 @query
 def last_days(spark, d):
-    return SV.last_days(SV.wide(bind(spark, d, "long"), METRICS), 8)
+    return SV.last_days(SV.wide(bind(spark, d, "long"), METRICS, P), 8, P, "2024-01-25")
 
 
 @query
 def table_view(spark, d):
-    return SV.table_view(bind(spark, d, "long"), METRICS)
+    return SV.table_view(bind(spark, d, "long"), METRICS, P)
 
 
 @query
 def trailing_week(spark, d):
-    return rounded(SV.trailing_week(bind(spark, d, "long"), "strain.load"))
+    return rounded(SV.trailing_week(bind(spark, d, "long"), "strain.load", P))
 
 
 @query

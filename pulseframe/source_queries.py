@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import schema
 from .bindings import bind
 from .functions import clock
+from .operators.intervals import one_each
 from .plans.daily import compute_daily, to_long
 from .queries import CFG, P, query, rounded, table
 from .sources import exports as X
@@ -103,7 +104,7 @@ def local_iso(spark, d):
 def _plan(spark, d):
     """All tables of five persons through the daily plan."""
     sessions, segments = (bind(spark, d, t).withColumn("person", F.col("person") % 5) for t in ("sessions", "segments"))
-    tables = {"hr_samples": bind(spark, d, "hr"), "step_samples": bind(spark, d, "steps"), "sleep_sessions": sessions.dropDuplicates(["person", "source", "device_id", "start_ts"])}
+    tables = {"hr_samples": bind(spark, d, "hr"), "step_samples": bind(spark, d, "steps"), "sleep_sessions": one_each(sessions, ["person", "source", "device_id", "start_ts"])}
     tables |= {"sleep_segments": segments.distinct(), "workouts": bind(spark, d, "workouts")}
     return compute_daily(tables, CFG, P)
 

@@ -10,6 +10,8 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from . import schema
 from .operators.intervals import anti_overlap
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one for a single-machine session without it."""
@@ -72,6 +76,12 @@ def finished(make: Callable[[], DataFrame], label: str) -> DataFrame:
     return written
 
 
+def together(*steps: Callable[[], T]) -> list[T]:
+    """Run steps that do not need each other at the same time, so that their jobs fill the cluster; the first error is raised once all ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """New rows win over old ones with the same key; of repeated new rows the one that is last by its other columns."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
