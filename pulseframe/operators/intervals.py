@@ -66,10 +66,20 @@ def contained(inner: DataFrame, outer: DataFrame, keys: Sequence[str]) -> DataFr
     return i.join(days, [*keys, "_day"]).where("start_ts >= outer_start_ts AND end_ts <= outer_end_ts").drop("_day")
 
 
+def _beside_span(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Old intervals with ``_hit``: whether they overlap the span of the new ones with equal keys."""
+    span = new.groupBy(*keys).agg(F.min("start_ts").alias("_lo"), F.max("end_ts").alias("_hi"))
+    return old.join(span, list(keys), "left").withColumn("_hit", F.coalesce(F.expr("start_ts < _hi AND end_ts > _lo"), F.lit(False))).drop("_lo", "_hi")
+
+
 def anti_overlap(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
     """Old intervals that do not overlap the span of the new ones with equal keys."""
-    span = new.groupBy(*keys).agg(F.min("start_ts").alias("_lo"), F.max("end_ts").alias("_hi"))
-    return old.join(span, list(keys), "left").where("_lo IS NULL OR NOT (start_ts < _hi AND end_ts > _lo)").drop("_lo", "_hi")
+    return _beside_span(old, new, keys).where("NOT _hit").drop("_hit")
+
+
+def overlapping(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source",)) -> DataFrame:
+    """Old intervals that do."""
+    return _beside_span(old, new, keys).where("_hit").drop("_hit")
 
 
 def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "ts", tolerance_s: int = 36 * 3600) -> DataFrame:

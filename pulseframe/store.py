@@ -1,8 +1,4 @@
-"""Tables on disk: versions with an atomic switch, upserts, replacement by window, the ingest log.
-
-A table is a folder of versions; a marker per version, written last, makes it the current one. A
-reader sees either the old or the new version, and a failed write leaves the old one in place.
-"""
+"""Intermediate tables, and stored ones: partitions by month, upserts, replacement by window, the ingest log."""
 
 from __future__ import annotations
 
@@ -13,11 +9,11 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schema
-from .operators.intervals import anti_overlap
+from .operators.intervals import anti_overlap, overlapping
 
 T = TypeVar("T")
 
@@ -96,8 +92,20 @@ def replace_window(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("sourc
     return anti_overlap(old, new, keys).unionByName(new)
 
 
+def month_of(columns: Sequence[str]) -> Column:
+    """The UTC month that a row belongs to, as ``yyyy-MM``; one for all rows where a table has no time."""
+    for c, per_second in (("ts", 1), ("start_ts", 1), ("ts_ms", 1000)):
+        if c in columns:
+            return F.date_format(F.date_from_unix_date(F.floor(F.col(c) / (86_400 * per_second)).cast("int")), "yyyy-MM")
+    return F.substring("date", 1, 7) if "date" in columns else F.lit("all")
+
+
 class Store:
-    """Canonical and result tables under one folder, which any Hadoop file system may hold."""
+    """Canonical and result tables under one folder, which any Hadoop file system may hold.
+
+    A table is a Parquet folder with a partition per month. What a batch changes is merged month by month:
+    only months that it reaches are read and overwritten, by Spark's dynamic partition overwrite.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -105,34 +113,70 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, table: str) -> list[int]:
-        marks = self._path(f"{self.folder}/{table}/current")
-        if not self._fs.exists(marks):
-            return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(marks))
+    def _rows(self, table: str) -> DataFrame | None:
+        """The table with its column ``_month``; None before anything was written."""
+        where = f"{self.folder}/{table}"
+        if not self._fs.exists(self._path(where)):
+            return None
+        known = schema.TABLES.get(table)
+        reader = self.spark.read
+        return (reader.schema(f"{known.ddl}, _month string") if known else reader).parquet(where)
 
     def read(self, table: str, where: str | None = None) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
+        df = self._rows(table)
+        if df is None:
             if table not in schema.TABLES:
                 raise ValueError(f"no table {table}")
             return schema.empty(self.spark, table)
-        df = self.spark.read.parquet(f"{self.folder}/{table}/v{versions[-1]}")
-        return df.where(where) if where else df
+        return (df.where(where) if where else df).drop("_month")
+
+    def _overwrite(self, table: str, merged: DataFrame, months: Sequence[str]) -> None:
+        """Put ``merged`` in the place of these months' rows; months left without rows go."""
+        target = f"{self.folder}/{table}"
+        held = {r["_month"] for r in merged.select("_month").distinct().collect()}  # a row per month
+        if held:
+            merged.hint("rebalance", "_month").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("_month").parquet(target)
+        for month in set(months) - held:
+            remove_folder(self.spark, f"{target}/_month={month}")
 
     def replace(self, table: str, df: DataFrame) -> None:
-        """Write a new version, then make it current."""
-        version = (self._versions(table) or [0])[-1] + 1
-        schema.without_nan(df).write.mode("overwrite").parquet(f"{self.folder}/{table}/v{version}")
-        self._fs.create(self._path(f"{self.folder}/{table}/current/{version}")).close()
+        """These rows, and no others, are the table's from now on."""
+        old = self._rows(table)
+        months = [] if old is None else [r["_month"] for r in old.select("_month").distinct().collect()]
+        new = stored(schema.without_nan(df).withColumn("_month", month_of(df.columns)), f"replace-{table}")
+        self._overwrite(table, new, months)
+        discard(new)
+
+    def _merged(self, table: str, new: DataFrame) -> tuple[DataFrame, list[str]]:
+        """The rows of all months that new ones reach, after the merge, and these months."""
+        t, old = schema.TABLES[table], self._rows(table)
+        dated = new.withColumn("_month", month_of(t.columns))
+        reached = dated.select("_month")
+        if old is not None and t.strategy != "point":
+            # an old interval may have begun in a month before those of the new ones
+            reached = reached.unionByName(overlapping(old, new, ["source"]).select("_month"))
+        months = sorted(r["_month"] for r in reached.distinct().collect())
+        if old is None:
+            return stored(upsert(schema.empty(self.spark, table), new, t.key).withColumn("_month", month_of(t.columns)) if t.strategy == "point" else dated, f"merged-{table}"), months
+        there = old.where(F.col("_month").isin(months)).drop("_month")
+        merged = upsert(there, new, t.key) if t.strategy == "point" else replace_window(there, new)
+        return stored(merged.withColumn("_month", month_of(t.columns)), f"merged-{table}"), months
+
+    def merge(self, table: str, new: DataFrame) -> None:
+        """Merge canonical rows into a table."""
+        given = stored(schema.conform(new, table), f"batch-{table}")
+        merged, months = self._merged(table, given)
+        self._overwrite(table, merged, months)
+        discard(given, merged)
 
     def ingest(self, batch: Mapping[str, DataFrame], source: str, file_hash: str | None = None, notes: str = "") -> dict[str, int]:
         """Validate a batch, merge it into the tables, and log it. Returns rows per table.
 
-        All new versions are written before any of them becomes current.
+        All merged months are worked out before any of them is put in place. Ingesting a batch again
+        changes nothing.
         """
         schema.validate(batch, source)
-        made, log, versions = {}, [], {}
+        made, log, ready = {}, [], {}
         ident = uuid.uuid4().hex
         for table, new in batch.items():
             t = schema.TABLES[table]
@@ -142,12 +186,11 @@ class Store:
             made[table] = counted["n"]
             log.append((ident, source, file_hash, table, counted["n"], counted["a"], counted["b"], notes))
             if counted["n"]:
-                old = self.read(table)
-                merged = upsert(old, new, t.key) if t.strategy == "point" else replace_window(old, new)
-                versions[table] = (self._versions(table) or [0])[-1] + 1
-                merged.write.mode("overwrite").parquet(f"{self.folder}/{table}/v{versions[table]}")
-        for table, version in versions.items():
-            self._fs.create(self._path(f"{self.folder}/{table}/current/{version}")).close()
+                ready[table] = self._merged(table, new)
+            discard(new)
+        for table, (merged, months) in ready.items():
+            self._overwrite(table, merged, months)
+            discard(merged)
         columns = "batch_id string, source string, file_sha256 string, tbl string, rows long, min_ts long, max_ts long, notes string"
         entries = self.spark.createDataFrame(log, columns).withColumn("ingested_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
         entries.write.mode("append").parquet(f"{self.folder}/ingest_log")

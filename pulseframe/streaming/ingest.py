@@ -1,7 +1,8 @@
 """Continuous ingestion and sessions over streams: extensions of the batch operators.
 
 Samples arrive as a stream; late ones are taken until the watermark has passed. Upserts go through
-``foreachBatch``, so that each micro-batch is one atomic new version of the table.
+``foreachBatch``: a micro-batch is merged into the months that it reaches, and merging it again after a
+failure changes nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
 from ..operators.wear import VALID_BPM
-from ..store import Store, upsert
+from ..store import Store
 
 
 def valid_samples(stream: DataFrame) -> DataFrame:
@@ -35,9 +36,10 @@ def minute_means(stream: DataFrame, keys: tuple[str, ...] = ("device_id",), late
 
 def ingest_points(stream: DataFrame, store: Store, table: str, checkpoint: str) -> StreamingQuery:
     """Upsert a stream of canonical point rows into a table; runs until what is there has been read."""
-    key = schema.TABLES[table].key
+    if schema.TABLES[table].strategy != "point":
+        raise ValueError(f"{table} has no points")
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.replace(table, upsert(store.read(table), schema.conform(batch, table), key))
+        store.merge(table, batch)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,9 +12,9 @@ FOLDER = str(DATA / "sf0.01")
 
 def test_long_covers_all_events(spark):
     e = spark.read.parquet(f"{FOLDER}/events.parquet")
-    days = e.groupBy(F.to_date("ts").cast("string").alias("date"), "event_type").agg(F.sum(F.floor("value")).alias("s"))
-    want = [(r["date"], float(r["s"]) if r["s"] % 7 else None) for r in days.collect()]
-    got = sorted(((r["date"], r["value"]) for r in bind(spark, FOLDER, "long").collect()), key=str)
+    days = e.groupBy("user_id", F.to_date("ts").cast("string").alias("date"), "event_type").agg(F.sum(F.floor("value")).alias("s"))
+    want = [(r["user_id"], r["date"], float(r["s"]) if r["s"] % 7 else None) for r in days.collect()]
+    got = sorted(((r["person"], r["date"], r["value"]) for r in bind(spark, FOLDER, "long").collect()), key=str)
     assert got == sorted(want, key=str)
 
 

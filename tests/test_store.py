@@ -36,6 +36,59 @@ def test_ingest_is_idempotent(spark, batch, tmp_path):
     assert store.read("sleep_segments").where("stage = 'rem'").count() == 0 and store.read("rr_intervals").count() == 0
 
 
+def files(folder, table):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in (folder / table).rglob("*.parquet")}
+
+
+def by_month(found, month):
+    return {k: v for k, v in found.items() if f"_month={month}/" in k}
+
+
+def test_points_touch_their_months_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    at = lambda day: int(dt.datetime.fromisoformat(day + "T12:00+00:00").timestamp())
+    frame = lambda rows: spark.createDataFrame([("s", "d", at(day), n) for day, n in rows], "source string, device_id string, ts long, steps int")
+    store.ingest({"step_samples": frame([("2025-12-31", 1), ("2026-01-01", 2), ("2026-02-15", 3), ("2026-03-01", 4)])}, "s")
+    before = files(tmp_path, "step_samples")
+    assert {k.split("/")[1] for k in before} == {"_month=2025-12", "_month=2026-01", "_month=2026-02", "_month=2026-03"}
+    for _ in range(2):
+        store.ingest({"step_samples": frame([("2026-02-15", 30), ("2026-02-16", 5)])}, "s")
+        after = files(tmp_path, "step_samples")
+        for month in ("2025-12", "2026-01", "2026-03"):
+            assert by_month(after, month) == by_month(before, month)
+        assert by_month(after, "2026-02") != by_month(before, "2026-02")
+        assert sorted((r["ts"], r["steps"]) for r in store.read("step_samples").collect()) == [(at(d), n) for d, n in [("2025-12-31", 1), ("2026-01-01", 2), ("2026-02-15", 30), ("2026-02-16", 5), ("2026-03-01", 4)]]
+    assert store.read("step_samples", "steps > 4").columns == schema.TABLES["step_samples"].columns and store.read("step_samples", "steps > 4").count() == 2
+
+
+def test_intervals_touch_what_they_overlap(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    at = lambda text: int(dt.datetime.fromisoformat(text + "+00:00").timestamp())
+    frame = lambda rows: schema.conform(spark.createDataFrame([(s, "d", at(a), at(b)) for s, a, b in rows], "source string, device_id string, start_ts long, end_ts long"), "workouts")
+    old = [("s", "2026-01-31T23:00", "2026-02-01T01:00"), ("s", "2025-11-01T00:00", "2025-11-01T01:00"), ("other", "2026-02-01T00:10", "2026-02-01T00:20"), ("s", "2026-03-05T00:00", "2026-03-05T01:00")]
+    store.merge("workouts", frame(old))
+    before = files(tmp_path, "workouts")
+    new = [("s", "2026-02-01T00:30", "2026-02-01T02:00")]
+    for _ in range(2):
+        store.merge("workouts", frame(new))
+        got = sorted((r["source"], r["start_ts"]) for r in store.read("workouts").collect())
+        assert got == sorted((s, at(a)) for s, a, _ in [*old[1:], *new])
+        after = files(tmp_path, "workouts")
+        assert not by_month(after, "2026-01")  # its only row is gone, and so is the month
+        for month in ("2025-11", "2026-03"):
+            assert by_month(after, month) == by_month(before, month)
+
+
+def test_replacing_all_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for months in (("2026-01", "2026-02"), ("2026-02", "2026-03")):
+        store.replace("daily_metrics", spark.createDataFrame([(f"{m}-05", float("nan")) for m in months], "date string, value double"))
+        assert sorted(map(tuple, store.read("daily_metrics").select("date", "value").collect())) == [(f"{m}-05", None) for m in months]
+    assert len({k.split("/")[1] for k in files(tmp_path, "daily_metrics")}) == 2
+    with pytest.raises(ValueError, match="no table"):
+        store.read("nothing")
+
+
 def test_validation(spark, batch):
     for broken, what in (
         (batch["hr_samples"].withColumn("context", F.lit("x")), "bad_context"),
