@@ -158,21 +158,3 @@ def circular_sd(minutes: str, window=None) -> Column:
     mean = (lambda c: F.avg(c).over(window)) if window is not None else F.avg
     r = F.hypot(mean(F.cos(angle)), mean(F.sin(angle)))
     return F.sqrt(-2 * F.ln(F.greatest(F.lit(1e-12), F.least(F.lit(1.0), r)))) * 1440 / (2 * math.pi)
-
-
-def average_rank(column: str, keys: Sequence[str] = ()) -> Column:
-    """Rank with ties at their mean, for rank correlations."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, column))
-    return F.rank().over(_by(keys).orderBy(column)) + (ties - 1) / 2
-
-
-def exclusive_quantile(sorted_values: Column, p: float) -> Column:
-    """Quantile of a sorted array by the exclusive method: place (n + 1) p, clamped to the ends.
-
-    At the ends the line through the two outermost values goes on, as the method has it.
-    """
-    n = F.size(sorted_values)
-    place = (n + 1) * F.lit(p)
-    low = F.greatest(F.lit(1), F.least(n - 1, F.floor(place).cast("int")))
-    a, b = F.get(sorted_values, low - 1), F.get(sorted_values, low)
-    return F.when(n >= 2, a + (b - a) * (place - low))

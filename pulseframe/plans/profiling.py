@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import epoch_unit, zone_offset
-from ..operators.series import average_rank
+from ..operators.ranks import quantiles, spearman
 from .json_values import DISTINCT_KEPT
 
 # What names of columns say about them.
@@ -85,32 +85,6 @@ def covered_minutes(df: DataFrame, ts: str, zone: str = "UTC", keys: Sequence[st
     return counted.where("minutes > 0").select(*keys, F.date_from_unix_date((F.col("_map") * MAP_DAYS + F.col("_d")).cast("int")).alias("date"), "minutes")
 
 
-def quantiles(df: DataFrame, column: str, keys: Sequence[str], points: Sequence[float]) -> DataFrame:
-    """Quantiles by the exclusive method, per key.
-
-    Equal values are counted first; running counts find the two neighbours of each quantile, so no
-    row holds a key's values. The distinct values of one key are sorted in one task.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    running = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n")).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
-    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
-    n, least = F.col("_n"), lambda k: F.min(F.when(F.col("_upto") >= k, F.col("_v")))
-    place = lambda p: (n + 1) * F.lit(float(p))
-    lower = lambda p: F.greatest(F.lit(1), F.least(n - 1, F.floor(place(p))))
-    name = lambda p: f"q{round(p * 100)}"
-    neighbours = running.join(total, same or F.lit(True)).groupBy(*keys, "_n").agg(*[least(lower(p) + i).alias(f"_{name(p)}_{i}") for p in points for i in (0, 1)])
-    at = lambda p, i: F.col(f"_{name(p)}_{i}")
-    return neighbours.select(*keys, *[F.when(n > 1, at(p, 0) + (at(p, 1) - at(p, 0)) * (place(p) - lower(p))).alias(name(p)) for p in points])
-
-
-def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    """Rank correlation per key, ties at mean ranks."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_x": average_rank(x, keys), "_y": average_rank(y, keys)})
-    return ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count(F.lit(1)).alias("n"))
-
-
 def epoch_share(df: DataFrame, columns: Sequence[str], seconds_from: float = 3e8) -> DataFrame:
     """Per column the share of values that look like instants, and their commonest unit."""
     units = {c: epoch_unit(F.col(c), seconds_from) for c in columns}

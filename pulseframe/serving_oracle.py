@@ -63,13 +63,14 @@ SELECT person, count(step) AS steps, median(step) AS median_step, sum(n - 1)::BI
 SELECT person, (to_timestamp(ts) AT TIME ZONE 'Europe/Berlin')::DATE AS date, count(DISTINCT date_trunc('minute', to_timestamp(ts) AT TIME ZONE 'Europe/Berlin')) AS minutes
 FROM (@B(spring_hr)) GROUP BY ALL""",
     "quantiles_exclusive": f"""
-WITH v AS (SELECT c_mktsegment, list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n FROM customer GROUP BY 1),
+WITH s AS (SELECT c_mktsegment, c_acctbal FROM customer UNION ALL SELECT 'all lines', l_extendedprice FROM lineitem),
+v AS (SELECT c_mktsegment, list(c_acctbal ORDER BY c_acctbal) AS v, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT *, {", ".join(f"greatest(1, least(n - 1, floor((n + 1) * {q}::DOUBLE)))::INTEGER AS k{round(q * 100)}" for q in (0.01, 0.25, 0.5, 0.75, 0.99))} FROM v)
 SELECT c_mktsegment, {", ".join(f"round(v[k{k}] + (v[k{k} + 1] - v[k{k}]) * ((n + 1) * {q}::DOUBLE - k{k}), 6) AS q{k}" for q, k in ((0.01, 1), (0.25, 25), (0.5, 50), (0.75, 75), (0.99, 99)))} FROM p""",
     "quartiles": """
 SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.75), 6) AS q75, round(stddev_pop(c_acctbal) / avg(c_acctbal), 6) AS cv FROM customer GROUP BY 1""",
     "rank_correlation": """
-WITH r AS (
+WITH part AS (SELECT p_brand, p_size, p_retailprice FROM part UNION ALL SELECT 'all lines', l_quantity, l_extendedprice FROM lineitem), r AS (
   SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS x,
          rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2.0::DOUBLE AS y FROM part
 ) SELECT p_brand, round(corr(x, y), 6) AS rho, count(*) AS n FROM r GROUP BY p_brand""",

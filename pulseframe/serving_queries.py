@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bindings import bind
 from .functions import clock, privacy, scores
+from .operators import ranks as K
 from .operators import series as S
 from .plans import json_values as J
 from .plans import profiling as PR
@@ -114,7 +115,10 @@ def covered_minutes(spark, d):
 
 @query
 def quantiles_exclusive(spark, d):
-    return rounded(PR.quantiles(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], (0.01, 0.25, 0.5, 0.75, 0.99)))
+    points = (0.01, 0.25, 0.5, 0.75, 0.99)
+    per = K.quantiles(table(spark, d, "customer"), "c_acctbal", ["c_mktsegment"], points)
+    whole = K.quantiles(table(spark, d, "lineitem"), "l_extendedprice", [], points).withColumn("c_mktsegment", F.lit("all lines"))
+    return rounded(per.unionByName(whole))
 
 
 @query
@@ -125,7 +129,9 @@ def quartiles(spark, d):
 
 @query
 def rank_correlation(spark, d):
-    return rounded(PR.spearman(table(spark, d, "part"), "p_size", "p_retailprice", ["p_brand"]))
+    per = K.spearman(table(spark, d, "part"), "p_size", "p_retailprice", ["p_brand"])
+    whole = K.spearman(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("p_brand", F.lit("all lines"))
+    return rounded(per.unionByName(whole))
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.config import Config, Readiness, Recovery, Strain, build
 from pulseframe.operators.recovery import readiness, recovery
 from pulseframe.plans.daily import compute_daily, to_long
-from pulseframe.sources.synthetic import Spread, Wearer, event, generate, truth
+from tests.synthetic import Spread, Wearer, event, generate, truth
 
 D = dt.date
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulseframe import schema
 from pulseframe.sources import exports as X
 from pulseframe.sources.sqlite import SqliteSource, tables
-from pulseframe.sources.synthetic import SOURCE, Wearer, event, generate
+from tests.synthetic import SOURCE, Wearer, event, generate
 from pulseframe.store import Store, file_sha256
 from pulseframe.streaming import ingest
 
