@@ -1,8 +1,8 @@
 """Toxicity scores of texts restored through a noisy channel.
 
 Disguised words are found first: tokens with digits or signs in the place of letters, at any place
-and next to each other too, letters or signs written apart (by blanks, line breaks, marks), and
-letters repeated three times or more. Each is a lattice: a sign may stand for several letters, an
+and next to each other too, letters or signs written apart (by blanks, line breaks, marks), letters
+repeated three times or more, and listed words cut in two. Each but the last is a lattice: a sign may stand for several letters, an
 accented letter for its base, a separator for none, a repeated letter for itself or none. A Viterbi search finds
 the likeliest letters under a character trigram model, which is counted over all documents and
 interpolated with the learned word list. Restored words stand in the text beside the plain ones:
@@ -10,10 +10,14 @@ what a restored word holds and its disguise did not adds to the counts that feat
 
 The word list is learned from labelled rows, of which one per group of near copies counts. Features
 are whole words and word beginnings of 4 to 9 bytes, held once, twice or three times; those that
-toxic rows favour by a significant log-likelihood ratio stay, less those that clean rows hold too and
-that add little to better ones. A text's score is the precision of the most telling feature it holds.
-Features of few rows may be chance, and long texts hold much by chance: they tell only in texts where
-listed words are dense.
+toxic rows favour by a significant log-likelihood ratio stay, less beginnings
+and those that clean rows hold too where they add little to better ones. The restored text is scored as a whole: the log-likelihood ratios of all
+features that it holds add up to the log-odds of the label, one feature for each listed word. A feature
+of few rows weighs little, as some more clean rows are taken to hold it than were seen to, so
+such features need others beside them. Neither tokens nor texts are judged by their lengths.
+
+:data:`SETTING` was chosen by :func:`fold_report`, which learns from two thirds of
+the rows that may train and scores the others; rows that are held out had no part in it.
 
 The list is fitted on at most about :data:`TRAIN_ROWS` labelled rows per label (a documented bound,
 which holds when ids repeat: an id trains once);
@@ -33,33 +37,43 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, HashSet, Texts, _byte_value, count_hashes, discard, map_texts, mix, stored, training_rows
+from .common import WORD_PATTERN, HashSet, Texts, _byte_value, count_hashes, crc_fold, discard, hash_runs, hash_text, map_texts, mix, stored, training_rows
 
 TRAIN_ROWS = 4000
-MIN_RATIO = 20.0
-MIN_PRECISION = 0.9
 LEAST = 5
 TIMES = 3
 PREFIXES = tuple(range(4, 10))
-#: A feature of a lesser share of the toxic rows is rare: it tells only where listed words are one in so many.
-RARE, DENSE = 0.05, 120
 _BASE = 0x9E3779B97F4A7C15 | 1
 
+
+class Setting(NamedTuple):
+    """What a feature must show: a log-likelihood ratio, and a precision if ``pseudo`` more clean rows than were seen held it."""
+
+    ratio: float
+    least: float
+    pseudo: float
+
+
+#: Chosen by :func:`fold_report`. Of the rows that may train, on the 0.1 sample tables (305 toxic, 2,331 clean) it
+#: found 284 and flagged 9; ratios of 27 and 20 with two pseudo rows 285 and 14, 287 and 20; 34 with four 276 and 7.
+#: On the 0.1 GB check table (1,444 and 12,206) it found all and flagged none, as did 20 with two.
+SETTING = Setting(34.0, 0.5, 1.0)
+
 # What signs may stand for, and what may stand between letters.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou"}
-SEPARATORS = " .-_*/,\n\r\t"
+SEPARATORS = " .-_*/,\n\r\t:;()[]{}<>\"'=~^&#%?`\\"
 #: Costs (negative logarithms): a sign read as a letter, and a repeated letter left out or kept.
 SIGN_COST, DROP_COST, KEEP_COST = 0.5, 0.3, 1.0
-#: Tokens of more characters are longer than words are: words are searched anywhere in them.
-LONGEST = 32
-#: Length of the parts in which longer tokens, and runs of letters apart, are searched; each overlaps half of the next.
-PART, PART_OF_RUN = 64, 128
+#: What is decoded at once: the beginning of a token, which no listed word outgrows once repeats are folded,
+#: and parts of a run of letters apart, each of which overlaps half of the next, so that any word lies in one.
+PART = 128
 
 # letters of the character model: 0 for what is no letter, a-z, and one for all others
 _model_letter = np.zeros(256, np.int64)
@@ -118,14 +132,30 @@ def counted(chunk: Texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np
 
 @dataclass
 class WordList:
-    """Learned features: hash -> [(times, precision, length in bytes or 0, text, rare?)], and the rate without any."""
+    """Learned features: hash -> [(times, log-likelihood ratio, length in bytes or 0, text)], the rate without any, and the log-odds of the label."""
 
-    entries: dict[int, list[tuple[int, float, int, str, bool]]] = field(default_factory=dict)
+    entries: dict[int, list[tuple[int, float, int, str]]] = field(default_factory=dict)
     rest: float = 0.0
+    prior: float = 0.0
 
     def texts(self) -> list[tuple[str, bool, int]]:
         """(text, whole word?, base hash) of what occurrences of features look like."""
-        return sorted({(t, not length, base) for base, es in self.entries.items() for _, _, length, t, _ in es if t})
+        return sorted({(t, not length, base) for base, es in self.entries.items() for _, _, length, t in es if t})
+
+
+    def score(self, held: dict[int, int]) -> tuple[float, list[str]]:
+        """The chance of the label given how often a text holds each feature, and the features that tell it.
+
+        Of features that begin alike only the most telling one counts: they tell of one word.
+        """
+        told = sorted(((w, t) for base, n in held.items() for times, w, _, t in self.entries[base] if n >= times), key=lambda x: (-x[0], x[1]))
+        kept: list[str] = []
+        logit = self.prior
+        for w, t in told:
+            if not any(t.startswith(k) or k.startswith(t) for k in kept):
+                kept.append(t)
+                logit += w
+        return (self.rest, []) if not kept else (float(max(self.rest, 1 / (1 + np.exp(-logit)))), sorted(kept))
 
 
 def _one_per_group(own: DataFrame, key: str, text: str) -> DataFrame:
@@ -148,8 +178,9 @@ def _one_per_group(own: DataFrame, key: str, text: str) -> DataFrame:
     return stored(signed.groupBy("sign", "_label").agg(F.min_by("_own", key).alias(text), F.min(key).alias(key)).drop("sign"), "labelled")
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> WordList:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, setting: Setting | None = None) -> WordList:
     """Learn the word list from labelled rows."""
+    ratio, least, pseudo = setting or SETTING
     one = labels.where(F.col(label).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_label"))
     totals = {r["_label"]: r["count"] for r in one.groupBy("_label").count().collect()}  # two rows
     own = _one_per_group(training_rows(docs, one, key, "_label", text, rows), key, text)
@@ -173,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen_features = {
         h: (a, b)
         for h, a, b in zip(table.column("hash").to_numpy().view(np.uint64).tolist(), table.column("t").to_pylist(), table.column("c").to_pylist(), strict=True)
-        if _likelihood_ratio(a, b, base) >= MIN_RATIO and _odds(a, toxic, b, clean, totals) >= MIN_PRECISION
+        if _likelihood_ratio(a, b, base) >= ratio and _odds(a, toxic, b, clean, totals, pseudo) >= least
     }
     sent = docs.sparkSession.sparkContext.broadcast(np.array(sorted(chosen_features), np.uint64))
 
@@ -201,13 +232,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             named[feature] = (x["base"] % (1 << 64), x["times"], x["length"], x["name"])
             rows_of[feature].add(i)
     out, covered = WordList(), set()
-    precision = {h: _odds(chosen_features[h][0], toxic, chosen_features[h][1], clean, totals) for h in named}
-    for h in sorted(named, key=lambda h: (chosen_features[h][1] > 0, -precision[h], named[h])):
-        # one that clean rows hold too must earn its place among the rows that better ones leave
-        if chosen_features[h][1] and len(rows_of[h] - covered) < max(3, 4 * chosen_features[h][1]):
+    precision = {h: _odds(chosen_features[h][0], toxic, chosen_features[h][1], clean, totals, pseudo) for h in named}
+    out.prior = float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5)))
+    # whole words before beginnings, long beginnings before short ones, where they are equally telling
+    for h in sorted(named, key=lambda h: (chosen_features[h][1] > 0, -precision[h], named[h][2] > 0, -named[h][2], named[h])):
+        # a beginning, and whatever clean rows hold too, must earn its place among the rows that better ones leave
+        if (named[h][2] or chosen_features[h][1]) and len(rows_of[h] - covered) < max(3, 4 * chosen_features[h][1]):
             continue
         plain, times, length, name = named[h]
-        out.entries.setdefault(plain, []).append((times, precision[h], length, name, chosen_features[h][0] < RARE * toxic))
+        out.entries.setdefault(plain, []).append((times, float(np.log(precision[h] / (1 - precision[h]))) - out.prior, length, name))
         covered |= rows_of[h]
     out.rest = min(_odds(toxic - len(covered), toxic, clean, clean, totals), 0.5)
     discard(own)
@@ -217,10 +250,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 _FOUND = pa.list_(pa.struct([("feature", pa.int64()), ("base", pa.int64()), ("times", pa.int32()), ("length", pa.int32()), ("name", pa.string())]))
 
 
-def _odds(t: float, toxic: int, c: float, clean: int, totals: dict[int, int]) -> float:
-    """Chance of the label given a feature in t of the toxic and c of the clean sampled rows."""
+def _odds(t: float, toxic: int, c: float, clean: int, totals: dict[int, int], pseudo: float = 0.5) -> float:
+    """Chance of the label given a feature in t of the toxic and c of the clean sampled rows, and in ``pseudo`` clean ones besides."""
     prior = (totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5)
-    odds = ((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)) * prior
+    odds = ((t + 0.5) / (toxic + 1)) / ((c + pseudo) / (clean + 2 * pseudo)) * prior
     return odds / (1 + odds)
 
 
@@ -341,10 +374,11 @@ _letter_point = _table(lambda c: ("a" <= c <= "z" or "A" <= c <= "Z") if c < "\x
 _sign_point, _separator_point, _inner_point = (np.isin(np.arange((1 << 16) + 1), [ord(c) for c in of]) for of in (SIGNS, SEPARATORS, _INNER))
 
 
-def _token_forms(run: str) -> Iterator[tuple[bool, str]]:
+def _token_forms(run: str) -> Iterator[str]:
     """What a run of letters, signs and inner separators may be as a word: whole or in part, with and without the signs at its edges.
 
-    Long repeats count as three; what is still longer than a word goes out in overlapping parts, to be searched inside.
+    Long repeats count as three. What is still longer than any word goes out by its beginning, which is
+    all that a listed beginning asks for.
     """
     run = _LONG_REPEAT.sub(r"\1\1\1", run).strip(_INNER)
     parts = [p for p in re.split(r"[._-]+", run) if p]
@@ -354,17 +388,12 @@ def _token_forms(run: str) -> Iterator[tuple[bool, str]]:
             if form in seen or len(form) < 3 or not any(c.isalpha() for c in form):
                 continue
             seen.add(form)
-            if not (_SOME_SIGN.search(form) or _DRAWN_OUT.search(form.lower())):
-                continue
-            if len(form) <= LONGEST:
-                yield False, form
-            else:
-                for lo in range(0, max(1, len(form) - PART // 2), PART // 2):
-                    yield True, form[lo : lo + PART]
+            if _SOME_SIGN.search(form) or _DRAWN_OUT.search(form.lower()):
+                yield form[:PART]
 
 
 def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
-    """(text, whether words may lie anywhere inside, token) of what may be words in disguise."""
+    """(text, whether written apart, token) of what may be words in disguise."""
     points, bounds = chunk.code_points
     n = len(points)
     if n < 3:
@@ -387,8 +416,8 @@ def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
     some = (hi - lo >= 3) & (letters[hi] > letters[lo]) & ((signs[hi] > signs[lo]) | (drawns[hi] > drawns[lo]))
     lo, hi = lo[some], hi[some]
     for d, i, j in zip((np.searchsorted(bounds, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
-        for inside, token in _token_forms(text[i:j]):
-            yield d, inside, token
+        for token in _token_forms(text[i:j]):
+            yield d, False, token
 
     # written apart: at least three single letters or signs with nothing but separators between
     single = (letter | sign) & ~separator
@@ -405,13 +434,20 @@ def disguised(chunk: Texts) -> Iterator[tuple[int, bool, str]]:
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if j - i < 3 or letters[at[j - 1] + 1] == letters[at[i]]:
             continue
-        places = at[i:j].tolist()
-        token = text[places[0]]
-        for a, b in zip(places, places[1:], strict=False):
+        token = _apart(text, at[i:j].tolist())
+        for k in range(0, max(1, len(token) - PART // 2), PART // 2):
+            yield int(doc[i]), True, token[k : k + PART]
+
+
+def _apart(text: str, places: list[int]) -> str:
+    """Letters written apart, each with one separator before it; of a letter that goes on and on three stay."""
+    out, again = [text[places[0]]], 1
+    for a, b in zip(places, places[1:], strict=False):
+        again = again + 1 if text[b].lower() == text[a].lower() else 1
+        if again <= 3:
             between = text[a + 1 : b]
-            token += ("*" if "*" in between else (between.strip() or " ")[0]) + text[b]
-        for k in range(0, max(1, len(token) - PART_OF_RUN // 2), PART_OF_RUN // 2):
-            yield int(doc[i]), True, token[k : k + PART_OF_RUN]
+            out.append(("*" if "*" in between else (between.strip() or " ")[0]) + text[b])
+    return "".join(out)
 
 
 _DRAWN_OUT = re.compile(r"(.)\1{2,}", re.S)
@@ -447,18 +483,65 @@ def _stands(places: list[tuple[str, bool]], text: str, whole: bool) -> bool:
     return i == len(text)
 
 
+class CutWords:
+    """Finds listed whole words that are written in two pieces with one separator between."""
+
+    def __init__(self, words: Sequence[str]):
+        self.words = {w for w in words if len(w) >= 4}
+        pieces = [(w[:i], w[i:]) for w in self.words for i in range(1, len(w))]
+        self.heads, self.tails = (HashSet(np.array([hash_text([p[side]]) for p in pieces], np.uint64)) for side in (0, 1))
+
+    def find(self, chunk: Texts) -> Iterator[tuple[int, str, str]]:
+        """(text, what stands there, listed word)."""
+        if not self.words or len(chunk.begin) < 2:
+            return
+        head, tail = np.zeros(len(chunk.begin), bool), np.zeros(len(chunk.begin), bool)
+        head[self.heads.find(hash_runs(chunk.hashes, 1))[0]] = True
+        tail[self.tails.find(hash_runs(chunk.hashes, 1))[0]] = True
+        near = np.flatnonzero(head[:-1] & tail[1:] & (chunk.begin[1:] - chunk.end[:-1] == 1) & (chunk.doc[1:] == chunk.doc[:-1]))
+        for i in near.tolist():
+            word = "".join(chunk.words(i, i + 2))
+            between = chr(chunk.data[chunk.end[i]])
+            if word in self.words and between in SEPARATORS and between != "\n":
+                yield int(chunk.doc[i]), between.join(chunk.words(i, i + 2)), word
+
+
 @dataclass
 class Model:
     words: WordList
     counts: np.ndarray
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """The word list from labelled rows, the character model from all documents."""
+def _model_counts(docs: DataFrame, text: str) -> np.ndarray:
     counts = np.zeros(_LETTERS**3, np.int64)
     for code, n in letter_counts(docs, text).toLocalIterator():  # at most 28**3 rows
         counts[code] = n
-    return Model(learn(docs, labels, key, text, label), counts)
+    return counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+    """The word list from labelled rows, the character model from all documents."""
+    return Model(learn(docs, labels, key, text, label), _model_counts(docs, text))
+
+
+def fold_report(docs: DataFrame, labels: DataFrame, settings: Sequence[Setting], folds: int = 3, limit: float = 0.7) -> list[tuple[Setting, int, int, int, int]]:
+    """What each setting (least precision, pseudo rows) does on rows that it did not learn from.
+
+    ``labels`` are those that may train, and are cut into folds by a hash of the id. Returns
+    (setting, toxic rows, found, clean rows, flagged), summed over the folds.
+    """
+    one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).withColumn("_fold", crc_fold(F.concat(F.lit("fold"), F.col("doc_id").cast("string")), folds))
+    counts, out = _model_counts(docs, "text"), []
+    for setting in settings:
+        sums = np.zeros(4, np.int64)
+        for f in range(folds):
+            model = Model(learn(docs, one.where(F.col("_fold") != f), setting=setting), counts)
+            own = docs.join(one.where(F.col("_fold") == f).groupBy("doc_id").agg(F.max("toxic").alias("_toxic")), "doc_id")
+            flag = F.col("score") >= limit
+            r = score(own, model, carry=["_toxic"]).agg(F.count_if(F.col("_toxic") > 0), F.count_if((F.col("_toxic") > 0) & flag), F.count_if(F.col("_toxic") == 0), F.count_if((F.col("_toxic") == 0) & flag)).first()
+            sums += np.array(r, np.int64)
+        out.append((setting, *sums.tolist()))
+    return out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
@@ -473,11 +556,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
         numbered = [(t, whole, int(np.searchsorted(known.keys, np.uint64(base)))) for t, whole, base in listed]
         # no word that holds none of these, repetitions aside, holds a feature
         some_feature = re.compile("|".join(sorted({re.escape(_once(t)) for t, _, _ in numbered})) or "(?!)")
+        cut_words = CutWords(sorted({t for t, whole, _ in listed if whole}))
+        place_of = {t: k for t, whole, k in numbered if whole}
         memory: dict[tuple[bool, str], tuple[str, list[int]]] = {}
 
-        def restore(inside: bool, token: str) -> tuple[str, list[int]]:
+        def restore(apart: bool, token: str) -> tuple[str, list[int]]:
             """The word behind a token, and which features it holds that the token did not."""
-            got = memory.get((inside, token))
+            got = memory.get((apart, token))
             if got is None:
                 if len(memory) > 20_000:
                     memory.clear()
@@ -488,41 +573,36 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: Sequence[str
                 for t, whole, k in numbered if (word != plain or "+" in drawn) and some_feature.search(_once(word)) else ():
                     if any(w == t if whole else w.startswith(t) for w in before):
                         continue
-                    if any(_stands(places[i:], t, whole and not inside) for i in range(len(places) if inside else 1)):
+                    if any(_stands(places[i:], t, whole and not apart) for i in range(len(places) if apart else 1)):
                         hits.add(k)
-                got = memory[inside, token] = (word, sorted(hits))
+                got = memory[apart, token] = (word, sorted(hits))
             return got
 
         def score_chunk(chunk: Texts):
             held: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))  # text -> feature -> how often
             restored: list[list[dict]] = [[] for _ in range(chunk.n)]
-            listed_word = np.zeros(len(chunk.begin), bool)
             for _, h, of in features(chunk):
                 places, keys = known.find(h)
                 if len(places):
-                    listed_word[of[places]] = True
                     pairs, n = np.unique(np.stack([chunk.doc[of[places]], keys]), axis=1, return_counts=True)
                     for d, k, times in zip(*pairs.tolist(), n.tolist(), strict=True):
                         held[d][k] += times
-            for d, inside, token in disguised(chunk) if listed else ():
-                word, hits = restore(inside, token)
+            for d, apart, token in disguised(chunk) if listed else ():
+                word, hits = restore(apart, token)
                 if hits:
                     restored[d].append({"token": token, "word": word})
                 for k in hits:
                     held[d][k] += 1
-            support = np.bincount(chunk.doc[listed_word], minlength=chunk.n) + np.array([len(r) for r in restored])
-            dense = support * DENSE >= chunk.n_words
+            for d, token, word in cut_words.find(chunk):
+                restored[d].append({"token": token, "word": word})
+                held[d][place_of[word]] += 1
             best = np.full(chunk.n, words.rest)
-            found: list[set[str]] = [set() for _ in range(chunk.n)]
+            found: list[list[str]] = [[] for _ in range(chunk.n)]
             for d, features_of in held.items():
-                for k, times in features_of.items():
-                    for least, p, _, t, rare in words.entries[int(known.keys[k])]:
-                        if times >= least and (dense[d] or not rare):
-                            found[d].add(t)
-                            best[d] = max(best[d], p)
+                best[d], found[d] = words.score({int(known.keys[k]): times for k, times in features_of.items()})
             return [
                 pa.array(best),
-                pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+                pa.array(found, pa.list_(pa.string())),
                 pa.array(restored, pa.list_(pa.struct([("token", pa.string()), ("word", pa.string())]))),
             ]
 
