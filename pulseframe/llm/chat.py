@@ -8,10 +8,9 @@ exactly the turns it was made of.
 
 All of it is built-in functions on the JVM.
 
-The JSON parser takes no string over 20 million characters and no record over 16 MiB. A conversation
-of more than :data:`LONG` characters is therefore not put through it: its turns go on as they are.
-They are the turns that its record would give, as layouts lose nothing, so the output does not
-depend on the length.
+Records of any length go this way. The fingerprint is taken from a record's skeleton, in which string
+values are empty and equal neighbours in a list are one, so it stays small; a mapping reads the fields
+that its schema names from the record itself.
 
 Nulls, ties, repeats: null roles and texts are empty; a record whose layout no mapping knows, or
 that the parser refuses, keeps null turns and null output; an empty list of turns gives an empty text.
@@ -28,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role:string,text:string>>"
-#: Conversations of more characters (roles and texts) keep their turns beside the record.
-LONG = 1 << 20
+#: Strings of any length are read.
+_READER = {"maxStringLen": str((1 << 31) - 1)}
 
 # The strings that mark turns.
 CONTROL = r"(?:<</?(?:SYS|ROLE)>>|\[/?INST\]|</?s>)"
@@ -64,15 +63,15 @@ class Mapping:
         return hashlib.sha256(self.schema.encode()).hexdigest()[:16]
 
     def turns(self, record: Column) -> Column:
-        """``record`` is a variant."""
-        fixed = [
-            F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{field}", "string"), F.lit("")).alias("text"))
-            for field, role in self.single
-        ]
-        out = F.array(*fixed).cast(_TURNS)
+        """``record`` is the JSON text."""
+        fields = [f"`{field}` string" for field, _ in self.single]
         if self.listed:
             path, role, text = self.listed
-            got = F.try_variant_get(record, f"$.{path}", f"array<struct<{role}:string,{text}:string>>")
+            fields.append(f"`{path}` array<struct<`{role}`:string,`{text}`:string>>")
+        read = F.from_json(record, ", ".join(fields), _READER)
+        fixed = [F.struct(F.lit(role).alias("role"), F.coalesce(read[field], F.lit("")).alias("text")) for field, role in self.single]
+        out = F.array(*fixed).cast(_TURNS)
+        if self.listed:
 
             def canonical(m: Column) -> Column:
                 own = F.coalesce(m[role], F.lit(""))
@@ -80,7 +79,7 @@ class Mapping:
                     own = F.when(m[role] == theirs, F.lit(ours)).otherwise(own)
                 return F.struct(own.alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
 
-            out = F.concat(out, F.transform(F.coalesce(got, F.array().cast(f"array<struct<{role}:string,{text}:string>>")), canonical).cast(_TURNS))
+            out = F.concat(out, F.transform(F.coalesce(read[path], F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), canonical).cast(_TURNS))
         return out
 
 
@@ -96,30 +95,32 @@ MAPPINGS: tuple[Mapping, ...] = (
 )
 
 
+def skeleton(record: Column) -> Column:
+    """The JSON text with empty strings as values, and one of each run of equal flat objects in a list."""
+    text = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    # from one value to the next: whatever is no string, and keys
+    bare = F.regexp_replace(record, rf'(?s)\G([^"]*+(?:{text}\s*+:[^"]*+)*+){text}', '$1""')
+    return F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})(?:\s*,\s*\1)++", "$1")
+
+
 def field_paths(record: Column) -> Column:
-    """The nested field paths of a variant, without the types of the leaves."""
-    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z_]+(?:\([0-9,]+\))?", "")
+    """The nested field paths of a JSON text, without the types of the leaves; null if it is none."""
+    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(skeleton(record))), r": (?!OBJECT|ARRAY)[A-Z_]+(?:\([0-9,]+\))?", "")
 
 
 def fingerprint(record: Column) -> Column:
     return F.substring(F.sha2(field_paths(record).cast("binary"), 256), 1, 16)
 
 
-def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS, given: str | None = None) -> DataFrame:
-    """Add ``fingerprint``, ``layout`` and ``turns`` to JSON records.
-
-    ``given`` names a column of turns that stand as they are where it is not null.
-    """
-    parsed = records.withColumn("_v", F.try_parse_json(record))
-    marked = parsed.withColumn("fingerprint", fingerprint(F.col("_v")))
+def canonical_turns(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Add ``fingerprint``, ``layout`` and ``turns`` to JSON records."""
+    marked = records.withColumn("fingerprint", fingerprint(F.col(record)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
     for m in mappings:
         mine = F.col("fingerprint") == m.fingerprint
         layout = F.when(mine, F.lit(m.name)).otherwise(layout)
-        turns = F.when(mine, m.turns(F.col("_v"))).otherwise(turns)
-    if given:
-        turns = F.coalesce(F.col(given).cast(_TURNS), turns)
-    return marked.withColumns({"layout": layout, "turns": turns}).drop("_v")
+        turns = F.when(mine, m.turns(F.col(record))).otherwise(turns)
+    return marked.withColumns({"layout": layout, "turns": turns})
 
 
 def escape(text: Column) -> Column:
@@ -189,13 +190,11 @@ def loss_text(formatted: Column, mask: Column) -> Column:
 def records_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows by turn -> one JSON ``record`` per conversation, in the layout that suits its roles.
 
-    A conversation of more than :data:`LONG` characters has a null record and ``long_turns`` instead.
     A conversation is one record of the output, so its rows come together; it is the unit that
     grows with its own length only.
     """
     own = F.struct(F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
-    size = F.sum(F.char_length("_o.role").cast("long") + F.char_length("_o.content"))
-    grouped = rows.select(conversation, own.alias("_o")).groupBy(conversation).agg(F.sort_array(F.collect_list("_o")).alias("_m"), size.alias("_chars"))
+    grouped = rows.select(conversation, own.alias("_o")).groupBy(conversation).agg(F.sort_array(F.collect_list("_o")).alias("_m"))
     roles = F.transform("_m", lambda m: m["role"])
     are = lambda *names: roles == F.array(*[F.lit(n) for n in names])
     at = lambda i: F.get("_m", F.lit(i))["content"]
@@ -209,6 +208,4 @@ def records_of(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn
         )
         .otherwise(F.to_json(F.struct(messages(F.col("_m")).alias("messages"))))
     )
-    long = F.col("_chars") > LONG
-    turns = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
-    return grouped.select(conversation, F.when(~long, record).alias("record"), F.when(long, turns).alias("long_turns"))
+    return grouped.select(conversation, record.alias("record"))

@@ -388,19 +388,38 @@ def test_chat_loses_no_conversation(spark):
         (4, 0, "user\nassistant", "a"), (5, 0, "user", "u"), (5, 1, "assistant", long),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    turns = chat.canonical_turns(chat.records_of(df), given="long_turns")
+    turns = chat.canonical_turns(chat.records_of(df))
+    assert all(r["fingerprint"] and r["layout"] for r in turns.select("fingerprint", "layout").collect())
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(turns)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask"))).select("conv_id", "read_turns", "loss").collect()}
     for i in range(1, 6):
         want = [(role, text) for c, _, role, text in rows if c == i]
         assert [tuple(t) for t in got[i]["read_turns"]] == want and got[i]["loss"] == "".join(t for role, t in want if role == "assistant")
 
 
-def test_layouts_give_what_rows_give(spark, monkeypatch):
+def test_layouts_give_what_rows_give(spark):
     df = spark.read.parquet(f"{FOLDER}/conversations.parquet")
-    by_record = chat.canonical_turns(chat.records_of(df), given="long_turns").select("conv_id", "turns").collect()
-    monkeypatch.setattr(chat, "LONG", -1)
-    beside = chat.canonical_turns(chat.records_of(df), given="long_turns").select("conv_id", "turns").collect()
-    assert sorted(by_record) == sorted(beside) and len(by_record) > 50
+    turns = chat.canonical_turns(chat.records_of(df))
+    assert turns.where("layout IS NULL OR fingerprint IS NULL").count() == 0
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in turns.select("conv_id", "turns").collect()}
+    want = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r["turn"], r["role"] or "", r["text"] or "")):
+        want[r["conv_id"]].append((r["role"] or "", r["text"] or ""))
+    assert got == want and len(got) > 50
+
+
+def test_fingerprints_of_many_turns_and_odd_values(spark):
+    import json
+
+    many = {"messages": [{"role": "user" if i % 2 else "assistant", "content": f"{i} \"}},{{\" : \\"} for i in range(300_000)]}
+    odd = [
+        {"messages": [{"role": "user", "content": 'a": "b'}, {"role": "x", "content": "\\"}]}, {"messages": []}, {"messages": [{"role": "user", "content": None}, {"content": "x", "role": "user"}]},
+        {"prompt": "messages", "response": '{"messages": []}'}, {"prompt": "", "response": "x", "more": 1}, ["prompt", "response"], {"prompt": ["a"], "response": "b"},
+    ]
+    rows = [json.dumps(many), *map(json.dumps, odd), json.dumps(odd[0], indent=2), '{"prompt": "a", "response": ', None, ""]
+    got = chat.canonical_turns(spark.createDataFrame(list(enumerate(rows)), "i int, record string")).orderBy("i").collect()
+    assert len(got[0]["turns"]) == 300_000 and [tuple(t) for t in got[0]["turns"][:2]] == [("assistant", '0 "},{" : \\'), ("user", '1 "},{" : \\')]
+    assert [r["layout"] for r in got] == ["messages", "messages", None, "messages", "prompt", None, None, None, "messages", None, None, None]
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", 'a": "b'), ("x", "\\")] == [tuple(t) for t in got[8]["turns"]] and got[4]["turns"][1]["text"] == '{"messages": []}'
 
 
 def test_training_rows_are_bounded(spark):
