@@ -75,6 +75,11 @@ BINDINGS = {
       SELECT person, source, device_id, start_ts AS session_start_ts, start_ts + k * 1500 AS start_ts, start_ts + k * 1500 + 1200 AS end_ts,
              CASE (start_ts + k) % 5 WHEN 0 THEN 'awake' WHEN 1 THEN 'light' WHEN 2 THEN 'deep' WHEN 3 THEN 'rem' ELSE 'asleep' END AS stage
       FROM (@B(sessions)) s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k""",
+    # five persons, who are those of the samples
+    "plan_sessions": """
+      SELECT person % 5 AS person, source, device_id, start_ts, end_ts, is_nap, tz_offset_min, dev_awake_min FROM (@B(sessions)) p""",
+    "plan_segments": """
+      SELECT DISTINCT person % 5 AS person, source, device_id, session_start_ts, start_ts, end_ts, stage FROM (@B(segments)) p""",
     "long": """
       SELECT user_id AS person, CAST(CAST(ts AS DATE) AS VARCHAR(20)) AS date,
              CASE event_type WHEN 'click' THEN 'activity.steps' WHEN 'purchase' THEN 'strain.load' WHEN 'view' THEN 'recovery.score' WHEN 'signup' THEN 'rhr.z' ELSE 'sleep.sri_7d' END AS metric,

@@ -75,3 +75,8 @@ def local_iso(ts: Column, zone: str) -> Column:
     off = zone_offset(ts, zone)
     minute = clock_minute(ts, off)
     return F.concat(local_date(ts, off).cast("string"), F.format_string(" %02d:%02d", F.floor(minute / 60).cast("int"), F.pmod(minute, F.lit(60)).cast("int")))
+
+
+def format_signed(value: Column, places: int = 0) -> Column:
+    """A number to so many places with its sign, plus included; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%+.{places}f", F.round(value.cast("double"), places)))

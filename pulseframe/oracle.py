@@ -122,7 +122,7 @@ SQL["record_offsets"] = (
 # --- nights ----------------------------------------------------------------------------------------
 
 _RANK = "CASE source WHEN 'gadgetbridge' THEN 0 WHEN 'mifitness' THEN 1 WHEN 'synthetic' THEN 2 ELSE 3 END"
-_ONE = "one AS (SELECT * FROM (@B(sessions)) QUALIFY row_number() OVER (PARTITION BY person, source, device_id, start_ts ORDER BY end_ts) = 1)"
+_ONE = "one AS (SELECT * FROM (@B(sessions)) QUALIFY row_number() OVER (PARTITION BY person, source, device_id, start_ts ORDER BY end_ts DESC NULLS LAST, is_nap DESC NULLS LAST, tz_offset_min DESC NULLS LAST, dev_awake_min DESC NULLS LAST) = 1)"
 SQL["resolve_sources"] = f"""
 WITH {_ONE}, d AS (SELECT person, source, device_id, start_ts, end_ts, {_date("end_ts + 60 * coalesce(tz_offset_min, 60)")} AS wake_date FROM one)
 SELECT * FROM d QUALIFY {_RANK} = min({_RANK}) OVER (PARTITION BY person, wake_date)"""
@@ -380,6 +380,37 @@ r AS (
 )
 SELECT person, date, CASE WHEN median(step) <= 120 THEN round(sum(CASE WHEN f >= 0.3 THEN m * f * 0.64::DOUBLE * exp(1.92::DOUBLE * f) ELSE 0.0 END), 6) END AS banister FROM r GROUP BY person, date"""
 
+# --- the plan: nights, maximal rates and loads of one set of tables, put together from their parts ---
+
+_BOTH = """
+anchors AS (
+  SELECT person, start_ts AS ts, tz_offset_min AS o, 0 AS r FROM one WHERE tz_offset_min IS NOT NULL UNION ALL SELECT person, end_ts, tz_offset_min, 1 FROM one WHERE tz_offset_min IS NOT NULL
+  UNION ALL SELECT person, start_ts, tz_offset_min, 2 FROM (@B(workouts)) WHERE tz_offset_min IS NOT NULL UNION ALL SELECT person, end_ts, tz_offset_min, 3 FROM (@B(workouts)) WHERE tz_offset_min IS NOT NULL
+), timeline AS (SELECT person, ts, o AS offset_min FROM anchors QUALIFY row_number() OVER (PARTITION BY person, ts ORDER BY r, o) = 1)"""
+_DETECT = _detect("NOT EXISTS (SELECT 1 FROM wk l WHERE l.person = h3.person AND h3.ts >= l.start_ts - 300 AND h3.ts < l.end_ts + 300)")
+_PLAN = (
+    _NIGHTS.replace(_TIMELINE.replace("@B(@T)", "SELECT * FROM one"), _BOTH).replace("@B(sessions)", "@B(plan_sessions)").replace("@B(segments)", "@B(plan_segments)")
+    + f""", {_VALID}, wk AS (@B(workouts)), {_INSIDE.replace("@B(dense_hr)", "SELECT person, ts, bpm FROM valid")},
+pk AS (SELECT w.* REPLACE (CASE WHEN n >= 5 AND c <= 120 THEN peak END AS max_hr) FROM wk w LEFT JOIN seen USING (person, start_ts, end_ts, sport)),
+dates AS (SELECT person, date FROM nights UNION SELECT person, {_date("start_ts")} FROM wk UNION SELECT person, {_date("ts")} FROM valid),
+days AS (SELECT person, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM dates GROUP BY person),
+"""
+    + _HRMAX[_HRMAX.index("pred AS") :].replace("JOIN wk w", "JOIN pk w")
+    + ", "
+    + _LOADS[_LOADS.index("dated AS") :].replace("dated AS", "dated_wk AS", 1).replace("FROM dated d", "FROM dated_wk d")
+    + ", wide_max AS (SELECT person, date, hr_max FROM hrmax),"
+    + _DETECT[_DETECT.index("hd AS") :]
+    + ", every AS (SELECT * FROM loads UNION ALL SELECT * FROM detected)"
+)
+SQL["plan_workouts"] = _PLAN + f" SELECT * REPLACE ({_round(*_LOAD_DOUBLES)}) FROM every"
+SQL["plan_nights"] = (
+    _PLAN
+    + f""", per_day AS (SELECT person, date, count(*) AS n, string_agg(DISTINCT method, ',' ORDER BY method) AS load_method FROM every GROUP BY ALL)
+SELECT person, date, source, onset_clock, wake_clock, {_round("spt_min", "tst_min", "waso_min", "sme")}, tst_basis, {_round("deep_min", "light_min", "rem_min", "nap_min")}, tz_change,
+       round(hr_max, 6) AS hr_max, hr_max_basis, coalesce(n, 0) AS n_workouts, load_method
+FROM days LEFT JOIN nights USING (person, date) LEFT JOIN hrmax USING (person, date) LEFT JOIN per_day USING (person, date)"""
+)
+
 # --- series ----------------------------------------------------------------------------------------
 
 _CAL = """
@@ -501,7 +532,7 @@ _DATES = {
 } | {
     q: ["date"]
     for q in (
-        "wear_daily daily_steps nightly_sleep nightly_rhr regularity hrmax_by_date workout_loads detect_sessions banister_daily calendar_fill acute_chronic tau_strain "
+        "wear_daily daily_steps plan_workouts plan_nights nightly_sleep nightly_rhr regularity hrmax_by_date workout_loads detect_sessions banister_daily calendar_fill acute_chronic tau_strain "
         "daily_load trailing_baseline recovery readiness"
     ).split()
 } | serving_oracle.DATES

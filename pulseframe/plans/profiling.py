@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import epoch_unit, zone_offset
+from ..functions.clock import epoch_unit, format_duration, local_date, local_iso, zone_offset
 from ..operators.ranks import quantiles, spearman
 from .json_values import DISTINCT_KEPT
 
@@ -180,6 +180,38 @@ def key_profile(df: DataFrame, key: str, ts: str, device: str, value: str | None
     return sums.join(listed, "key")
 
 
+def device_timeline(df: DataFrame, key: str, ts: str, device: str, zone: str = "UTC") -> DataFrame:
+    """Per device: its first and last local date, its rows, and the keys it wrote, comma-joined."""
+    own = df.where(F.col(device).isNotNull())
+    per_key = own.groupBy(F.col(device).alias("device"), F.col(key).alias("key")).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    day = lambda c: local_date(c, zone_offset(c, zone))
+    return per_key.groupBy("device").agg(
+        day(F.min("_a")).alias("first"), day(F.max("_b")).alias("last"), F.sum("_n").alias("rows"), F.array_join(F.sort_array(F.collect_set("key")), ",").alias("keys")
+    )
+
+
+def code_counts(df: DataFrame, columns: Sequence[str] | None = None, most: int = DISTINCT_KEPT) -> DataFrame:
+    """(column, value, n, rank): the most frequent values of columns that hold codes, by name if none are given; equals by value.
+
+    All columns are counted in one shuffle. A report of bounded length; ``rank`` counts from 1.
+    """
+    columns = [c for c in df.columns if role(c) == "code"] if columns is None else columns
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, rank int")
+    counts = df.select(F.explode(cells).alias("e")).groupBy("e.column", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value")))
+    return counts.withColumn("rank", place).where(F.col("rank") <= most)
+
+
+def sleep_tail(sessions: DataFrame, zone: str, n: int = 12, keys: Sequence[str] = ()) -> DataFrame:
+    """The latest sessions of each key with local times and lengths."""
+    latest = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("start_ts"), F.desc("end_ts"), "source", "device_id")
+    last = sessions.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= n)
+    minutes = (F.col("end_ts") - F.col("start_ts")) / 60
+    return last.select(*keys, "rank", "source", "device_id", local_iso(F.col("start_ts"), zone).alias("start"), local_iso(F.col("end_ts"), zone).alias("end"), format_duration(minutes).alias("length"))
+
+
 def top_steps(df: DataFrame, ts: str, n: int = 5) -> DataFrame:
     """The commonest steps between consecutive distinct instants; equals by step.
 
@@ -245,8 +277,8 @@ def night_table(nights: DataFrame, sessions: DataFrame, device_rhr: DataFrame, k
     return out.withColumn("tst_difference", F.col("tst_min") - F.col("device_tst"))
 
 
-def regularity_report(wide: DataFrame, days: int = 14) -> DataFrame:
-    """Wear and regularity of the last days, with the reason where there is no index."""
+def regularity_report(wide: DataFrame, days: int = 14, keys: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
+    """Wear and regularity of the last days, up to a date if one is given, with the reason where there is no index."""
     from .serving import last_days
 
-    return last_days(wide.select("date", "day_wear", "reg_n", "sri_pairs", "sri", "sri_reason"), days)
+    return last_days(wide.select(*keys, "date", "day_wear", "reg_n", "sri_pairs", "sri", "sri_reason"), days, keys, as_of)

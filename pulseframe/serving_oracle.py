@@ -11,7 +11,7 @@ _IN = ", ".join(f"'{m}'" for m in _METRICS)
 _WIDE = f"SELECT person, date, {', '.join(f'max({p}) FILTER (metric = {chr(39)}{m}{chr(39)}) AS {m.replace(chr(46), chr(95))}_{p}' for m in _METRICS for p in ('value', 'status', 'reason'))} FROM (@B(long)) WHERE metric IN ({_IN}) GROUP BY person, date"
 _PERIOD = "FROM (@B(workout_metrics)) WHERE date BETWEEN '2024-01-05' AND '2024-01-20'"
 
-DATES: dict[str, list[str]] = {"night_table": ["date"], "missing_nights": ["date"], "covered_minutes": ["date"], "baseline_band": ["date"]}
+DATES: dict[str, list[str]] = {"device_timeline": ["first", "last"], "regularity_report": ["date"], "night_table": ["date"], "missing_nights": ["date"], "covered_minutes": ["date"], "baseline_band": ["date"]}
 SQL: dict[str, str] = {
     "serve_range": """SELECT person, min(date) AS first, max(date) AS last, coalesce(max(date) FILTER (metric = 'recovery.score' AND status = 'ok'), max(date)) AS shown FROM (@B(long)) WHERE date <= '2024-01-28' GROUP BY person""",
     "serve_day": "SELECT person, metric, value, status, reason FROM (@B(long)) WHERE date = '2024-01-15'",
@@ -187,3 +187,33 @@ SELECT l_orderkey, l_linenumber,
     '"mac": "aa:bb"', '"mac": "id:' || substr(sha256('aa:bb'), 1, 8) || '"') AS doc,
   '20240131_<account>_MiFitness_1234_x.csv' AS file
 FROM (SELECT *, regexp_extract(doc, '"user_id":"u([0-9]+)"', 1) AS l_partkey FROM (@B(nested)))"""
+
+_AT = "timezone('Europe/Berlin', to_timestamp({}))"
+SQL["device_timeline"] = f"""
+SELECT 'band ' || user_id % 17 AS device, min({_AT.format("floor(epoch(ts))")})::DATE AS first, max({_AT.format("floor(epoch(ts))")})::DATE AS last, count(*) AS rows,
+       string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS keys FROM events GROUP BY 1"""
+SQL["code_counts"] = """
+WITH c AS (
+  SELECT 'STATE' AS "column", o_orderstatus AS value FROM orders UNION ALL SELECT 'RAW_KIND', (o_custkey % 45)::VARCHAR FROM orders
+  UNION ALL SELECT 'sleep_stage', CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 7)::VARCHAR END FROM orders
+)
+SELECT "column", value, count(*) AS n, row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value NULLS FIRST)::INTEGER AS rank FROM c GROUP BY "column", value
+QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count(*) DESC, value NULLS FIRST) <= 30"""
+SQL["sleep_tail"] = f"""
+SELECT person, row_number() OVER w::INTEGER AS rank, source, device_id, strftime({_AT.format("start_ts")}, '%Y-%m-%d %H:%M') AS start, strftime({_AT.format("end_ts")}, '%Y-%m-%d %H:%M') AS "end",
+       ((end_ts - start_ts) // 3600)::VARCHAR || 'h' || lpad(((end_ts - start_ts) // 60 % 60)::VARCHAR, 2, '0') AS length
+FROM (@B(sessions)) WINDOW w AS (PARTITION BY person ORDER BY start_ts DESC, end_ts DESC, source, device_id) QUALIFY row_number() OVER w <= 5"""
+SQL["load_reconciliation"] = """
+WITH w AS (SELECT *, load AS o, z1_min + 2 * z2_min + 3 * z3_min + 4 * z4_min + 5 * z5_min AS d, year(to_timestamp(start_ts))::INTEGER AS year FROM (@B(workout_metrics))),
+b AS (SELECT *, o / d AS r FROM w WHERE o > 0 AND d > 0),
+k AS (
+  SELECT *, rank() OVER (PARTITION BY year, method ORDER BY o) + (count(*) OVER (PARTITION BY year, method, o) - 1) / 2.0::DOUBLE AS x,
+         rank() OVER (PARTITION BY year, method ORDER BY d) + (count(*) OVER (PARTITION BY year, method, d) - 1) / 2.0::DOUBLE AS y FROM b
+)
+SELECT year, method, count(*) AS n, round(quantile_cont(r, 0.25), 6) AS q25, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75,
+       round(stddev_pop(r) / avg(r), 6) AS cv, round(corr(x, y), 6) AS rho FROM k GROUP BY year, method"""
+SQL["regularity_report"] = """
+SELECT person, date, round(steps / 1000, 6) AS day_wear, n_workouts AS reg_n, n_workouts AS sri_pairs, sri, sri_reason FROM (@B(wide)) WHERE date <= '2001-06-30'
+QUALIFY row_number() OVER (PARTITION BY person ORDER BY date DESC) <= 6"""
+SQL["signed_numbers"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN printf('%+.0f', c_acctbal * 8 + 0.03125) END AS whole, CASE WHEN c_custkey % 9 > 0 THEN printf('%+.1f', c_acctbal * 8 + 0.03125) END AS tenths FROM customer"""

@@ -206,6 +206,42 @@ def key_profile(spark, d):
     return PR.key_profile(e, "event_type", "t", "device", "props")
 
 
+@query
+def device_timeline(spark, d):
+    e = table(spark, d, "events").select("event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"), F.concat(F.lit("band "), F.col("user_id") % 17).alias("device"))
+    return PR.device_timeline(e, "event_type", "t", "device", "Europe/Berlin")
+
+
+@query
+def code_counts(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("STATE"), (F.col("o_custkey") % 45).alias("RAW_KIND"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 7).alias("sleep_stage"))
+    return PR.code_counts(o)
+
+
+@query
+def sleep_tail(spark, d):
+    return PR.sleep_tail(bind(spark, d, "sessions"), "Europe/Berlin", 5, P)
+
+
+@query
+def load_reconciliation(spark, d):
+    """Loads of workouts beside what their zone minutes would say."""
+    w = bind(spark, d, "workout_metrics").withColumns({"load_ours": F.col("load"), "load_device": sum((F.col(f"z{i}_min") * i for i in range(2, 6)), F.col("z1_min"))})
+    return rounded(PR.load_reconciliation(w))
+
+
+@query
+def regularity_report(spark, d):
+    w = bind(spark, d, "wide").withColumns({"day_wear": F.col("steps") / 1000, "reg_n": F.col("n_workouts"), "sri_pairs": F.col("n_workouts")})
+    return rounded(PR.regularity_report(w, 6, P, "2001-06-30"))
+
+
+@query
+def signed_numbers(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal") * 8 + 0.03125).alias("v"))
+    return c.select("c_custkey", clock.format_signed(F.col("v")).alias("whole"), clock.format_signed(F.col("v"), 1).alias("tenths"))
+
+
 @query
 def top_steps(spark, d):
     return PR.top_steps(bind(spark, d, "hr"), "ts", 5)

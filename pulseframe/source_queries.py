@@ -103,9 +103,9 @@ def local_iso(spark, d):
 
 def _plan(spark, d):
     """All tables of five persons through the daily plan."""
-    sessions, segments = (bind(spark, d, t).withColumn("person", F.col("person") % 5) for t in ("sessions", "segments"))
-    tables = {"hr_samples": bind(spark, d, "hr"), "step_samples": bind(spark, d, "steps"), "sleep_sessions": one_each(sessions, ["person", "source", "device_id", "start_ts"])}
-    tables |= {"sleep_segments": segments.distinct(), "workouts": bind(spark, d, "workouts")}
+    sessions = one_each(bind(spark, d, "plan_sessions"), ["person", "source", "device_id", "start_ts"])
+    tables = {"hr_samples": bind(spark, d, "hr"), "step_samples": bind(spark, d, "steps"), "sleep_sessions": sessions}
+    tables |= {"sleep_segments": bind(spark, d, "plan_segments"), "workouts": bind(spark, d, "workouts")}
     return compute_daily(tables, CFG, P)
 
 
@@ -116,8 +116,15 @@ def plan_daily(spark, d):
 
 @query
 def plan_workouts(spark, d):
-    return _plan(spark, d)[1]
+    return rounded(_plan(spark, d)[1])
 
 
-#: Queries without SQL: the whole plan, whose parts have SQL of their own and which planted scenarios test.
-WITHOUT_SQL = ("plan_daily", "plan_workouts")
+@query
+def plan_nights(spark, d):
+    """What the plan says of each night and of the days without one."""
+    columns = "person date source onset_clock wake_clock spt_min tst_min waso_min sme tst_basis deep_min light_min rem_min nap_min tz_change hr_max hr_max_basis n_workouts load_method".split()
+    return rounded(_plan(spark, d)[0].select(*columns))
+
+
+#: Queries without SQL: the whole plan, whose parts have SQL of their own and which planted wearers test.
+WITHOUT_SQL = ("plan_daily",)
