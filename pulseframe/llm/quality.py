@@ -1,14 +1,15 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are trigrams of character classes (letter case, digit, space, line break, each
-punctuation mark) and words that repeat one of the two words before them. Term weights are square
-roots of counts times inverse document frequency; a truncated singular value decomposition of the
-labelled rows' terms gives the latent space. The labelled vectors are broadcast (their number is
+A text's terms are of two kinds: its layout, which is trigrams of character classes (letter case, digit,
+space, line break, each punctuation mark) and words that repeat one of the two words before them; and
+its words and pairs of words, by hash. Term weights are square roots of counts times inverse document
+frequency, and each kind's have length one (words :data:`WORD_SHARE`); a truncated singular value
+decomposition of the labelled rows' terms gives the latent space. The labelled vectors are broadcast (their number is
 bounded by :data:`TRAIN_ROWS` per label); every text is compared with all of them in exact blocked
 cosine products, and the nearest vote with their similarity as weight.
 
 Nulls, ties, repeats: a null or empty text has no terms, a zero vector, and the labelled rows'
-mean as score; of equally near neighbours the earlier by id vote; conflicting labels of one id
+mean as score; of equally near neighbours those of lesser ids vote; conflicting labels of one id
 train with the larger; a repeated id trains once; repeated rows are scored each for itself; without
 labelled rows every score is 0.5; an empty table gives an empty result. Columns named like a result column are replaced.
 """
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import Texts, map_texts, training_rows
 
-TERMS = 4096
+#: Terms by layout, and hash slots for words and pairs of words.
+LAYOUT, WORDS = 4096, 4096
+TERMS = LAYOUT + WORDS
+#: Length of the words' part of a vector, beside the layout's length of one.
+WORD_SHARE = 0.5
 RANK = 48
 TRAIN_ROWS = 2000
 NEIGHBOURS = 15
@@ -59,7 +64,7 @@ def terms(chunk: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(chunk.n), np.diff(at))
     if len(c) >= 3:
         code = (c[:-2] * _CLASSES + c[1:-1]) * _CLASSES + c[2:]
-        term = (code * 2654435761 % (1 << 32)) % (TERMS - _REPEATS)
+        term = (code * 2654435761 % (1 << 32)) % (LAYOUT - _REPEATS)
         inside = doc[:-2] == doc[2:]
         keys = [(doc[:-2][inside].astype(np.int64) * TERMS) + term[inside]]
     else:
@@ -68,13 +73,32 @@ def terms(chunk: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for back in (1, 2):
         if len(h) > back:
             again = np.flatnonzero((h[back:] == h[:-back]) & (owner[back:] == owner[:-back]))
-            keys.append(owner[back:][again].astype(np.int64) * TERMS + TERMS - back)
+            keys.append(owner[back:][again].astype(np.int64) * TERMS + LAYOUT - back)
+    for k in (1, 2):
+        runs, first = chunk.runs(k)
+        keys.append(owner[first].astype(np.int64) * TERMS + LAYOUT + ((runs >> np.uint64(20)) % np.uint64(WORDS)).astype(np.int64))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
     key, count = np.unique(np.concatenate(keys), return_counts=True)
     return key // TERMS, key % TERMS, np.sqrt(count).astype(np.float32)
 
 
+def scaled(matrix: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """Rows whose layout has length one and whose words :data:`WORD_SHARE`; ``term`` names the columns."""
+    for own, length in ((term < LAYOUT, 1.0), (term >= LAYOUT, WORD_SHARE)):
+        matrix[:, own] *= length / np.maximum(np.linalg.norm(matrix[:, own], axis=1, keepdims=True), 1e-9)
+    return matrix
+
+
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; of equal ones at the border the first."""
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(cosines, near, axis=1).min(axis=1)
+    tied = np.flatnonzero((cosines >= border[:, None]).sum(axis=1) > k)
+    near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
+    return near
+
+
 class Model:
     """Term weights, the latent space, and labelled vectors in it."""
 
@@ -87,8 +111,7 @@ class Model:
         used, column = np.unique(term, return_inverse=True)
         counts = np.zeros((n, len(used)), np.float32)
         counts[doc, column] = weight * self.idf[term]
-        counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
-        out += counts @ self.space[used]
+        out += scaled(counts, used) @ self.space[used]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
@@ -97,7 +120,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for lo in range(0, len(vectors), 256) if k else ():
             cosines = vectors[lo : lo + 256] @ self.vectors.T
-            near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+            near = nearest(cosines, k)
             weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** 8
             total = weight.sum(axis=1)
             share = (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-12)
@@ -132,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     idf = np.log((1 + len(y)) / (1 + np.bincount(term, minlength=TERMS))).astype(np.float32) + 0.1
     matrix = np.zeros((len(y), TERMS), np.float32)
     matrix[row, term] = weight * idf[term]
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+    matrix = scaled(matrix, np.arange(TERMS))
     rank = min(RANK, *matrix.shape)
     basis = np.random.default_rng(7).standard_normal((TERMS, min(rank + 16, *matrix.shape))).astype(np.float32)
     for _ in range(4):  # subspace iteration
