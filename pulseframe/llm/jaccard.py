@@ -27,7 +27,7 @@ the threshold are no links, whatever share of their words they have in common.
 
 Nulls, ties, repeats: a text without words (null, empty) links to nothing and is its own class;
 rows that repeat an id or a text are rows of their own; the class id is the least id in the class,
-null if all are null; an empty table gives an empty result. Other columns are not carried by
+null if all are null; very long texts are shingled whole, in segments; an empty table gives an empty result. Other columns are not carried by
 :func:`near_duplicates`; :func:`keep_one` returns rows as they came, whatever their columns' names.
 """
 
@@ -439,7 +439,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The documents without those that have an earlier one in their class.
 
     Earlier is the lesser id (nulls last), then the lesser hash of the text; of rows that repeat both
-    one stays. Rows without words stay.
+    the one whose columns, as JSON, come first. Rows without words stay.
     """
     rows, found = _classified(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key", "_text")
     worded = rows.where("n > 0").join(found.select("s1", "s2", "root"), ["s1", "s2"])
@@ -451,5 +451,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     met = packed.join(first.unionByName(silent), F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")))
     out = met.where("rows = 1").select("_row")
     if not first.where("rows > 1").isEmpty():
-        out = out.unionByName(met.where("rows > 1").groupBy("_key", "_hash").agg(F.first("_row").alias("_row")).select("_row"))
+        out = out.unionByName(met.where("rows > 1").groupBy("_key", "_hash").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row"))
     return out.select("_row.*")

@@ -13,7 +13,8 @@ Named phrases are found beside it, wherever their words stand consecutively.
 
 Nulls, ties, repeats: a null or empty text has no words and no labels; a block that meets several
 templates counts for each; equally frequent words go by alphabet; repeated rows are scanned row by
-row; an empty table gives an empty result. Other columns are not carried unless named.
+row; an empty table gives an empty result. Very long texts are hashed in segments and scanned whole.
+Other columns are not carried unless named; a carried column named like a result column is replaced.
 """
 
 from __future__ import annotations

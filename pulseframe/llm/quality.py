@@ -11,7 +11,7 @@ cosine products, and the nearest vote with their similarity as weight.
 Nulls, ties, repeats: a null or empty text has no terms, a zero vector, and the labelled rows'
 mean as score; of equally near neighbours those of lesser ids vote; conflicting labels of one id
 train with the larger; a repeated id trains once; repeated rows are scored each for itself; without
-labelled rows every score is 0.5; an empty table gives an empty result. Columns named like a result column are replaced.
+labelled rows every score is 0.5; an empty table gives an empty result. Very long texts are read whole. Columns named like a result column are replaced.
 """
 
 from __future__ import annotations

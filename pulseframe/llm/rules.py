@@ -5,7 +5,8 @@ Policies are named sets of rules: :func:`apply_policy` decides from the stored b
 :func:`ablation` tells what each rule of a policy removes by itself, without reading a text again.
 
 A null text is an empty one; it has no words and fails ``few_words``. Rows are judged one by one,
-so repeated rows and ids do not matter; an empty table gives an empty ledger. Columns of the input
+so repeated rows and ids do not matter and nothing can tie but lines and windows of one text, of which
+the first is the original; very long texts are read whole; an empty table gives an empty ledger. Columns of the input
 other than the key and the text are not carried over, so their names cannot clash.
 """
 

@@ -6,7 +6,7 @@ into itself, and one shard less gives up only its own.
 
 Nulls, ties, repeats: a null key counts as the text ``null``; a null text has no bytes; rows with
 equal keys share a shard and get slots of their own; equal draws go to the lower shard number.
-An empty table gives an empty result, and columns named like a result column are replaced.
+Very long texts are measured whole and stay where they are. An empty table gives an empty result, and columns named like a result column are replaced.
 """
 
 from __future__ import annotations

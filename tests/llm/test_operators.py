@@ -164,6 +164,15 @@ def test_chains_make_no_large_groups(spark):
     assert {i: r["class_id"] for i, r in got.items()} == classes and {i: r["n_links"] for i, r in got.items() if r["n_links"]} == dict(links)
 
 
+def test_of_rows_equal_in_id_and_text_the_first_by_its_columns_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, s, m) for s, m in (("b", {"x": 1}), ("a", {"x": 2}), ("a", {"x": 1}), (None, None))] + [(2, text + " eleven", "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
+    for n in (1, 3, 7):
+        got = jaccard.keep_one(df.repartition(n)).collect()
+        assert [(r["source"], r["m"]) for r in got] == [("a", {"x": 1})]
+
+
 def test_one_of_each_class_stays(spark):
     a, b, c = "a b c d e f", "b x y z w q", "only here now yes"
     rows = [(0, a), (1, a), (1, b), (1, b), (2, None), (2, None), (None, b), (None, c), (None, c), (5, "!!")]
