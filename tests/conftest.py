@@ -35,21 +35,28 @@ def spark(tmp_path_factory):
 
 
 def rows_of(frame) -> list[tuple]:
-    """The rows of a pandas frame, columns by name, in a comparable form and order."""
-    import pandas as pd
+    """The rows of an Arrow table or a pandas frame, columns by name, in a comparable form and order.
 
-    frame = frame[sorted(frame.columns)]
+    In an Arrow table NaN is told from null; pandas knows no difference.
+    """
+    import pandas as pd
+    import pyarrow as pa
 
     def cell(v):
-        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA:
             return "null"
-        return f"{v:.9g}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            return ("NaN" if arrow else "null") if v != v else f"{v:.9g}"
+        return str(v)
 
-    return sorted(tuple(cell(v) for v in row) for row in frame.itertuples(index=False, name=None))
+    arrow = isinstance(frame, pa.Table)
+    names = sorted(frame.column_names if arrow else frame.columns)
+    rows = zip(*[frame.column(c).to_pylist() for c in names], strict=True) if arrow else frame[names].itertuples(index=False, name=None)
+    return sorted(tuple(cell(v) for v in row) for row in rows)
 
 
-def duck(sql: str, folder: str):
-    """Run SQL over the tables of a folder."""
+def duck(sql: str, folder: str, arrow: bool = False):
+    """Run SQL over the tables of a folder, to pandas or to Arrow."""
     import duckdb
 
     con = duckdb.connect()
@@ -57,4 +64,4 @@ def duck(sql: str, folder: str):
     for t in TABLES:
         if os.path.exists(f"{folder}/{t}.parquet"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    return con.sql(sql).df()
+    return con.sql(sql).to_arrow_table() if arrow else con.sql(sql).df()

@@ -39,3 +39,31 @@ def test_quantiles_without_arrays_of_values(spark):
     assert PR.quantiles(df.where("v = 9"), "v", ["k"], (0.5,)).first()["q50"] is None  # a single value has no neighbours
     assert PR.quantiles(df.where("k = 'a'"), "v", [], (0.5,)).first()["q50"] == 2.0
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_of_one_large_key(spark):
+    """Without keys, and with a null one: ties at their means, nothing in one partition."""
+    import random
+    import statistics
+
+    from pulseframe.operators import ranks
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", None]), float(rng.randint(0, 40)), float(rng.randint(0, 9))) for _ in range(900)] + [("a", None, 1.0), ("b", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(6)
+
+    def mean_ranks(values):
+        order = sorted(values)
+        return [order.index(v) + (order.count(v) + 1) / 2 for v in values]
+
+    got = {r["k"]: (r["rho"], r["n"]) for r in ranks.spearman(df, "x", "y", ["k"]).collect()}
+    for k in ("a", None):
+        own = [(x, y) for q, x, y in rows if q == k and x is not None]
+        assert abs(got[k][0] - statistics.correlation(*(mean_ranks(c) for c in zip(*own)))) < 1e-12 and got[k][1] == len(own)
+    assert got["b"] == (None, 1)
+    whole = [x for _, x, _ in rows if x is not None]
+    assert {r["_v"]: r["_rank"] for r in ranks.mean_ranks(df, "x").collect()} == dict(zip(whole, mean_ranks(whole)))
+    points = ranks.quantiles(df, "x", [], (0.25, 0.5, 0.75))
+    assert list(points.first()) == statistics.quantiles(whole, n=4)
+    plan = ranks.running_counts(df, "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and plan.count("Window") == 2

@@ -23,7 +23,13 @@ def test_whole_plan_runs(spark, name):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
-    assert rows_of(Q.queries()[name](spark, FOLDER).toPandas()) == rows_of(duck(SQL[name], FOLDER))
+    assert rows_of(Q.queries()[name](spark, FOLDER).toArrow()) == rows_of(duck(SQL[name], FOLDER, arrow=True))
+
+
+def test_the_comparison_tells_nan_from_null():
+    import pyarrow as pa
+
+    assert rows_of(pa.table({"x": [float("nan")]})) != rows_of(pa.table({"x": pa.array([None], pa.float64())}))
 
 
 def test_entry(spark):
