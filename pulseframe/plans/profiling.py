@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import epoch_unit, format_duration, local_date, local_iso, zone_offset
+from ..functions.privacy import scrub_json
+from ..functions.scores import redact, short_hash
 from ..operators.ranks import quantiles, spearman
 from .json_values import DISTINCT_KEPT
 
@@ -248,6 +250,24 @@ def first_and_last(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame
     return front.unionByName(df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("end", F.lit("last")))
 
 
+def redacted_samples(df: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
+    """Some rows from both ends of an order, with nothing that identifies: identifiers as short hashes, places
+    masked, JSON scrubbed by key, and addresses, coordinates and long numbers masked in other texts."""
+    rows, kinds = first_and_last(df, order, n), dict(df.dtypes)
+
+    def shown(c: str) -> Column:
+        col = F.col(f"`{c}`")
+        if role(c) == "id":
+            return short_hash(col.cast("string"))
+        if role(c) == "geo":
+            return F.when(col.isNotNull(), F.lit("<redacted>"))
+        if kinds[c] == "string":
+            return F.when(col.rlike(r"^\s*[\[{]"), scrub_json(col)).otherwise(redact(col))
+        return col
+
+    return rows.select("end", *[shown(c).alias(c) for c in df.columns])
+
+
 # The middles of zones 1 to 5 as shares of the maximal heart rate.
 ZONE_MIDDLES = (0.55, 0.65, 0.75, 0.85, 0.95)
 

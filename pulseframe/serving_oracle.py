@@ -217,3 +217,10 @@ SELECT person, date, round(steps / 1000, 6) AS day_wear, n_workouts AS reg_n, n_
 QUALIFY row_number() OVER (PARTITION BY person ORDER BY date DESC) <= 6"""
 SQL["signed_numbers"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN printf('%+.0f', c_acctbal * 8 + 0.03125) END AS whole, CASE WHEN c_custkey % 9 > 0 THEN printf('%+.1f', c_acctbal * 8 + 0.03125) END AS tenths FROM customer"""
+
+_SCRUBBED = SQL["scrubbed_json"].replace("SELECT l_orderkey, l_linenumber,", "SELECT key, l_orderkey, l_linenumber, doc AS raw,", 1).replace("AS doc,\n  '20240131", "AS scrubbed,\n  '20240131")
+SQL["redacted_samples"] = f"""
+WITH s AS ({_SCRUBBED}),
+o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, raw) AS a, row_number() OVER (ORDER BY l_orderkey DESC, l_linenumber DESC, raw DESC) AS b FROM s)
+SELECT "end", key, l_orderkey, l_linenumber, scrubbed AS doc, 'id:' || substr(sha256(l_orderkey::VARCHAR), 1, 8) AS user_id, '<redacted>' AS "LATITUDE", 'call <number>' AS note
+FROM (SELECT 'first' AS "end", * FROM o WHERE a <= 4 UNION ALL SELECT 'last', * FROM o WHERE b <= 4)"""

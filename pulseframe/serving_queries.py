@@ -170,6 +170,12 @@ def scrubbed_json(spark, d):
     return n.select("l_orderkey", "l_linenumber", privacy.scrub_json(F.col("doc")).alias("doc"), privacy.mask_account(name).alias("file"))
 
 
+@query
+def redacted_samples(spark, d):
+    n = bind(spark, d, "nested").withColumns({"user_id": F.col("l_orderkey"), "LATITUDE": F.lit(52.5), "note": F.concat(F.lit("call "), F.col("l_orderkey") + 100_000_000)})
+    return PR.redacted_samples(n, ["l_orderkey", "l_linenumber", "doc"], 4)
+
+
 @query
 def dst_naive_devices(spark, d):
     return X.dst_naive(_offset_records(spark, d))
