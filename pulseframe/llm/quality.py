@@ -84,9 +84,10 @@ def terms(chunk: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scaled(matrix: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """Rows whose layout has length one and whose words :data:`WORD_SHARE`; ``term`` names the columns."""
-    for own, length in ((term < LAYOUT, 1.0), (term >= LAYOUT, WORD_SHARE)):
-        matrix[:, own] *= length / np.maximum(np.linalg.norm(matrix[:, own], axis=1, keepdims=True), 1e-9)
+    """Rows whose layout has length one and whose words :data:`WORD_SHARE`, in place; ``term`` names the columns in ascending order."""
+    cut = int(np.searchsorted(term, LAYOUT))
+    for part, length in ((matrix[:, :cut], 1.0), (matrix[:, cut:], WORD_SHARE)):
+        part *= (length / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)).astype(np.float32)[:, None]
     return matrix
 
 
@@ -150,18 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     row, term, weight = [], [], []
     for i, (t, w) in enumerate(zip(found.column("terms"), found.column("weights"), strict=True)):
         t, w = t.values.to_numpy(), w.values.to_numpy()
-        row.append(np.full(len(t), i)), term.append(t), weight.append(w)
-    row, term, weight = np.concatenate(row), np.concatenate(term).astype(np.int64), np.concatenate(weight)
+        row.append(np.full(len(t), i, np.int32)), term.append(t), weight.append(w)
+    row, term, weight = np.concatenate(row), np.concatenate(term), np.concatenate(weight)
+    del found
     idf = np.log((1 + len(y)) / (1 + np.bincount(term, minlength=TERMS))).astype(np.float32) + 0.1
     matrix = np.zeros((len(y), TERMS), np.float32)
     matrix[row, term] = weight * idf[term]
-    matrix = scaled(matrix, np.arange(TERMS))
+    scaled(matrix, np.arange(TERMS))
     rank = min(RANK, *matrix.shape)
     basis = np.random.default_rng(7).standard_normal((TERMS, min(rank + 16, *matrix.shape))).astype(np.float32)
     for _ in range(4):  # subspace iteration
         basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
     _, _, right = np.linalg.svd(matrix @ basis, full_matrices=False)
     space = np.ascontiguousarray((basis @ right.T)[:, :rank])
+    del matrix
     model = Model(idf, space, np.zeros((0, rank), np.float32), y, float(y.mean()))
     model.vectors = model.project(len(y), row, term, weight)
     return model
