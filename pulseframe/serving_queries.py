@@ -153,19 +153,24 @@ def keyed_json(spark, d):
     return e.select("event_id", F.col("p.k").alias("k"), scores.without_placeholder(F.col("p.k").cast("double")).alias("known_k"))
 
 
+def _nested(spark, d):
+    """Records of unknown layout, dealt out: parsing is long work on a table of few files."""
+    return bind(spark, d, "nested").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query
 def json_paths(spark, d):
-    return J.json_paths(table(spark, d, "events").select("props").unionByName(bind(spark, d, "nested").select(F.col("doc").alias("props"))), "props")
+    return J.json_paths(table(spark, d, "events").select("props").unionByName(_nested(spark, d).select(F.col("doc").alias("props"))), "props")
 
 
 @query
 def json_value_stats(spark, d):
-    return rounded(J.value_stats(bind(spark, d, "nested"), "doc", keys=["key"]))
+    return rounded(J.value_stats(_nested(spark, d), "doc", keys=["key"]))
 
 
 @query
 def scrubbed_json(spark, d):
-    n = bind(spark, d, "nested")
+    n = _nested(spark, d)
     name = F.concat(F.lit("20240131_"), (F.col("l_orderkey") + 10**9).cast("string"), F.lit("_MiFitness_1234_x.csv"))
     return n.select("l_orderkey", "l_linenumber", privacy.scrub_json(F.col("doc")).alias("doc"), privacy.mask_account(name).alias("file"))
 
