@@ -144,7 +144,8 @@ def duck(sql: str) -> str:
     return sql.replace(" DIV ", " // ").replace("VARCHAR(9)", "VARCHAR").replace("VARCHAR(20)", "VARCHAR")
 
 
-def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def bind(spark: SparkSession, folder: str, name: str, dealt: int | None = None) -> DataFrame:
+    """A binding as a table; ``dealt`` deals the rows of the tables it reads over so many partitions first."""
     sql = BINDINGS[name]
     while m := re.search(r"@B\((\w+)\)", sql):
         sql = sql[: m.start()] + BINDINGS[m[1]] + sql[m.end() :]
@@ -154,5 +155,5 @@ def bind(spark: SparkSession, folder: str, name: str) -> DataFrame:
     for t in tables:
         sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
     sql = sql.replace("VARCHAR(9)", "STRING").replace("VARCHAR(20)", "STRING")
-    out = spark.sql(sql, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables})
-    return out
+    read = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in tables}
+    return spark.sql(sql, **{t: df.repartition(dealt) if dealt else df for t, df in read.items()})

@@ -15,8 +15,10 @@ _GEO = f"(?:{'|'.join(GEO_PARTS)})"
 _ID = rf"(?:[^\"\\]*\.)?(?:{'|'.join(ID_KEYS)})"
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 #: A key to be masked, up to its value.
-_KEY = rf'"(?i:(?=[^"\\]*?{_GEO}[^"\\]*"|{_ID}"))[^"\\]*+"\s*+:\s*+'
+_KEY = rf'"(?=[^"\\]*+"\s*+:)(?i:(?=[^"\\]*?{_GEO}[^"\\]*"|{_ID}"))[^"\\]*+"\s*+:\s*+'
 DEPTH = 16
+#: Strings and texts between them that make up one piece at most; the pattern's stack grows with it.
+RUN = 64
 
 
 def _value(depth: int) -> str:
@@ -36,17 +38,21 @@ def scrub_json(text: Column, depth: int = DEPTH) -> Column:
     nested deeper than ``depth`` or broken off, the whole text is masked rather than let through. Null
     stays null; a text that is no JSON is cut in the same way.
     """
-    pieces = F.regexp_extract_all(text, F.lit(rf'(?s){_KEY}(?:{_value(depth)}|(?=[\[{{"]))|{_STRING}|[^"]++|"'), F.lit(0))
-    head = lambda p: F.regexp_extract(p, rf"(?s)^({_KEY})", 1)
-    value = lambda p: F.substr(p, F.char_length(head(p)) + 1)
+    key, other = rf"{_KEY}(?:{_value(depth)}|(?=[\[{{\"]))", rf'(?:(?!{_KEY}){_STRING}|[^"]++){{1,{RUN}}}+'
+    pieces = F.regexp_extract_all(text, F.lit(rf'(?s){key}|{other}|{_STRING}|"'), F.lit(0))
+    parts = F.transform(pieces, lambda p: F.struct(F.regexp_extract(p, rf"(?s)^({_KEY})", 1).alias("head"), p.alias("all")))
+    value = lambda p: F.substr(p["all"], F.char_length(p["head"]) + 1)
     content = lambda v: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), v, F.lit("}")), "$.v")).otherwise(v)
 
     def masked(p: Column) -> Column:
-        mask = F.when(head(p).rlike(rf'^"[^"]*(?i:{_GEO})'), F.lit("<redacted>")).otherwise(short_hash(F.coalesce(content(value(p)), value(p))))
-        return F.when(head(p) == "", p).otherwise(F.concat(head(p), F.lit('"'), mask, F.lit('"')))
+        mask = F.when(p["head"].rlike(rf'^"[^"]*(?i:{_GEO})'), F.lit("<redacted>")).otherwise(short_hash(F.coalesce(content(value(p)), value(p))))
+        return F.when(p["head"] == "", p["all"]).otherwise(F.concat(p["head"], F.lit('"'), mask, F.lit('"')))
 
-    unfit = F.exists(pieces, lambda p: (head(p) != "") & (value(p) == ""))
-    return F.when(unfit, F.lit('"<redacted>"')).otherwise(F.array_join(F.transform(pieces, masked), ""))
+    def joined(ps: Column) -> Column:
+        unfit = F.exists(ps, lambda p: (p["head"] != "") & (value(p) == ""))
+        return F.when(unfit, F.lit('"<redacted>"')).otherwise(F.array_join(F.transform(ps, masked), ""))
+
+    return F.get(F.transform(F.array(parts), joined), F.lit(0))  # a list of one, so that the text is cut once
 
 
 def mask_account(name: Column) -> Column:

@@ -1,10 +1,14 @@
 """JSON columns of unknown layout: their paths, and bounded statistics of the values at each path.
 
-A text is parsed once and unfolded level by level inside its row: what is open at a level gives values,
-which are kept, and what is open at the next. So the plan reads its source once whatever the depth, and
-only values become rows. Paths read ``a.b[].c``; a list gives its length as ``a.b[].#len``
-and its elements as ``a.b[]``. Only scalars and lengths are values. Nodes deeper than the limit are left
-out, as the depth is the feature; lists are walked whole.
+A text is parsed once, in the task that reads it, and walked there. What leaves a task are values
+(:func:`json_values`) or, for paths and statistics, only what the task has counted. Paths read
+``a.b[].c``; a list gives its length as ``a.b[].#len`` and its elements as ``a.b[]``. Only scalars and
+lengths are values. Nodes deeper than the limit are left out, as the depth is the feature; lists are
+walked whole.
+
+Types are those of Spark's variants: whole numbers of 64 bits are BIGINT, other numbers without an
+exponent DECIMAL up to 38 digits, all other numbers DOUBLE. As there, a text with an object that names a
+key twice is no JSON, and what follows the outermost object or list is not looked at.
 
 Nulls, ties, repeats: texts that are null or no JSON object or list have no values; JSON nulls and empty
 strings are values that count as empty; equal counts are listed by value; an empty table gives an
@@ -13,99 +17,207 @@ empty result.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH, DISTINCT_KEPT = 8, 30
-_OBJECT, _LIST = "map<string,variant>", "array<variant>"
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-
-
-def _node(path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), value.alias("v"))
-
+from ..store import stored
 
-def _is(kind: str) -> Callable[[Column], Column]:
-    return lambda n: n["v"].try_cast(kind).isNotNull()
-
-
-def _members(n: Column) -> Column:
-    """The nodes right below an object or a list; a list's length comes first."""
-    path = n["path"]
-    fields = F.transform(F.map_entries(n["v"].try_cast(_OBJECT)), lambda e: _node(F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"])), e["value"]))
-    below, items = F.concat(path, F.lit("[]")), n["v"].try_cast(_LIST)
-    length = F.array(_node(F.concat(below, F.lit(".#len")), F.size(items).cast("variant")))
-    return F.coalesce(fields, F.concat(length, F.transform(items, lambda x: _node(below, x))))
+DEPTH, DISTINCT_KEPT = 8, 30
+_NUMERIC = ("BIGINT", "DECIMAL", "DOUBLE", "NUMSTR")
+_NUMBER = re.compile(r"\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*[\x85\u2028\u2029]?\Z", re.ASCII)
+#: Paths whose names a task remembers.
+_NAMES = 100_000
+
+#: (path, type, value as text; that of a double as Python writes it)
+Value = tuple[str, str, str | None]
+
+
+def _number(text: str) -> tuple[str, str]:
+    """Type and value of a JSON number."""
+    plain = text.lstrip("-")
+    if plain.isdigit():
+        n = int(text)
+        if -(1 << 63) <= n < 1 << 63:
+            return "BIGINT", str(n)
+    whole, dot, part = plain.partition(".")
+    if plain.replace(".", "").isdigit() and len(part) <= 38 and len((whole + part).lstrip("0")) <= 38:
+        kept = whole + "." + part.rstrip("0") if part.strip("0") else whole
+        return "DECIMAL", kept if kept == "0" or text[0] != "-" else "-" + kept
+    return "DOUBLE", repr(float(text))
+
+
+def _integer(text: str) -> tuple[str, str]:
+    return ("BIGINT", text) if len(text) < 19 and text != "-0" else _number(text)
+
+
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key twice")
+    return out
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _valid(text: str) -> str:
+    """The text as UTF-8 can hold it."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
+
+
+def _walker(depth: int) -> Callable[[str | None], list[Value]]:
+    """A function from a text to its values, down to a depth."""
+    decode = json.JSONDecoder(object_pairs_hook=_unique, parse_float=_number, parse_int=_integer, parse_constant=_no_constant).raw_decode
+    names: dict[tuple[str, str], str] = {}
+    number = _NUMBER.match
+
+    def walk(path: str, node: dict | list, level: int, out: list[Value]) -> None:
+        if type(node) is dict:
+            if level == depth:
+                return
+            members = []
+            for key, v in node.items():
+                name = names.get((path, key))
+                if name is None:
+                    if len(names) >= _NAMES:
+                        names.clear()
+                    name = names[path, key] = f"{path}.{_valid(key)}" if path else _valid(key)
+                members.append((name, v))
+        else:
+            below = path + "[]"
+            out.append((below + ".#len", "BIGINT", str(len(node))))
+            if level == depth:
+                return
+            members = [(below, v) for v in node]
+        for name, v in members:
+            kind = type(v)
+            if kind is str:
+                out.append((name, "NUMSTR" if number(v) else "STRING", v if v.isascii() else _valid(v)))
+            elif kind is tuple:
+                out.append((name, *v))
+            elif kind is dict or kind is list:
+                walk(name, v, level + 1, out)
+            elif v is None:
+                out.append((name, "VOID", None))
+            else:
+                out.append((name, "BOOLEAN", "true" if v else "false"))
+
+    def values(text: str | None) -> list[Value]:
+        own = "" if text is None else text.lstrip(" \t\r\n")
+        if not own.startswith(("{", "[")):
+            return []
+        try:
+            root = decode(own)[0]
+        except (ValueError, RecursionError):
+            return []
+        out: list[Value] = []
+        walk("", root, 0, out)
+        return out
+
+    return values
+
+
+def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
 def json_values(df: DataFrame, column: str, depth: int = DEPTH, keep: Sequence[str] = ()) -> DataFrame:
     """A row per value in the JSON texts: the columns in ``keep``, ``path``, ``type``, and ``value`` as text."""
-    holds = lambda n: _is(_OBJECT)(n) | _is(_LIST)(n)
-    looks = F.col(column).rlike(r"^\s*[\[{]")
-    root = F.array(_node(F.lit(""), F.try_parse_json(column)))
-    rows = df.where(looks).select(*keep, root.alias("_open"), F.slice(root, 1, 0).alias("_found"))
-    for _ in range(depth):
-        below = rows.withColumn("_below", F.flatten(F.transform("_open", _members)))
-        rows = below.select(*keep, F.filter("_below", holds).alias("_open"), F.concat("_found", F.filter("_below", lambda n: ~holds(n))).alias("_found"))
-    # at the last level lists still tell their lengths
-    last = F.flatten(F.transform(F.filter("_open", _is(_LIST)), lambda n: F.slice(_members(n), 1, 1)))
-    values = rows.select(*keep, F.explode(F.concat("_found", last)).alias("n"))
-    text, kind = F.col("n.v").cast("string"), F.regexp_extract(F.schema_of_variant("n.v"), r"^[A-Z]+", 0)
-    return values.select(*keep, F.col("n.path").alias("path"), F.when((kind == "STRING") & text.rlike(_NUMBER), "NUMSTR").otherwise(kind).alias("type"), text.alias("value"))
-
-
-def json_paths(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
-    """(path, type, n): how often each path holds a value of each type."""
-    return json_values(df, column, depth).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
-
+    keep = list(keep)
 
-def _tallied(values: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _walker(depth)
+        for batch in batches:
+            found, rows = [], []
+            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
+                here = values(text)
+                found += here
+                rows += [i] * len(here)
+            path, kind, value = zip(*found, strict=True) if found else ((), (), ())
+            double = [float(v) if k == "DOUBLE" else None for k, v in zip(kind, value, strict=True)]
+            text = [None if k == "DOUBLE" else v for k, v in zip(kind, value, strict=True)]
+            kept = [batch.column(n).take(pa.array(rows, pa.int64())) for n in range(len(keep))]
+            arrays = [*kept, pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(text, pa.string()), pa.array(double, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "path", "type", "_text", "_double"])
+
+    found = df.select(*keep, F.col(column).alias("_json")).mapInArrow(run, _ddl(df, keep) + "path string, type string, _text string, _double double")
+    return found.select(*keep, "path", "type", F.coalesce("_text", F.col("_double").cast("string")).alias("value"))
+
+
+def _tallied(df: DataFrame, column: str, depth: int, keys: Sequence[str], most: int) -> DataFrame:
     """What each task has seen, by path: (keys, path, _part, _key, _n, _least, _most).
 
-    Parts: ``type`` with counts by type and extremes of numbers, ``empty``, ``value`` with counts by
-    value, and ``over`` once a task has seen more than ``most`` values, of which it then keeps none.
+    Parts: ``type`` with counts by type and extremes of numbers, ``empty`` with counts by type, ``value``
+    with counts by value, and ``over`` once a task has seen more than ``most`` values, of which it then
+    keeps none. Without ``most`` there are only types, empty values among them.
     """
-    own = [*keys, "path"]
+    own = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = _walker(depth)
         types: dict[tuple, list] = {}
         empty: Counter = Counter()
-        seen: dict[tuple, Counter | None] = defaultdict(Counter)
+        plain: Counter = Counter()
+        seen: dict[tuple, list[Counter] | None] = defaultdict(lambda: [Counter(), Counter()])
         for batch in batches:
-            g = pa.Table.from_batches([batch]).group_by([*own, "type", "value"]).aggregate([([], "count_all"), ("number", "min")])
-            rows = [g.column(c).to_pylist() for c in (*own, "type", "value", "count_all", "number_min")]
-            for *path, kind, value, n, number in zip(*rows, strict=True):
-                at = tuple(path)
-                if value is None or value == "":
-                    empty[at] += n
+            columns = [batch.column(n).to_pylist() for n in range(len(own) + 1)]
+            for *key, text in zip(*columns, strict=True):
+                at = tuple(key)
+                if not most:
+                    plain.update([(at, path, kind) for path, kind, _ in values(text)])
                     continue
-                t = types.setdefault((at, kind), [0, None, None])
-                t[0] += n
-                if number is not None:
-                    t[1] = number if t[1] is None else min(t[1], number)
-                    t[2] = number if t[2] is None else max(t[2], number)
-                counts = seen[at]
-                if counts is not None:
-                    counts[value] += n
-                    if len(counts) > most:
-                        seen[at] = None
-        out = [(*at, "type", kind, *t) for (at, kind), t in types.items()] + [(*at, "empty", None, n, None, None) for at, n in empty.items()]
-        for at, counts in seen.items():
-            out += [(*at, "over", None, 1, None, None)] if counts is None else [(*at, "value", v, n, None, None) for v, n in counts.items()]
+                for path, kind, value in values(text):
+                    if not value:
+                        empty[at, path, kind] += 1
+                        continue
+                    t = types.get((at, path, kind))
+                    if t is None:
+                        t = types[at, path, kind] = [0, None, None]
+                    t[0] += 1
+                    if kind in _NUMERIC and value[-1] not in "\u2028\u2029":  # which a cast does not trim
+                        number = float(value)
+                        if t[1] is None or number < t[1]:
+                            t[1] = number
+                        if t[2] is None or number > t[2]:
+                            t[2] = number
+                    # how Spark writes a double is not known here, so doubles are counted beside the texts
+                    counts = seen[at, path]
+                    if counts is not None:
+                        counts = counts[kind == "DOUBLE"]
+                        counts[value] += 1
+                        if len(counts) > most:
+                            seen[at, path] = None
+        out = [(*at, path, "type", kind, None, *t) for (at, path, kind), t in types.items()] + [(*at, path, "empty", kind, None, n, None, None) for (at, path, kind), n in empty.items()]
+        out += [(*at, path, "type", kind, None, n, None, None) for (at, path, kind), n in plain.items()]
+        for (at, path), counts in seen.items():
+            if counts is None:
+                out.append((*at, path, "over", None, None, 1, None, None))
+            else:
+                out += [(*at, path, "value", v, None, n, None, None) for v, n in counts[0].items()] + [(*at, path, "value", None, float(v), n, None, None) for v, n in counts[1].items()]
         if out:
-            names = [*own, "_part", "_key", "_n", "_least", "_most"]
-            kinds = [*[batch_types[k] for k in own], pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
+            names = [*own, "path", "_part", "_text", "_double", "_n", "_least", "_most"]
+            kinds = [*key_types, pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    batch_types = {k: to_arrow_type(values.schema[k].dataType) for k in own}
-    fields = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in own)
-    return values.mapInArrow(run, f"{fields}, _part string, _key string, _n long, _least double, _most double")
+    key_types = [to_arrow_type(df.schema[k].dataType) for k in own]
+    columns = "path string, _part string, _text string, _double double, _n long, _least double, _most double"
+    found = df.select(*own, F.col(column).alias("_json")).mapInArrow(run, _ddl(df, own) + columns)
+    return found.select(*own, "path", "_part", F.coalesce("_text", F.col("_double").cast("string")).alias("_key"), "_n", "_least", "_most")
+
+
+def json_paths(df: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
+    """(path, type, n): how often each path holds a value of each type."""
+    types = _tallied(df, column, depth, (), 0).where("_part = 'type'")
+    return types.groupBy("path", F.col("_key").alias("type")).agg(F.sum("_n").alias("n"))
 
 
 def value_stats(df: DataFrame, column: str, depth: int = DEPTH, keys: Sequence[str] = (), most: int = DISTINCT_KEPT) -> DataFrame:
@@ -117,9 +229,8 @@ def value_stats(df: DataFrame, column: str, depth: int = DEPTH, keys: Sequence[s
     were dealt.
     """
     own = [*keys, "path"]
-    numeric = F.when(F.col("type").isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "NUMSTR"), F.expr("try_cast(value AS DOUBLE)"))
-    values = json_values(df, column, depth, keys).withColumn("number", numeric)
-    merged = _tallied(values, keys, most).groupBy(*own, "_part", "_key").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    merged = _tallied(df, column, depth, keys, most).groupBy(*own, "_part", "_key").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    merged = stored(merged, "tallies")  # read three times below, so that texts are not parsed as often
     part = lambda p: F.col("_part") == p
     listed = lambda what, sep: F.array_join(F.transform(F.sort_array(F.collect_list(what)), lambda s: F.concat(s["key"], F.lit(":"), (-s["n"]).cast("string"))), sep)
     by_count = F.struct((-F.col("_n")).alias("n"), F.col("_key").alias("key"))

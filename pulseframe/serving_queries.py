@@ -154,8 +154,8 @@ def keyed_json(spark, d):
 
 
 def _nested(spark, d):
-    """Records of unknown layout, dealt out: parsing is long work on a table of few files."""
-    return bind(spark, d, "nested").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Records of unknown layout from lines dealt out: parsing is long work on a table of few files."""
+    return bind(spark, d, "nested", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 @query
