@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,5 +81,15 @@ def local_iso(ts: Column, zone: str) -> Column:
 
 
 def format_signed(value: Column, places: int = 0) -> Column:
-    """A number to so many places with its sign, plus included; null stays null."""
-    return F.when(value.isNotNull(), F.format_string(f"%+.{places}f", F.round(value.cast("double"), places)))
+    """A number to so many places with its sign, plus included; null stays null.
+
+    As C's printf has it, and unlike Java's formatter: the exact double is rounded, halves to even, and what
+    is less than nothing keeps its minus even where its digits are all 0.
+    """
+
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for numbers in batches:
+            yield pd.Series([None if null else f"{x:+.{places}f}" for x, null in zip(numbers["v"], numbers["null"], strict=True)], dtype=object)
+
+    # beside the number, whether it is null, which pandas cannot tell from NaN
+    return F.pandas_udf(written, "string", F.PandasUDFType.SCALAR_ITER)(F.struct(value.cast("double").alias("v"), value.isNull().alias("null")))
