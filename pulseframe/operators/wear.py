@@ -25,13 +25,13 @@ def _by(keys: Sequence[str]):
 
 
 def valid_hr(hr: DataFrame, keys: Sequence[str] = (), placed: bool = False) -> DataFrame:
-    """Background and workout samples in the valid range, one per instant (by source, then device), bpm as double.
+    """Background and workout samples in the valid range, one per instant (by source, device, rate, then context), bpm as double.
 
     Days are sorted one by one; ``placed`` keeps each sample's place in its day as ``_inside``, from which
     :func:`~pulseframe.operators.slices.numbered` needs no other sort.
     """
     ok = hr.where(F.col("context").isin("background", "workout") & F.col("bpm").between(*VALID_BPM))
-    w = Window.partitionBy(*keys, F.floor(F.col("ts") / DAY)).orderBy("ts", "source", "device_id", "bpm")
+    w = Window.partitionBy(*keys, F.floor(F.col("ts") / DAY)).orderBy("ts", "source", "device_id", "bpm", "context")
     new = F.coalesce(F.lag("ts").over(w) != F.col("ts"), F.lit(True))
     first = ok.withColumn("_new", new)
     if placed:
