@@ -38,6 +38,22 @@ def slice_join(intervals: DataFrame, samples: DataFrame, keys: Sequence[str] = (
     return by_day(intervals, start, end).join(right, [*keys, "_day"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_day")
 
 
+def outside(samples: DataFrame, intervals: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """Samples that no interval [start_ts, end_ts) holds.
+
+    Intervals are cut at midnight. In a day a sample is inside where the latest end of the intervals begun by
+    then lies after it, so a sample meets one number and not each interval over it.
+    """
+    cut = by_day(intervals.select(*keys, "start_ts", "end_ts"), "start_ts", "end_ts")
+    for k in keys:
+        cut = cut.where(F.col(k).isNotNull())  # a null key equals none
+    begun = cut.groupBy(*keys, "_day", F.greatest(F.col("start_ts"), F.col("_day") * DAY).alias("_at")).agg(F.max("end_ts").alias("_end"))
+    both = samples.withColumns({"_day": _day(F.col(ts)), "_at": F.col(ts)}).unionByName(begun, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = both.withColumn("_latest", F.max("_end").over(w)).where(F.col("_end").isNull() & ~F.coalesce(F.col("_latest") > F.col(ts), F.lit(False)))
+    return marked.select(*samples.columns)
+
+
 def covered_seconds(windows: DataFrame, cover: DataFrame, ident: Sequence[str], keys: Sequence[str] = (), lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Per window ``covered``: seconds of [lo, hi) under the intervals (start_ts, end_ts), each counted by itself.
 
@@ -86,20 +102,25 @@ def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str,
     """Add the value of the nearest anchor (ts, value); of two equally near the earlier. Null beyond the tolerance.
 
     An anchor is the nearest from half-way to the one before it until half-way to the next, as far as the
-    tolerance goes: a stretch of time. Stretches do not overlap, so each sample meets at most one, by key
-    and day; samples are not sorted, nor shuffled where the stretches are few enough to broadcast.
+    tolerance goes: a stretch of time. Stretches do not overlap, so the one that may hold a sample is the
+    latest begun by then. Samples and stretches are sorted together by key and day, as a join by day would
+    look at each stretch of a day for each sample of it.
     Times are whole seconds. Of anchors at one instant the one with the least value counts.
     """
     one = anchors.groupBy(*keys, F.col("ts").alias("_at")).agg(F.min(value).alias(value))
+    for k in keys:
+        one = one.where(F.col(k).isNotNull())  # a null key equals none
     w = Window.partitionBy(*keys, F.lit(0)).orderBy("_at")
     half = lambda other: F.floor((F.col("_at") + other.over(w)) / 2)
     lo = F.greatest(half(F.lag("_at")) + 1, F.col("_at") - tolerance_s)  # greatest and least pass over nulls
     hi = F.least(half(F.lead("_at")), F.col("_at") + tolerance_s) + 1
-    stretches = by_day(one.select(*keys, value, lo.alias("_lo"), hi.alias("_hi")), "_lo", "_hi")
-    s, a = samples.withColumn("_day", _day(F.col(ts))).alias("s"), stretches.alias("a")
-    same = [F.col(f"s.{k}") == F.col(f"a.{k}") for k in [*keys, "_day"]]
-    joined = s.join(a, [*same, F.col(f"s.{ts}") >= F.col("a._lo"), F.col(f"s.{ts}") < F.col("a._hi")], "left")
-    return joined.select(*[F.col(f"s.{c}") for c in samples.columns], F.col(f"a.{value}").alias(value))
+    stretches = by_day(one.select(*keys, F.struct(F.col(value).alias("value"), hi.alias("until")).alias("_near"), lo.alias("_lo"), hi.alias("_hi")), "_lo", "_hi")
+    both = samples.withColumns({"_day": _day(F.col(ts)), "_lo": F.col(ts), "_sample": F.lit(1)}).unionByName(
+        stretches.drop("_hi").withColumn("_sample", F.lit(0)), allowMissingColumns=True
+    )
+    latest = F.last("_near", ignorenulls=True).over(Window.partitionBy(*keys, "_day").orderBy("_lo", "_sample").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_latest", latest).where("_sample = 1")
+    return found.select(*samples.columns, F.when(F.col("_latest.until") > F.col(ts), F.col("_latest.value")).alias(value))
 
 
 def islands(df: DataFrame, breaks: Column, keys: Sequence[str], order: Sequence[str], name: str = "island") -> DataFrame:

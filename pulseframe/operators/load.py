@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Config, Person, Strain
 from ..functions.clock import age_on, local_date
 from ..functions.scores import edwards, impulse, strain, zone
-from .intervals import islands, slice_join
+from .intervals import islands, outside, slice_join
 from ..store import stored
 from .nights import local_offsets, record_offsets
+from .ranges import range_stats
 from .series import acute_chronic, tau
 from .slices import run_window, slice_window, sliced, stitched
 
@@ -77,26 +78,11 @@ def hrmax_by_date(days: DataFrame, workouts: DataFrame, keys: Sequence[str] = ()
     return out.select(*keys, "date", F.when(better, F.col("_seen")).otherwise(F.col("_age")).alias("hr_max"), F.when(better, "observed").otherwise("age").alias("hr_max_basis"))
 
 
-def workout_samples(workouts: DataFrame, hr: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Samples inside each workout with the workout's cadence, sample count and running median of three."""
-    own = [*keys, "start_ts", "end_ts", "sport"]
-    inside = slice_join(workouts.select(*own), hr.select(*keys, "ts", "bpm"), keys)
-    part = Window.partitionBy(*own)
-    stepped = inside.withColumns({"_step": F.col("ts") - F.lag("ts").over(part.orderBy("ts")), "_next": F.lead("ts").over(part.orderBy("ts")), "n": F.count(F.lit(1)).over(part)})
-    names = ", ".join(own)
-    three = f"OVER (PARTITION BY {names} ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
-    return stepped.withColumns(
-        {
-            "cadence": F.expr(f"percentile(_step, 0.5) OVER (PARTITION BY {names})"),
-            "median3": F.expr(f"CASE WHEN count(bpm) {three} = 3 THEN percentile(bpm, 0.5) {three} END"),
-        }
-    )
-
-
 def sustained_peaks(workouts: DataFrame, hr: DataFrame, keys: Sequence[str] = (), s: Strain = Strain()) -> DataFrame:
     """Workouts with ``max_hr`` replaced by the highest median of three samples, where samples are dense."""
     own = [*keys, "start_ts", "end_ts", "sport"]
-    peaks = workout_samples(workouts, hr, keys).where(f"n >= 5 AND cadence <= {s.workout_max_cadence_s}").groupBy(*own).agg(F.max("median3").alias("max_hr"))
+    seen = range_stats(workouts.select(*own), hr.select(*keys, "ts", "bpm"), keys, same=own)
+    peaks = seen.where(f"n >= 5 AND cadence <= {s.workout_max_cadence_s}").groupBy(*own).agg(F.max("peak").alias("max_hr"))
     return workouts.drop("max_hr").join(peaks, own, "left")
 
 
@@ -113,11 +99,9 @@ def workout_loads(workouts: DataFrame, hr: DataFrame, hrmax: DataFrame, timeline
     own = [*keys, "start_ts", "end_ts", "sport"]
     dated = record_offsets(workouts, timeline, cfg.timezone, "start_ts", "_off", keys).withColumn("date", local_date(F.col("start_ts"), F.col("_off"))).drop("_off")
     rated = dated.join(hrmax.select(*keys, "date", "hr_max"), [*keys, "date"], "left")
-    samples = workout_samples(workouts, hr, keys)
-    seen = samples.groupBy(*own).agg(F.first("n").alias("_n"), F.first("cadence").alias("_c"), F.max("median3").alias("_peak"))
-    inside = samples.join(rated.select(*own, "hr_max"), own).withColumn("_cap", 2 * F.col("cadence"))
-    minutes = zone_minutes(inside.where("hr_max IS NOT NULL"), own, "hr_max", "end_ts", "_cap")
-    wide = rated.join(seen, own, "left").join(minutes, own, "left")
+    inside = range_stats(rated.select(*own, "hr_max"), hr.select(*keys, "ts", "bpm"), keys, "hr_max", own)
+    seen = inside.groupBy(*own).agg(F.first("n").alias("_n"), F.first("cadence").alias("_c"), F.max("peak").alias("_peak"), *[F.sum(F.when(F.col("hr_max").isNotNull(), F.col(z))).alias(z) for z in ZONES])
+    wide = rated.join(seen, own, "left")
     cadence = F.when(F.col("_n") > 2, F.col("_c"))
     duration = F.col("end_ts") - F.col("start_ts")
     wide = wide.withColumn("cadence_s", cadence).withColumn(
@@ -176,8 +160,7 @@ def detect_sessions(samples: DataFrame, workouts: DataFrame | None, cfg: Config
     hot = smooth.where(active)
     if workouts is not None:
         around = workouts.select(*keys, (F.col("start_ts") - 300).alias("start_ts"), (F.col("end_ts") + 300).alias("end_ts"))
-        masked = slice_join(around, hot.select(*keys, "ts"), keys).select(*keys, "ts").distinct()
-        hot = hot.join(masked, [*keys, "ts"], "left_anti")
+        hot = outside(hot, around, keys)
     merge = s.detect_merge_gap_min * 60
     local = islands(hot.withColumn("_since", F.col("ts") - F.lag("ts").over(slice_window(keys))), F.col("_since") > merge, within, ["ts"], "_part")
     part = local.groupBy(*within, "_part").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

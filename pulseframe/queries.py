@@ -17,6 +17,7 @@ from .operators import nights as N
 from .operators import recovery as R
 from .operators import series as S
 from .operators import wear as W
+from .operators.ranges import range_stats
 from .store import replace_window, stored, upsert
 
 P = ["person"]
@@ -202,8 +203,9 @@ def regularity(spark, d):
 @query
 def interval_slice(spark, d):
     w = bind(spark, d, "workouts").select("person", "start_ts", "end_ts", "sport")
-    pairs = I.slice_join(w, bind(spark, d, "dense_hr"), P)
-    return rounded(pairs.groupBy("person", "start_ts", "sport").agg(F.count(F.lit(1)).alias("n"), F.avg("bpm").alias("avg_bpm"), F.max("bpm").alias("max_bpm")))
+    each = range_stats(w, bind(spark, d, "dense_hr"), P)
+    mean = F.try_divide(F.sum("total"), F.sum("known"))
+    return rounded(each.groupBy("person", "start_ts", "sport").agg(F.sum("n").alias("n"), mean.alias("avg_bpm"), F.max("top").alias("max_bpm")))
 
 
 def _hrmax(spark, d):
