@@ -98,13 +98,11 @@ def overlapping(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("source",
     return _beside_span(old, new, keys).where("_hit").drop("_hit")
 
 
-def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "ts", tolerance_s: int = 36 * 3600) -> DataFrame:
-    """Add the value of the nearest anchor (ts, value); of two equally near the earlier. Null beyond the tolerance.
+def stretches(anchors: DataFrame, value: str, keys: Sequence[str] = (), tolerance_s: int = 36 * 3600) -> DataFrame:
+    """(keys, _day, _lo, _near): by day, from when on which value is that of the nearest anchor (ts, value), and until when.
 
     An anchor is the nearest from half-way to the one before it until half-way to the next, as far as the
-    tolerance goes: a stretch of time. Stretches do not overlap, so the one that may hold a sample is the
-    latest begun by then. Samples and stretches are sorted together by key and day, as a join by day would
-    look at each stretch of a day for each sample of it.
+    tolerance goes: a stretch of time. Stretches do not overlap; those that adjoin and say the same are one.
     Times are whole seconds. Of anchors at one instant the one with the least value counts.
     """
     one = anchors.groupBy(*keys, F.col("ts").alias("_at")).agg(F.min(value).alias(value))
@@ -114,10 +112,24 @@ def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str,
     half = lambda other: F.floor((F.col("_at") + other.over(w)) / 2)
     lo = F.greatest(half(F.lag("_at")) + 1, F.col("_at") - tolerance_s)  # greatest and least pass over nulls
     hi = F.least(half(F.lead("_at")), F.col("_at") + tolerance_s) + 1
-    stretches = by_day(one.select(*keys, F.struct(F.col(value).alias("value"), hi.alias("until")).alias("_near"), lo.alias("_lo"), hi.alias("_hi")), "_lo", "_hi")
-    both = samples.withColumns({"_day": _day(F.col(ts)), "_lo": F.col(ts), "_sample": F.lit(1)}).unionByName(
-        stretches.drop("_hi").withColumn("_sample", F.lit(0)), allowMissingColumns=True
-    )
+    cut = by_day(one.select(*keys, F.col(value).alias("_value"), lo.alias("_lo"), hi.alias("_hi")), "_lo", "_hi")
+    day = Window.partitionBy(*keys, "_day")
+    d = day.orderBy("_lo")
+    beside = cut.withColumns({"_same": F.lag("_value").over(d).eqNullSafe(F.col("_value")), "_ended": F.lag("_hi").over(d), "_end": F.max("_hi").over(day)})
+    first = beside.where(~F.coalesce(F.col("_same") & (F.col("_ended") >= F.col("_lo")), F.lit(False)))
+    until = F.coalesce(F.lead("_ended").over(d), F.col("_end"))
+    return first.select(*keys, "_day", "_lo", F.struct(F.col("_value").alias("value"), until.alias("until")).alias("_near"))
+
+
+def nearest_before_or_after(samples: DataFrame, anchors: DataFrame, value: str, keys: Sequence[str] = (), ts: str = "ts", tolerance_s: int = 36 * 3600) -> DataFrame:
+    """Add the value of the nearest anchor (ts, value); of two equally near the earlier. Null beyond the tolerance.
+
+    The stretch that may hold a sample is the latest begun by then. Samples and stretches are sorted
+    together by key and day, as a join by day would look at each stretch of a day for each sample of it.
+    Anchors that are asked often may come as their :func:`stretches`, which are then not made again.
+    """
+    near = anchors if "_near" in anchors.columns else stretches(anchors, value, keys, tolerance_s)
+    both = samples.withColumns({"_day": _day(F.col(ts)), "_lo": F.col(ts), "_sample": F.lit(1)}).unionByName(near.withColumn("_sample", F.lit(0)), allowMissingColumns=True)
     latest = F.last("_near", ignorenulls=True).over(Window.partitionBy(*keys, "_day").orderBy("_lo", "_sample").rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("_latest", latest).where("_sample = 1")
     return found.select(*samples.columns, F.when(F.col("_latest.until") > F.col(ts), F.col("_latest.value")).alias(value))

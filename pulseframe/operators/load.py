@@ -34,6 +34,7 @@ def top_inside(dates: DataFrame, spans: DataFrame, value: str, longest: int, n:
     Days form a tree of aligned stretches of 1, 2, 4, ... days. A span of up to ``longest`` days is made up
     of at most two stretches per level, each stretch keeps its own top, and a day looks at the one
     stretch of each level that holds it. So joined rows grow with days plus spans, not with their product.
+    Spans of equal days and value are counted first, and go on as no more than ``n``.
     """
     levels = _levels(longest)
     # the stretches that make up a span, from the finest level on: an odd first one, and an even last one
@@ -45,7 +46,9 @@ def top_inside(dates: DataFrame, spans: DataFrame, value: str, longest: int, n:
         parts += [F.when((lo < hi) & left, node(k, lo)), F.when((lo + left.cast("long") < hi) & right, node(k, hi - 1))]
         lo, hi = F.ceil(lo / 2), F.floor(hi / 2)
         parts += [F.when(F.lit(k == levels - 1) & (lo < hi), node(k + 1, lo))]
-    placed = spans.where("_to >= _from").select(*keys, value, F.explode(F.array_compact(F.array(*parts))).alias("e")).select(*keys, value, "e.*")
+    alike = spans.where("_to >= _from").groupBy(*keys, "_from", "_to", value).agg(F.count(F.lit(1)).alias("_times"))
+    few = alike.select(*keys, "_from", "_to", F.explode(F.array_repeat(value, F.least("_times", F.lit(n)).cast("int"))).alias(value))
+    placed = few.select(*keys, value, F.explode(F.array_compact(F.array(*parts))).alias("e")).select(*keys, value, "e.*")
     best = lambda df, by: df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, *by).orderBy(F.desc(value)))).where(F.col("_place") <= n).drop("_place")
     held = best(placed, ["_level", "_node"])
     above = F.array(*[F.struct(F.lit(k).alias("_level"), F.floor(F.col("_d") / (1 << k)).alias("_node")) for k in range(levels + 1)])

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..config import Config, Physiology, Sleep
 from ..functions.clock import clock_minute, local_date, near_eu_switch, zone_offset
-from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after, one_each, runs
+from .intervals import covered_seconds, drop_overlaps, nearest_before_or_after, one_each, runs, stretches
 from .series import circular_sd
 
 HOURS = 24
@@ -26,12 +27,21 @@ def offset_timeline(sessions: DataFrame, workouts: DataFrame | None = None, keys
     """
     parts, rank = None, 0
     for df in [sessions, *([workouts] if workouts is not None else [])]:
-        for end in ("start_ts", "end_ts"):
-            own = df.where("tz_offset_min IS NOT NULL").select(*keys, F.col(end).alias("ts"), F.col("tz_offset_min").alias("offset_min"), F.lit(rank).alias("_rank"))
-            parts = own if parts is None else parts.unionByName(own)
-            rank += 1
-    first = F.min(F.struct("_rank", "offset_min"))["offset_min"].alias("offset_min")
-    return parts.groupBy(*keys, "ts").agg(first)
+        ends = F.explode(F.array(*[F.struct(F.col(end).alias("ts"), F.lit(rank + i).alias("_rank")) for i, end in enumerate(("start_ts", "end_ts"))]))
+        own = df.where("tz_offset_min IS NOT NULL").select(*keys, F.col("tz_offset_min").alias("offset_min"), ends.alias("_e")).select(*keys, "_e.*", "offset_min")
+        parts = own if parts is None else parts.unionByName(own)
+        rank += 2
+    if parts.schema["offset_min"].dataType != IntegerType():
+        first = F.min(F.struct("_rank", "offset_min"))["offset_min"]
+    else:  # rank and offset as one number, as the least number is found without a sort
+        least = F.min(F.col("_rank") * F.lit(1 << 32) + F.col("offset_min"))
+        first = (least - F.shiftleft(F.shiftright(least + F.lit(1 << 31), 32), 32)).cast("int")
+    return parts.groupBy(*keys, "ts").agg(first.alias("offset_min"))
+
+
+def offset_stretches(timeline: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The timeline as :func:`local_offsets` asks it: which offset is in force from when until when."""
+    return stretches(timeline, "offset_min", keys)
 
 
 def local_offsets(df: DataFrame, timeline: DataFrame, zone: str, ts: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -70,9 +80,9 @@ def build_episodes(sessions: DataFrame, timeline: DataFrame, cfg: Config = Confi
     inside of runs of sessions that lie within the gap; nothing reaches from one run into the next.
     """
     dated = record_offsets(sessions, timeline, cfg.timezone, "end_ts", "_off", keys).withColumn("wake_date", local_date(F.col("end_ts"), F.col("_off")))
-    chosen = resolve_sources(dated, cfg.sources.priority, "wake_date", keys).drop("wake_date", "_off")
+    chosen = resolve_sources(dated, cfg.sources.priority, "wake_date", keys).drop("wake_date").withColumnRenamed("_off", "off_end")
     alone = drop_overlaps(chosen, [*keys, "source"])
-    placed = record_offsets(record_offsets(alone, timeline, cfg.timezone, "start_ts", "off_start", keys), timeline, cfg.timezone, "end_ts", "off_end", keys)
+    placed = record_offsets(alone, timeline, cfg.timezone, "start_ts", "off_start", keys)
     nap = F.coalesce(F.col("is_nap") == 1, F.lit(False))
     cell = F.struct("start_ts", "end_ts", "source", "device_id", nap.alias("nap"), "off_start", "off_end")
     gap = cfg.sufficiency.episode_merge_gap_min * 60
@@ -214,13 +224,14 @@ def sleep_wake_maps(episodes: DataFrame, ep_segments: DataFrame, worn: DataFrame
     shuffle, so no minute is ever a row.
     """
 
-    def marks(df: DataFrame, level: int) -> DataFrame:
-        ends = local_offsets(local_offsets(df.select(*keys, "start_ts", "end_ts"), timeline, zone, "start_ts", "_o1", keys), timeline, zone, "end_ts", "_o2", keys)
-        first = F.floor((F.col("start_ts") + F.col("_o1") * 60) / 60)
-        last = F.ceil((F.col("end_ts") + F.col("_o2") * 60) / 60) - 1
-        return ends.select(*keys, first.alias("_a"), last.alias("_b"), F.lit(level).alias("_level")).where("_b >= _a")
-
-    every = marks(worn, 0).unionByName(marks(episodes, 1)).unionByName(marks(ep_segments.where("stage = 'awake'"), 2))
+    worn, slept, awake = (
+        df.select(*keys, "start_ts", "end_ts", F.lit(level).alias("_level")) for level, df in enumerate((worn, episodes, ep_segments.where("stage = 'awake'")))
+    )
+    ends = local_offsets(worn.unionByName(slept).unionByName(awake), timeline, zone, "start_ts", "_o1", keys)
+    ends = local_offsets(ends, timeline, zone, "end_ts", "_o2", keys)
+    first = F.floor((F.col("start_ts") + F.col("_o1") * 60) / 60)
+    last = F.ceil((F.col("end_ts") + F.col("_o2") * 60) / 60) - 1
+    every = ends.select(*keys, first.alias("_a"), last.alias("_b"), "_level").where("_b >= _a")
     days = every.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / 1440), F.floor(F.col("_b") / 1440))))
     inside = days.select(*keys, "_d", "_level", F.greatest(F.col("_a") - F.col("_d") * 1440, F.lit(0)).alias("_a"), F.least(F.col("_b") - F.col("_d") * 1440, F.lit(1439)).alias("_b"))
     hours = range(HOURS)
