@@ -10,7 +10,7 @@ from . import schema
 from .bindings import bind
 from .functions import clock
 from .operators.intervals import one_each
-from .plans.daily import compute_daily, to_long
+from .plans.daily import compute_daily, compute_workouts, to_long
 from .queries import CFG, P, query, rounded, table
 from .sources import exports as X
 from .store import Store, shared_dir, stored
@@ -101,12 +101,16 @@ def local_iso(spark, d):
     return table(spark, d, "orders").select("o_orderkey", clock.local_iso(ts, "Europe/Berlin").alias("iso"))
 
 
-def _plan(spark, d):
-    """All tables of five persons through the daily plan."""
+def _persons(spark, d):
+    """All tables of five persons."""
     sessions = one_each(bind(spark, d, "plan_sessions"), ["person", "source", "device_id", "start_ts"])
     tables = {"hr_samples": bind(spark, d, "hr"), "step_samples": bind(spark, d, "steps"), "sleep_sessions": sessions}
-    tables |= {"sleep_segments": bind(spark, d, "plan_segments"), "workouts": bind(spark, d, "workouts")}
-    return compute_daily(tables, CFG, P)
+    return tables | {"sleep_segments": bind(spark, d, "plan_segments"), "workouts": bind(spark, d, "workouts")}
+
+
+def _plan(spark, d):
+    """They go through the daily plan."""
+    return compute_daily(_persons(spark, d), CFG, P)
 
 
 @query
@@ -116,7 +120,7 @@ def plan_daily(spark, d):
 
 @query
 def plan_workouts(spark, d):
-    return rounded(_plan(spark, d)[1])
+    return rounded(compute_workouts(_persons(spark, d), CFG, P))
 
 
 @query

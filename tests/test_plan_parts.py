@@ -1,13 +1,18 @@
-"""What the plan is asked for and no more: offsets in force, maximal rates of many equal peaks."""
+"""What the plan is asked for and no more: offsets in force, maximal rates of many equal peaks, workouts by themselves."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import intervals as I
 from pulseframe.operators import load as L
 from pulseframe.operators import nights as N
+from pulseframe.plans import daily
 from pulseframe.store import stored
+from tests.synthetic import Wearer, event, generate
 
 from .conftest import rows_of
 
@@ -42,3 +47,25 @@ def test_equal_peaks_go_on_as_few(spark):
     top = L.top_inside(spark.range(5).select(F.col("id").alias("_d")), spans, "_peak", 91)
     assert sorted(r["_peak"] for r in top.where("_d = 3").collect()) == [180, 200, 201] and top.count() == 15
     assert "array_repeat" in top._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def wearer(spark):
+    first = dt.date(2024, 3, 1)
+    trained = tuple(event("workout", first + dt.timedelta(days=i), at=dt.time(17), minutes=45, bpm=150) for i in range(0, 12, 3))
+    return {name: stored(df, name) for name, df in generate(spark, Wearer(first=first, nights=12, events=trained)).items()}
+
+
+def test_parts_equal_the_whole_plan(spark, wearer):
+    _, loads = daily.compute_daily(wearer)
+    assert rows_of(daily.compute_workouts(wearer).toArrow()) == rows_of(loads.toArrow()) and loads.count() >= 4
+
+
+@pytest.mark.parametrize("part", ["compute_workouts"])
+def test_parts_leave_out_what_only_days_need(spark, wearer, part, monkeypatch):
+    def unasked(*_, **__):
+        raise AssertionError("not asked for")
+
+    for name in ("worn_intervals", "day_wear", "compute_nightly", "add_recovery_and_readiness"):
+        monkeypatch.setattr(daily, name, unasked)
+    assert getattr(daily, part)(wearer).count() > 0
