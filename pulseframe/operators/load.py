@@ -217,21 +217,24 @@ def daily_steps(days: DataFrame, steps: DataFrame, timeline: DataFrame, cfg: Con
     )
 
 
+def loads_by_day(days: DataFrame, loads: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add per date how many workouts there are, by which methods, their load (``_load``), and whether one is unknown (``_unknown``)."""
+    per_day = loads.groupBy(*keys, "date").agg(
+        F.count(F.lit(1)).alias("n_workouts"), F.bool_or(F.col("load").isNull()).alias("_unknown"), F.sum("load").alias("_load"),
+        F.array_join(F.sort_array(F.collect_set("method")), ",").alias("load_method"),
+    )
+    return days.join(per_day, [*keys, "date"], "left").withColumn("n_workouts", F.coalesce("n_workouts", F.lit(0).cast("long")))
+
+
 def daily_load(days: DataFrame, loads: DataFrame, banister: DataFrame, cfg: Config = Config(), keys: Sequence[str] = ()) -> DataFrame:
     """Load per date with status and reason, strain, hint and the acute:chronic ratio; ``days`` has ``day_wear`` and the maximal rate.
 
     A day without workouts is a real 0 only if the band was worn; one unknown workout makes its day unknown.
     """
-    per_day = loads.groupBy(*keys, "date").agg(
-        F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("load").isNull()).alias("_unknown"), F.sum("load").alias("_load"),
-        F.array_join(F.sort_array(F.collect_set("method")), ",").alias("load_method"),
-    )
-    wide = days.join(per_day, [*keys, "date"], "left").join(banister, [*keys, "date"], "left")
-    n = F.coalesce("_n", F.lit(0))
-    rest, worn, bad = n == 0, F.coalesce(F.col("day_wear") >= cfg.strain.day_wear_min, F.lit(False)), F.coalesce("_unknown", F.lit(False))
+    wide = loads_by_day(days, loads, keys).join(banister, [*keys, "date"], "left")
+    rest, worn, bad = F.col("n_workouts") == 0, F.coalesce(F.col("day_wear") >= cfg.strain.day_wear_min, F.lit(False)), F.coalesce("_unknown", F.lit(False))
     wide = wide.withColumns(
         {
-            "n_workouts": n.cast("long"),
             "load": F.when(bad, None).when(rest & worn, F.lit(0.0)).otherwise(F.col("_load")),
             "load_status": F.when(bad | (rest & ~worn), "insufficient_data").otherwise("ok"),
             "load_reason": F.when(rest & worn & F.col("banister").isNull(), "no workout recorded; HR too sparse to rule out an unrecorded session")
@@ -239,7 +242,7 @@ def daily_load(days: DataFrame, loads: DataFrame, banister: DataFrame, cfg: Conf
             .when(rest & ~worn, "no workout recorded and band worn < 70 % of 08-22"),
             "unrecorded_hint": F.coalesce(rest & (F.col("banister") >= cfg.strain.unrecorded_hint_banister), F.lit(False)),
         }
-    ).drop("_n", "_unknown", "_load")
+    ).drop("_unknown", "_load")
     scale = tau(wide, keys, "load", cfg.strain.tau)
     scaled = wide.join(scale, list(keys)) if keys else wide.join(F.broadcast(scale))  # without keys one row
     return acute_chronic(scaled.withColumn("strain", strain(F.col("load"), F.col("tau"))), keys, "load", cfg.strain)

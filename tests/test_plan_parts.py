@@ -1,4 +1,4 @@
-"""What the plan is asked for and no more: offsets in force, maximal rates of many equal peaks, workouts by themselves."""
+"""What the plan is asked for and no more: offsets in force, maximal rates of many equal peaks, workouts and nights by themselves."""
 
 from __future__ import annotations
 
@@ -57,11 +57,13 @@ def wearer(spark):
 
 
 def test_parts_equal_the_whole_plan(spark, wearer):
-    _, loads = daily.compute_daily(wearer)
+    wide, loads = daily.compute_daily(wearer)
     assert rows_of(daily.compute_workouts(wearer).toArrow()) == rows_of(loads.toArrow()) and loads.count() >= 4
+    nights = daily.compute_nights(wearer)
+    assert rows_of(nights.toArrow()) == rows_of(wide.select(*nights.columns).toArrow()) and nights.where("n_workouts > 0").count() >= 4
 
 
-@pytest.mark.parametrize("part", ["compute_workouts"])
+@pytest.mark.parametrize("part", ["compute_workouts", "compute_nights"])
 def test_parts_leave_out_what_only_days_need(spark, wearer, part, monkeypatch):
     def unasked(*_, **__):
         raise AssertionError("not asked for")
